@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.ingest import with_doc_id
+from spanloom.operators.ingest import position_within
 
 
 def has_vocab(projects: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -51,16 +51,15 @@ def add_candidates(vocab: DataFrame, new: DataFrame) -> DataFrame:
     ``new``: project, key, term, seq. Empty terms are ignored; a term added
     twice is appended once (first by ``seq``). Returns the whole vocabulary.
     """
-    w = Window.partitionBy("project", "key", "term").orderBy("seq")
+    # First request per term (partial aggregation, safe for hot keys).
     fresh = (new.where(F.col("term").isNotNull() & (F.col("term") != ""))
-             .withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r"))
+             .groupBy("project", "key", "term").agg(F.min("seq").alias("seq")))
     fresh = fresh.join(vocab.where(F.col("term").isNotNull()).select("project", "key", "term"),
                        ["project", "key", "term"], "left_anti")
     base = vocab.groupBy("project", "key").agg(F.max("pos").alias("_max"))
-    wk = Window.partitionBy("project", "key").orderBy("seq")
-    added = (fresh.join(base, ["project", "key"], "left")
-             .withColumn("pos", (F.coalesce(F.col("_max") + 1, F.lit(0))
-                                 + F.row_number().over(wk) - 1).cast("int"))
+    added = (position_within(fresh, ["project", "key"], ["seq", "term"], "_rn")
+             .join(base, ["project", "key"], "left")
+             .withColumn("pos", (F.coalesce(F.col("_max") + 1, F.lit(0)) + F.col("_rn")).cast("int"))
              .select("project", "key", "pos", "term"))
     # A key that only had an empty-list marker row loses the marker.
     kept = vocab.join(added.select("project", "key").distinct(), ["project", "key"], "left_anti") \
@@ -109,9 +108,8 @@ def clean_vocab(vocab: DataFrame) -> DataFrame:
                .withColumn("term", F.when(F.col("_s"), F.expr("left(term, length(term) - 2)"))
                            .otherwise(t)))
     keep = cleaned.where(F.col("term").isNotNull() & (F.col("term") != "0"))
-    w = Window.partitionBy("project", "key").orderBy("_s", "pos")
-    out = keep.withColumn("pos", (F.row_number().over(w) - 1).cast("int")) \
-              .select("project", "key", "pos", "term")
+    out = (position_within(keep.withColumnRenamed("pos", "_p"), ["project", "key"], ["_s", "_p"])
+           .select("project", "key", F.col("pos").cast("int"), "term"))
     empty = (vocab.select("project", "key").distinct()
              .join(keep.select("project", "key").distinct(), ["project", "key"], "left_anti")
              .select("project", "key", F.lit(None).cast("int").alias("pos"),
@@ -136,8 +134,9 @@ def vocab_from_columns(df: DataFrame, columns: dict[str, object],
     for p in parts[1:]:
         u = u.unionByName(p)
     terms = u.where(F.col("term").isNotNull()).distinct()
-    idx = with_doc_id(terms, order_by=["project", "key", "term"], name="_i")
-    on = ["project", "key"] if project_col else ["key"]
-    first = idx.groupBy(*on).agg(F.min("_i").alias("_f"))
-    return (idx.join(first, on)
-            .select("project", "key", (F.col("_i") - F.col("_f")).cast("int").alias("pos"), "term"))
+    if project_col is None:
+        out = position_within(terms.drop("project"), ["key"], ["term"])
+        return out.select(F.lit(None).cast("string").alias("project"), "key",
+                          F.col("pos").cast("int"), "term")
+    out = position_within(terms, ["project", "key"], ["term"])
+    return out.select("project", "key", F.col("pos").cast("int"), "term")

@@ -32,25 +32,30 @@ def _project_from_name(suffix: str):
 
 # ------------------------------------------------------------------ datasets
 def read_docs_csv(spark: SparkSession, path: str, project: str,
-                  order_by: list[str] | None = None) -> DataFrame:
+                  order_by: list[str] | None = None, key: str | None = None) -> DataFrame:
     """CSV dataset -> ``project, doc_id, query, <other columns as text>``."""
     df = (spark.read.option("header", True).option("multiLine", True)
           .option("escape", '"').option("encoding", "UTF-8").csv(path))
     df = require_query(df)
-    df = with_doc_id(df, order_by=order_by)
+    df = with_doc_id(df, key=key, order_by=order_by)
+    if key is not None and key != "doc_id":
+        df = df.drop(key)
     return df.withColumn("project", F.lit(project)).select("project", "doc_id", *[
         c for c in df.columns if c not in ("project", "doc_id")])
 
 
 def read_docs_json(spark: SparkSession, path: str, project: str,
-                   order_by: list[str] | None = None, multiline: bool = True) -> DataFrame:
+                   order_by: list[str] | None = None, multiline: bool = True,
+                   key: str | None = None) -> DataFrame:
     """JSON array of records (or JSON Lines with ``multiline=False``)."""
     df = (spark.read.option("multiLine", multiline).option("primitivesAsString", True)
           .json(path))
     if "annotations" in df.columns and dict(df.dtypes)["annotations"] != "string":
         df = df.withColumn("annotations", F.to_json("annotations"))
     df = require_query(df)
-    df = with_doc_id(df, order_by=order_by)
+    df = with_doc_id(df, key=key, order_by=order_by)
+    if key is not None and key != "doc_id":
+        df = df.drop(key)
     return df.withColumn("project", F.lit(project)).select("project", "doc_id", *[
         c for c in df.columns if c not in ("project", "doc_id")])
 
@@ -109,12 +114,18 @@ def read_legacy_store(spark: SparkSession, path: str, project: str | None = None
 # ------------------------------------------------------------------ vocabulary
 def _read_key_lists(spark: SparkSession, path: str, project: str | None, suffix: str,
                     fmt: str) -> DataFrame:
-    proj = F.lit(project) if project else _project_from_name(suffix)
     if fmt == "lines":
-        df = spark.read.schema("key string, terms array<string>").json(path)
-        pairs = df.select(proj.alias("project"), "key", "terms")
+        df = spark.read.option("primitivesAsString", True).json(path)
+        df = df.select(*[c for c in ("project",) if c in df.columns], "key",
+                       F.col("terms").cast("array<string>").alias("terms"))
     else:
         df = spark.read.option("wholetext", True).text(path)
+    # Project: given name, else the partition directory, else the file name.
+    proj = (F.lit(project) if project else
+            F.col("project") if "project" in df.columns else _project_from_name(suffix))
+    if fmt == "lines":
+        pairs = df.select(proj.alias("project"), "key", "terms")
+    else:
         pairs = df.select(proj.alias("project"),
                           F.explode(F.from_json("value", "map<string,array<string>>"))
                           .alias("key", "terms"))
@@ -186,7 +197,7 @@ def export_csv(exported: DataFrame, path: str) -> None:
 # ------------------------------------------------------------------ projects
 def ingest_project(spark: SparkSession, data_path: str, project: str, root: str,
                    vocab_path: str | None = None, label_map_path: str | None = None,
-                   order_by: list[str] | None = None) -> dict[str, DataFrame]:
+                   order_by: list[str] | None = None, key: str | None = None) -> dict[str, DataFrame]:
     """Create or replace one project under ``root``.
 
     Reads the dataset (by suffix), parses its ``annotations`` column if any
@@ -195,9 +206,9 @@ def ingest_project(spark: SparkSession, data_path: str, project: str, root: str,
     overwritten. A missing label map gets the default one.
     """
     if data_path.endswith(".json"):
-        docs = read_docs_json(spark, data_path, project, order_by)
+        docs = read_docs_json(spark, data_path, project, order_by, key=key)
     else:
-        docs = read_docs_csv(spark, data_path, project, order_by)
+        docs = read_docs_csv(spark, data_path, project, order_by, key=key)
     if "annotations" in docs.columns:
         parsed, rejects = parse_annotations(docs)
         spans = explode_spans(parsed)
@@ -211,7 +222,7 @@ def ingest_project(spark: SparkSession, data_path: str, project: str, root: str,
     if vocab_path:
         out["vocab"] = read_vocab(spark, vocab_path, project)
     lm = (read_label_map(spark, label_map_path, project) if label_map_path
-          else default_label_map(docs.select("project").limit(1)))
+          else default_label_map(docs.select("project")))
     out["label_map"] = lm
     for name, df in out.items():
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -221,13 +232,13 @@ def ingest_project(spark: SparkSession, data_path: str, project: str, root: str,
 
 def load_project(spark: SparkSession, root: str, project: str) -> dict[str, DataFrame]:
     """Read one project's tables; the ``project`` filter prunes partitions."""
-    import os
+    from pyspark.errors import AnalysisException
     out = {}
     for name in ("docs", "spans", "rejects", "vocab", "label_map"):
-        p = f"{root}/{name}"
-        if p.startswith("/") and not os.path.exists(p):
+        try:
+            out[name] = spark.read.parquet(f"{root}/{name}").where(F.col("project") == project)
+        except AnalysisException:  # artefact never written (or written empty)
             continue
-        out[name] = spark.read.parquet(p).where(F.col("project") == project)
     return out
 
 
