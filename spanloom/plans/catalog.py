@@ -426,3 +426,35 @@ def q_list_projects(spark, d):
                             B.label_map(spark, d)).select(
         "project", F.col("n_docs").cast("bigint"), F.col("n_spans").cast("bigint"),
         "has_vocab", "has_label_map")
+
+
+# ------------------------------------------------------------------ B10, M6 (Structured Streaming)
+def _stream_snapshots(spark, d) -> DataFrame:
+    """Replay EDITS through the streaming operator and return all snapshots.
+
+    The log (seq made dense per row) is written as 4 files split by a hash of
+    (row, seq), so every micro-batch holds edits out of order; every 20th edit
+    is delivered twice.
+    """
+    from spanloom.streaming import edits_stream as SE
+    edits = SE.dense_seq(B.edits(spark, d))
+    src = scratch_path(spark, "edit-stream-src")
+    redelivered = edits.where(F.col("seq") % 20 == 0)
+    arrivals = edits.unionByName(redelivered).withColumn(
+        "_f", F.pmod(F.hash("doc_id", "seq"), F.lit(4)))
+    arrivals.repartition(4, "_f").drop("_f").write.parquet(src)
+    sink = scratch_path(spark, "edit-stream-sink")
+    SE.run_replay_stream(spark, src, edits.schema, sink, scratch_path(spark, "edit-stream-ckpt"))
+    return spark.read.parquet(sink)
+
+
+@query
+def q_replay_edits_stream(spark, d):
+    from spanloom.streaming import edits_stream as SE
+    return flat_spans(SE.snapshot_spans(_stream_snapshots(spark, d)))
+
+
+@query
+def q_progress_stream(spark, d):
+    from spanloom.streaming import edits_stream as SE
+    return SE.progress_from_snapshots(_stream_snapshots(spark, d))
