@@ -112,8 +112,11 @@ def contains_automaton(docs: DataFrame, vocab: DataFrame) -> DataFrame:
                         doc_ids.append(d)
                         idx.append(ti)
                         starts.append(end_i - n + 1)
-            yield pd.DataFrame({"project": projects, "doc_id": doc_ids,
-                                "t": idx, "start": starts})
+            if idx:
+                yield pd.DataFrame({"project": pd.Series(projects, dtype=object),
+                                    "doc_id": pd.Series(doc_ids, dtype="int64"),
+                                    "t": pd.Series(idx, dtype="int32"),
+                                    "start": pd.Series(starts, dtype="int64")})
 
     hits = docs.select(*KEYS, "query").mapInPandas(
         scan, "project string, doc_id bigint, t int, start bigint")

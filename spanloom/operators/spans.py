@@ -180,7 +180,10 @@ def remove_span(spans: DataFrame, requests: DataFrame) -> DataFrame:
     Out-of-range ordinals are no-ops. One request per row (the first by
     ``seq``); sequences of edits on one row go through ``replay_edits``.
     """
-    req = _one_per_doc(requests).select(*KEYS, F.col("ord").cast("bigint").alias("_del"))
+    req = _one_per_doc(requests).select(*KEYS, F.col("ord").cast("bigint").alias("ord"))
+    # Only requests that hit a stored span act (out of range = no-op).
+    req = req.join(spans.select(*KEYS, "ord"), [*KEYS, "ord"], "left_semi") \
+             .withColumnRenamed("ord", "_del")
     j = spans.join(req, list(KEYS), "left")
     return (j.where(F.col("_del").isNull() | (F.col("ord") != F.col("_del")))
             .withColumn("ord", F.when(F.col("_del").isNotNull() & (F.col("ord") > F.col("_del")),
