@@ -36,8 +36,8 @@ KEYS = ("project", "doc_id")
 # Size limits for shipping a vocabulary to every task.
 BROADCAST_MAX_TERMS = 200_000
 BROADCAST_MAX_CHARS = 16 << 20
-AUTOMATON_MAX_TERMS = 5_000_000
-AUTOMATON_MAX_CHARS = 256 << 20
+AUTOMATON_MAX_TERMS = 2_000_000
+AUTOMATON_MAX_CHARS = 64 << 20
 
 
 def _vocab_size(vocab: DataFrame) -> tuple[int, int]:
@@ -125,47 +125,65 @@ def contains_automaton(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     return _attach(hits, vocab, by_project)
 
 
-def _grams(docs: DataFrame, lengths: list[int], chunk: int, k: int) -> DataFrame:
-    """Every gram of the given lengths with its 0-based code-point position."""
-    ext = k - 1
-    chunks = F.regexp_extract_all(F.col("query"), F.lit("(?s).{1,%d}" % chunk), F.lit(0))
-    with_tail = F.transform(chunks, lambda c, i: F.concat(
-        c, F.coalesce(F.substring(F.get(chunks, i + 1), 1, ext), F.lit(""))))
-    per_chunk = docs.select(*KEYS, F.posexplode(with_tail).alias("ci", "chunk"))
+def _chunks(docs: DataFrame, chunk: int, ext: int) -> DataFrame:
+    """Code-point chunks of ``chunk`` characters, each extended by the next
+    ``ext`` characters so any match starting in a chunk lies inside it."""
+    parts = F.regexp_extract_all(F.col("query"), F.lit("(?s).{1,%d}" % chunk), F.lit(0))
+    tail = F.transform(parts, lambda c, i: F.concat(c, F.coalesce(F.substring(
+        F.array_join(F.slice(parts, i + 2, max(1, -(-ext // chunk))), ""), 1, ext), F.lit(""))))
+    return docs.select(*KEYS, F.posexplode(tail).alias("ci", "chunk"))
+
+
+def _grams(chunks: DataFrame, n: int, chunk: int) -> DataFrame:
+    """Every n-gram starting inside its chunk, with chunk index and offset."""
     chars = F.regexp_extract_all(F.col("chunk"), F.lit("(?s)."), F.lit(0))
-    out = None
-    for n in lengths:
-        g = (per_chunk.select(*KEYS, "ci", chars.alias("ch"))
-             .withColumn("_hi", F.least(F.lit(chunk), F.size("ch") - n + 1) - 1)
-             .select(*KEYS, "ci", "ch", F.explode(F.when(
-                 F.col("_hi") >= 0, F.sequence(F.lit(0), F.col("_hi")))).alias("j"))
-             .select(*KEYS, F.array_join(F.slice("ch", F.col("j") + 1, n), "").alias("gram"),
-                     (F.col("ci") * chunk + F.col("j")).cast("bigint").alias("gpos"),
-                     F.lit(n).alias("n")))
-        out = g if out is None else out.unionByName(g)
-    return out
-
-
-def contains_ngram(docs: DataFrame, vocab: DataFrame, k: int = 3, chunk: int = 512) -> DataFrame:
+    return (chunks.select(*KEYS, "ci", chars.alias("ch"))
+            .withColumn("_hi", F.least(F.lit(chunk), F.size("ch") - n + 1) - 1)
+            .select(*KEYS, "ci", "ch", F.explode(F.when(
+                F.col("_hi") >= 0, F.sequence(F.lit(0), F.col("_hi")))).alias("j"))
+            .select(*KEYS, "ci", "j", F.array_join(F.slice("ch", F.col("j") + 1, n), "").alias("gram")))
+
+
+def contains_ngram(docs: DataFrame, vocab: DataFrame, k: int | None = None,
+                   chunk: int = 512) -> DataFrame:
+    """N-gram blocking join (no broadcast of the vocabulary needed).
+
+    * k (gram length) defaults to the shortest term length, clamped to 3..8, so
+      anchors are as selective as the vocabulary allows.
+    * Terms shorter than k match a gram of their own length exactly.
+    * Longer terms join on their first k-gram; a candidate (text, chunk,
+      offset, term) is verified with ``substring`` on its chunk -- chunks carry
+      ``max_len - 1`` extra characters, so no whole text is ever scanned or
+      re-joined -- and the smallest verified position is the first occurrence.
+    """
     by_project = _project_cond(docs, vocab)
     terms = (vocab.where(F.length("term") > 0).select("term").distinct()
              .withColumn("tlen", F.length("term")))
+    stats = terms.agg(F.min("tlen").alias("lo"), F.max("tlen").alias("hi")).first()
+    if stats["lo"] is None:
+        return _attach(docs.sparkSession.createDataFrame(
+            [], "project string, doc_id bigint, term string, start bigint"), vocab, by_project)
+    if k is None:
+        k = min(max(int(stats["lo"]), 3), 8)
+    chunks = _chunks(docs.select(*KEYS, "query"), chunk, max(int(stats["hi"]), k) - 1)
     short_lengths = sorted(r["tlen"] for r in
                            terms.where(F.col("tlen") < k).select("tlen").distinct().collect())
-    grams = _grams(docs.select(*KEYS, "query"), short_lengths + [k], chunk, k)
-
-    # Terms shorter than k: exact gram match; the smallest position is the answer.
-    short = (grams.where(F.col("n") < k)
-             .join(terms.where(F.col("tlen") < k), F.col("gram") == F.col("term"))
-             .groupBy(*KEYS, "term").agg(F.min("gpos").alias("start")))
-    # Longer terms: block on the first k-gram, then verify on the whole text.
+    found = []
+    for n in short_lengths:
+        g = _grams(chunks, n, chunk)
+        found.append(g.join(terms.where(F.col("tlen") == n), F.col("gram") == F.col("term"))
+                     .select(*KEYS, "term", (F.col("ci") * chunk + F.col("j")).alias("pos")))
     anchors = terms.where(F.col("tlen") >= k).withColumn("gram", F.substring("term", 1, k))
-    cand = (grams.where(F.col("n") == k).select(*KEYS, "gram").distinct()
-            .join(anchors, "gram").select(*KEYS, "term"))
-    long_ = (cand.join(docs.select(*KEYS, "query"), list(KEYS))
-             .select(*KEYS, "term", locate0("query", "term").alias("start"))
-             .where(F.col("start") >= 0))
-    return _attach(short.unionByName(long_), vocab, by_project)
+    cand = _grams(chunks, k, chunk).join(anchors, "gram")
+    verified = (cand.join(chunks, [*KEYS, "ci"])
+                .where(F.substring("chunk", (F.col("j") + 1).cast("int"), F.col("tlen")) == F.col("term"))
+                .select(*KEYS, "term", (F.col("ci") * chunk + F.col("j")).alias("pos")))
+    found.append(verified)
+    allpos = found[0]
+    for f in found[1:]:
+        allpos = allpos.unionByName(f)
+    first = allpos.groupBy(*KEYS, "term").agg(F.min("pos").cast("bigint").alias("start"))
+    return _attach(first, vocab, by_project)
 
 
 def containment_hits(docs: DataFrame, vocab: DataFrame, strategy: str = "auto") -> DataFrame:

@@ -168,10 +168,13 @@ def add_spans(existing: DataFrame | None, proposed: DataFrame) -> tuple[DataFram
 
 # --------------------------------------------------------------------------- B7, B8
 def _one_per_doc(requests: DataFrame) -> DataFrame:
-    if "seq" in requests.columns:
-        w = Window.partitionBy(*KEYS).orderBy("seq")
-        return requests.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return requests.dropDuplicates(list(KEYS))
+    """First request per row by ``seq`` (a partial aggregate, skew-safe)."""
+    if "seq" not in requests.columns:
+        requests = requests.withColumn("seq", F.lit(0))
+    others = [c for c in requests.columns if c not in KEYS]
+    first = requests.groupBy(*KEYS).agg(
+        F.min_by(F.struct(*others), F.col("seq")).alias("_r"))
+    return first.select(*KEYS, *[F.col("_r")[c].alias(c) for c in others])
 
 
 def remove_span(spans: DataFrame, requests: DataFrame) -> DataFrame:

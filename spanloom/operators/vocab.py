@@ -6,7 +6,7 @@ with ``term`` and ``pos`` NULL (so it still counts as present).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.ingest import position_within
@@ -73,17 +73,16 @@ def add_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
     """Append labels: blank (after strip) rejected, existing rejected, stored unstripped.
 
     ``labels``: project, pos, label; ``new``: project, label, seq.
-    Returns the registry.
+    Returns the registry. Dedup is a partial aggregate and positions come from
+    :func:`position_within`, so one hot project or label never lands in one task.
     """
-    w = Window.partitionBy("project", "label").orderBy("seq")
     fresh = (new.where(F.col("label").isNotNull() & (F.trim(F.col("label")) != ""))
-             .withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+             .groupBy("project", "label").agg(F.min("seq").alias("seq"))
              .join(labels.select("project", "label"), ["project", "label"], "left_anti"))
     base = labels.groupBy("project").agg(F.max("pos").alias("_max"))
-    wp = Window.partitionBy("project").orderBy("seq")
-    added = (fresh.join(base, "project", "left")
-             .withColumn("pos", (F.coalesce(F.col("_max") + 1, F.lit(0))
-                                 + F.row_number().over(wp) - 1).cast("int"))
+    added = (position_within(fresh, ["project"], ["seq", "label"], "_rn")
+             .join(base, "project", "left")
+             .withColumn("pos", (F.coalesce(F.col("_max") + 1, F.lit(0)) + F.col("_rn")).cast("int"))
              .select("project", "pos", "label"))
     return labels.select("project", "pos", "label").unionByName(added)
 
@@ -91,9 +90,8 @@ def add_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
 def remove_labels(labels: DataFrame, remove: DataFrame) -> DataFrame:
     """Remove labels (spans using them are not touched); positions close up."""
     kept = labels.join(remove.select("project", "label"), ["project", "label"], "left_anti")
-    w = Window.partitionBy("project").orderBy("pos")
-    return kept.withColumn("pos", (F.row_number().over(w) - 1).cast("int")) \
-               .select("project", "pos", "label")
+    out = position_within(kept.withColumnRenamed("pos", "_p"), ["project"], ["_p"])
+    return out.select("project", F.col("pos").cast("int"), "label")
 
 
 def clean_vocab(vocab: DataFrame) -> DataFrame:

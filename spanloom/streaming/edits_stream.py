@@ -22,7 +22,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -95,8 +95,10 @@ def dense_seq(edits: DataFrame) -> DataFrame:
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
     """The snapshot with the largest ``next_seq`` per row."""
-    w = Window.partitionBy(*KEYS).orderBy(F.col("next_seq").desc())
-    return snapshots.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    others = [c for c in snapshots.columns if c not in KEYS]
+    latest = snapshots.groupBy(*KEYS).agg(
+        F.max_by(F.struct(*others), F.col("next_seq")).alias("_s"))
+    return latest.select(*KEYS, *[F.col("_s")[c].alias(c) for c in others])
 
 
 def snapshot_spans(snapshots: DataFrame) -> DataFrame:
