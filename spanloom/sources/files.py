@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.ingest import (empty_anns, explode_spans, nest_spans, parse_annotations,
                                       require_query, with_doc_id)
-from spanloom.schema import ANNOTATIONS, DEFAULT_LABEL_MAP
+from spanloom.schema import ANNOTATIONS, DEFAULT_LABEL_MAP, LABEL_MAP, REJECTS, SPANS, VOCAB
 
 KEYS = ("project", "doc_id")
 
@@ -233,11 +233,14 @@ def ingest_project(spark: SparkSession, data_path: str, project: str, root: str,
 def load_project(spark: SparkSession, root: str, project: str) -> dict[str, DataFrame]:
     """Read one project's tables; the ``project`` filter prunes partitions."""
     from pyspark.errors import AnalysisException
+    schemas = {"docs": None, "spans": SPANS, "rejects": REJECTS, "vocab": VOCAB,
+               "label_map": LABEL_MAP}
     out = {}
-    for name in ("docs", "spans", "rejects", "vocab", "label_map"):
+    for name, schema in schemas.items():
+        reader = spark.read.schema(schema) if schema else spark.read
         try:
-            out[name] = spark.read.parquet(f"{root}/{name}").where(F.col("project") == project)
-        except AnalysisException:  # artefact never written (or written empty)
+            out[name] = reader.parquet(f"{root}/{name}").where(F.col("project") == project)
+        except AnalysisException:  # artefact never written
             continue
     return out
 
