@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.mapping import normalize_value
@@ -49,11 +49,12 @@ def set_mapping(spans: DataFrame, changes: DataFrame) -> DataFrame:
     reads as []). An existing category keeps its place; new ones are appended.
     Unknown ordinals are ignored.
     """
-    w = Window.partitionBy(*KEYS, "ord", "category").orderBy(F.col("seq").desc())
-    last = (changes.withColumn("_r", F.row_number().over(w))
-            .withColumn("_any", F.max(F.size("values") > 0).over(
-                Window.partitionBy(*KEYS, "ord", "category")))
-            .where("_r = 1"))
+    # Partial aggregates (map-side combine), so a span that receives a huge
+    # number of changes is never gathered into one task. Ties on seq are broken
+    # by the values themselves, so the result is deterministic.
+    last = changes.groupBy(*KEYS, "ord", "category").agg(
+        F.max_by("values", F.struct(F.col("seq"), F.col("values"))).alias("values"),
+        F.max(F.size("values") > 0).alias("_any"))
     per_span = last.groupBy(*KEYS, "ord").agg(
         F.map_from_entries(F.collect_list(F.struct("category", "values"))).alias("_ch"),
         F.collect_list(F.when(F.col("_any"), F.col("category"))).alias("_nonempty"))

@@ -1,32 +1,33 @@
 """Substring containment join (``term in text``) and vocabulary pre-annotation.
 
-``docs JOIN vocab ON contains(query, term)`` has no equi-key, so Catalyst
-would plan a cartesian product. Three exact physical strategies:
-
-* ``broadcast`` -- the vocabulary is broadcast (after a size check) and each
-  text is tested against every term: a BroadcastNestedLoopJoin (or a
-  BroadcastHashJoin on ``project`` plus the containment condition). Texts never
-  move. Cost = texts x terms x text length, fine for small vocabularies.
-* ``automaton`` -- the vocabulary (size-checked) is compiled once per task
-  into an Aho-Corasick automaton; ``mapInPandas`` scans every text once and
-  reports the first position of each term. Map-only, no shuffle, cost ~
-  text length. The default when the automaton library is present.
-* ``ngram`` -- for vocabularies beyond the broadcast limit. Texts are cut into
-  code-point chunks, every chunk yields its k-grams (and shorter grams for
-  short terms) with positions; terms are equi-joined on their first k-gram
-  (or matched exactly when shorter than k) -- a shuffle join on the gram, no
-  broadcast -- then candidates are verified with ``locate`` on the full text.
-  Exact: a term inside a text implies its first k-gram is inside it.
-
-All return ``KEYS, key, pos, term, start`` = first occurrence (0-based code
-points) of every non-empty vocabulary term inside every text that contains it.
+``texts JOIN terms ON contains(text, term)`` has no equi-key, so Catalyst
+would plan a cartesian product. :func:`term_hits` has three exact physical
+strategies over distinct term strings, for any id columns:
+
+* ``automaton`` -- the distinct term list (size-checked) is compiled once per
+  task into an Aho-Corasick automaton; ``mapInPandas`` scans every text once
+  and reports the first position of each term. Map-only, no shuffle, cost ~
+  text length. The default when the library is present.
+* ``ngram`` -- for term lists beyond that limit (or without the library).
+  Texts are cut into code-point chunks, every chunk yields its k-grams (and
+  shorter grams for short terms) with positions; terms are equi-joined on
+  their first k-gram (or matched exactly when shorter than k) -- a shuffle
+  join on the gram, no broadcast -- and candidates are verified with
+  ``substring`` on their chunk. Exact: a term inside a text implies its first
+  k-gram is inside it.
+* ``broadcast`` -- a size-checked broadcast nested-loop join (texts x terms).
+  Only on explicit request (equivalence tests, tiny term lists); ``auto``
+  never picks it.
+
+:func:`containment_hits` attaches the hits to vocabulary rows and returns
+``KEYS, key, pos, term, start``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from spanloom.functions.spans import locate0
 from spanloom.operators.spans import add_spans
@@ -40,8 +41,9 @@ AUTOMATON_MAX_TERMS = 2_000_000
 AUTOMATON_MAX_CHARS = 64 << 20
 
 
-def _vocab_size(vocab: DataFrame) -> tuple[int, int]:
-    row = vocab.where(F.length("term") > 0).agg(
+def _terms_size(terms: DataFrame) -> tuple[int, int]:
+    """Number and total length of the distinct non-empty terms (the broadcast size)."""
+    row = terms.where(F.length("term") > 0).select("term").distinct().agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("c")
     ).first()
     return int(row["n"]), int(row["c"])
@@ -55,40 +57,22 @@ def _have_automaton() -> bool:
         return False
 
 
-def _project_cond(docs: DataFrame, vocab: DataFrame):
-    return "project" in vocab.columns and "project" in docs.columns
+def _distinct_terms(terms: DataFrame) -> DataFrame:
+    return terms.where(F.length("term") > 0).select("term").distinct()
 
 
-def _attach(hits: DataFrame, vocab: DataFrame, by_project: bool) -> DataFrame:
-    """Hits on distinct term text -> every vocabulary row holding that term."""
-    cols = ["term"] + (["project"] if by_project else [])
-    v = vocab.where(F.length("term") > 0).select(*cols, "key", "pos")
-    return hits.join(v, cols).select(*KEYS, "key", "pos", "term", "start")
+def hits_broadcast(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame) -> DataFrame:
+    t = _distinct_terms(terms)
+    d = texts.select(*ids, F.col(text_col).alias("_q"))
+    j = d.join(F.broadcast(t), F.col("_q").contains(F.col("term")))
+    return j.select(*ids, "term", locate0("_q", "term").alias("start"))
 
 
-def contains_broadcast(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    by_project = _project_cond(docs, vocab)
-    v = vocab.where(F.length("term") > 0).select(
-        *(["project"] if by_project else []), "key", "pos", "term")
-    d = docs.select(*KEYS, "query")
-    cond = F.col("query").contains(F.col("term"))
-    if by_project:
-        j = d.join(F.broadcast(v), ["project"]).where(cond)
-    else:
-        j = d.join(F.broadcast(v), cond)
-    return j.select(*KEYS, "key", "pos", "term", locate0("query", "term").alias("start"))
-
-
-def contains_automaton(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    by_project = _project_cond(docs, vocab)
-    spark = docs.sparkSession
-    terms_df = vocab.where(F.length("term") > 0).select("term").distinct()
-    # Size-checked before this call; the distinct term list is the broadcast.
-    terms = [r["term"] for r in terms_df.collect()]
-    bc = spark.sparkContext.broadcast(terms)
-
+def _scan_fn(ids: list[str], text_col: str, bc):
+    """Partition function: first position of every automaton term in every text."""
     def scan(batches):
         import ahocorasick
+        import numpy as np
         auto = ahocorasick.Automaton()
         for i, t in enumerate(bc.value):
             auto.add_word(t, (i, len(t)))
@@ -98,8 +82,8 @@ def contains_automaton(docs: DataFrame, vocab: DataFrame) -> DataFrame:
             return
         auto.make_automaton()
         for pdf in batches:
-            projects, doc_ids, idx, starts = [], [], [], []
-            for p, d, q in zip(pdf["project"], pdf["doc_id"], pdf["query"]):
+            rows, idx, starts = [], [], []
+            for r, q in enumerate(pdf[text_col].tolist()):
                 if q is None:
                     continue
                 seen = set()
@@ -108,45 +92,53 @@ def contains_automaton(docs: DataFrame, vocab: DataFrame) -> DataFrame:
                 for end_i, (ti, n) in auto.iter(q):
                     if ti not in seen:
                         seen.add(ti)
-                        projects.append(p)
-                        doc_ids.append(d)
+                        rows.append(r)
                         idx.append(ti)
                         starts.append(end_i - n + 1)
-            if idx:
-                yield pd.DataFrame({"project": pd.Series(projects, dtype=object),
-                                    "doc_id": pd.Series(doc_ids, dtype="int64"),
-                                    "t": pd.Series(idx, dtype="int32"),
-                                    "start": pd.Series(starts, dtype="int64")})
-
-    hits = docs.select(*KEYS, "query").mapInPandas(
-        scan, "project string, doc_id bigint, t int, start bigint")
-    term_ids = spark.createDataFrame(list(enumerate(terms)), "t int, term string")
-    hits = hits.join(F.broadcast(term_ids), "t").drop("t")
-    return _attach(hits, vocab, by_project)
-
-
-def _chunks(docs: DataFrame, chunk: int, ext: int) -> DataFrame:
+            if rows:
+                out = pdf.iloc[rows][ids].reset_index(drop=True)
+                out["_t"] = np.asarray(idx, dtype="int32")
+                out["start"] = np.asarray(starts, dtype="int64")
+                yield out
+    return scan
+
+
+def hits_automaton(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame) -> DataFrame:
+    spark = texts.sparkSession
+    # Size-checked by the caller; the distinct term list is the broadcast.
+    term_list = [r["term"] for r in _distinct_terms(terms).collect()]
+    bc = spark.sparkContext.broadcast(term_list)
+    fields = {f.name: f for f in texts.schema.fields}
+    schema = StructType([fields[c] for c in ids]
+                        + [StructField("_t", IntegerType()), StructField("start", LongType())])
+    cols = list(dict.fromkeys([*ids, text_col]))
+    hits = texts.select(*cols).mapInPandas(_scan_fn(ids, text_col, bc), schema)
+    term_ids = spark.createDataFrame(list(enumerate(term_list)), "_t int, term string")
+    return hits.join(F.broadcast(term_ids), "_t").select(*ids, "term", "start")
+
+
+def _chunks(texts: DataFrame, ids: list[str], text_col: str, chunk: int, ext: int) -> DataFrame:
     """Code-point chunks of ``chunk`` characters, each extended by the next
     ``ext`` characters so any match starting in a chunk lies inside it."""
-    parts = F.regexp_extract_all(F.col("query"), F.lit("(?s).{1,%d}" % chunk), F.lit(0))
+    parts = F.regexp_extract_all(F.col(text_col), F.lit("(?s).{1,%d}" % chunk), F.lit(0))
     tail = F.transform(parts, lambda c, i: F.concat(c, F.coalesce(F.substring(
         F.array_join(F.slice(parts, i + 2, max(1, -(-ext // chunk))), ""), 1, ext), F.lit(""))))
-    return docs.select(*KEYS, F.posexplode(tail).alias("ci", "chunk"))
+    return texts.select(*ids, F.posexplode(tail).alias("ci", "chunk"))
 
 
-def _grams(chunks: DataFrame, n: int, chunk: int) -> DataFrame:
+def _grams(chunks: DataFrame, ids: list[str], n: int, chunk: int) -> DataFrame:
     """Every n-gram starting inside its chunk, with chunk index and offset."""
     chars = F.regexp_extract_all(F.col("chunk"), F.lit("(?s)."), F.lit(0))
-    return (chunks.select(*KEYS, "ci", chars.alias("ch"))
+    return (chunks.select(*ids, "ci", chars.alias("ch"))
             .withColumn("_hi", F.least(F.lit(chunk), F.size("ch") - n + 1) - 1)
-            .select(*KEYS, "ci", "ch", F.explode(F.when(
+            .select(*ids, "ci", "ch", F.explode(F.when(
                 F.col("_hi") >= 0, F.sequence(F.lit(0), F.col("_hi")))).alias("j"))
-            .select(*KEYS, "ci", "j", F.array_join(F.slice("ch", F.col("j") + 1, n), "").alias("gram")))
+            .select(*ids, "ci", "j", F.array_join(F.slice("ch", F.col("j") + 1, n), "").alias("gram")))
 
 
-def contains_ngram(docs: DataFrame, vocab: DataFrame, k: int | None = None,
-                   chunk: int = 512) -> DataFrame:
-    """N-gram blocking join (no broadcast of the vocabulary needed).
+def hits_ngram(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame,
+               k: int | None = None, chunk: int = 512) -> DataFrame:
+    """N-gram blocking join (no broadcast of the terms needed).
 
     * k (gram length) defaults to the shortest term length, clamped to 3..8, so
       anchors are as selective as the vocabulary allows.
@@ -156,59 +148,81 @@ def contains_ngram(docs: DataFrame, vocab: DataFrame, k: int | None = None,
       ``max_len - 1`` extra characters, so no whole text is ever scanned or
       re-joined -- and the smallest verified position is the first occurrence.
     """
-    by_project = _project_cond(docs, vocab)
-    terms = (vocab.where(F.length("term") > 0).select("term").distinct()
-             .withColumn("tlen", F.length("term")))
-    stats = terms.agg(F.min("tlen").alias("lo"), F.max("tlen").alias("hi")).first()
+    t = _distinct_terms(terms).withColumn("tlen", F.length("term"))
+    stats = t.agg(F.min("tlen").alias("lo"), F.max("tlen").alias("hi")).first()
+    fields = {f.name: f for f in texts.schema.fields}
     if stats["lo"] is None:
-        return _attach(docs.sparkSession.createDataFrame(
-            [], "project string, doc_id bigint, term string, start bigint"), vocab, by_project)
+        empty = StructType([fields[c] for c in ids]
+                           + [StructField("term", StringType()), StructField("start", LongType())])
+        return texts.sparkSession.createDataFrame([], empty)
     if k is None:
         k = min(max(int(stats["lo"]), 3), 8)
-    chunks = _chunks(docs.select(*KEYS, "query"), chunk, max(int(stats["hi"]), k) - 1)
+    chunks = _chunks(texts, ids, text_col, chunk, max(int(stats["hi"]), k) - 1)
     short_lengths = sorted(r["tlen"] for r in
-                           terms.where(F.col("tlen") < k).select("tlen").distinct().collect())
+                           t.where(F.col("tlen") < k).select("tlen").distinct().collect())
     found = []
     for n in short_lengths:
-        g = _grams(chunks, n, chunk)
-        found.append(g.join(terms.where(F.col("tlen") == n), F.col("gram") == F.col("term"))
-                     .select(*KEYS, "term", (F.col("ci") * chunk + F.col("j")).alias("pos")))
-    anchors = terms.where(F.col("tlen") >= k).withColumn("gram", F.substring("term", 1, k))
-    cand = _grams(chunks, k, chunk).join(anchors, "gram")
-    verified = (cand.join(chunks, [*KEYS, "ci"])
+        g = _grams(chunks, ids, n, chunk)
+        found.append(g.join(t.where(F.col("tlen") == n), F.col("gram") == F.col("term"))
+                     .select(*ids, "term", (F.col("ci") * chunk + F.col("j")).alias("pos")))
+    anchors = t.where(F.col("tlen") >= k).withColumn("gram", F.substring("term", 1, k))
+    cand = _grams(chunks, ids, k, chunk).join(anchors, "gram")
+    verified = (cand.join(chunks, [*ids, "ci"])
                 .where(F.substring("chunk", (F.col("j") + 1).cast("int"), F.col("tlen")) == F.col("term"))
-                .select(*KEYS, "term", (F.col("ci") * chunk + F.col("j")).alias("pos")))
+                .select(*ids, "term", (F.col("ci") * chunk + F.col("j")).alias("pos")))
     found.append(verified)
     allpos = found[0]
     for f in found[1:]:
         allpos = allpos.unionByName(f)
-    first = allpos.groupBy(*KEYS, "term").agg(F.min("pos").cast("bigint").alias("start"))
-    return _attach(first, vocab, by_project)
+    return allpos.groupBy(*ids, "term").agg(F.min("pos").cast("bigint").alias("start"))
 
 
-def containment_hits(docs: DataFrame, vocab: DataFrame, strategy: str = "auto") -> DataFrame:
-    """First occurrence of every vocabulary term in every text (see module doc)."""
-    if strategy == "auto":
-        n, c = _vocab_size(vocab)
-        if _have_automaton() and n <= AUTOMATON_MAX_TERMS and c <= AUTOMATON_MAX_CHARS:
-            strategy = "automaton"
-        elif n <= BROADCAST_MAX_TERMS and c <= BROADCAST_MAX_CHARS:
-            strategy = "broadcast"
-        else:
-            strategy = "ngram"
-    elif strategy in ("broadcast", "automaton"):
-        n, c = _vocab_size(vocab)
-        lim = (BROADCAST_MAX_TERMS, BROADCAST_MAX_CHARS) if strategy == "broadcast" \
-            else (AUTOMATON_MAX_TERMS, AUTOMATON_MAX_CHARS)
-        if n > lim[0] or c > lim[1]:
-            strategy = "ngram"
-    if strategy == "broadcast":
-        return contains_broadcast(docs, vocab)
-    if strategy == "automaton":
-        return contains_automaton(docs, vocab)
+def pick_strategy(terms: DataFrame, strategy: str = "auto") -> str:
+    """Resolve ``auto`` and enforce the size limits of the shipped strategies.
+
+    ``auto`` takes the automaton when the library is present and the term list
+    is under its limits, else the n-gram join. The nested-loop ``broadcast``
+    strategy is never chosen automatically; asked for explicitly, it is still
+    size-checked and falls back to the n-gram join above its limits.
+    """
+    if strategy not in ("auto", "automaton", "broadcast", "ngram"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "ngram":
-        return contains_ngram(docs, vocab)
-    raise ValueError(f"unknown strategy {strategy!r}")
+        return strategy
+    n, c = _terms_size(terms)
+    if strategy == "broadcast":
+        ok = n <= BROADCAST_MAX_TERMS and c <= BROADCAST_MAX_CHARS
+        return "broadcast" if ok else "ngram"
+    ok = _have_automaton() and n <= AUTOMATON_MAX_TERMS and c <= AUTOMATON_MAX_CHARS
+    return "automaton" if ok else "ngram"
+
+
+def term_hits(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame,
+              strategy: str = "auto") -> DataFrame:
+    """``ids..., term, start``: first occurrence (0-based code points) of every
+    distinct non-empty ``terms.term`` inside every text that contains it."""
+    s = pick_strategy(terms, strategy)
+    fn = {"broadcast": hits_broadcast, "automaton": hits_automaton, "ngram": hits_ngram}[s]
+    return fn(texts, list(ids), text_col, terms)
+
+
+def _attach(hits: DataFrame, vocab: DataFrame, by_project: bool) -> DataFrame:
+    """Hits on distinct term text -> every vocabulary row holding that term."""
+    cols = ["term"] + (["project"] if by_project else [])
+    v = vocab.where(F.length("term") > 0).select(*cols, "key", "pos")
+    return hits.join(v, cols).select(*KEYS, "key", "pos", "term", "start")
+
+
+def containment_hits(docs: DataFrame, vocab: DataFrame, strategy: str = "auto") -> DataFrame:
+    """First occurrence of every vocabulary term in every text (see module doc).
+
+    Terms are matched as distinct strings, then attached to every vocabulary
+    row holding them in the text's project.
+    """
+    by_project = "project" in vocab.columns and "project" in docs.columns
+    hits = term_hits(docs.select(*KEYS, "query"), list(KEYS), "query", vocab.select("term"),
+                     strategy)
+    return _attach(hits, vocab, by_project)
 
 
 def term_labels(vocab: DataFrame, label_map: DataFrame | None) -> DataFrame:
@@ -243,10 +257,3 @@ def annotate_with_vocab(docs: DataFrame, vocab: DataFrame, label_map: DataFrame
                  F.col("pos").cast("bigint").alias("pos"), F.col("key")).alias("seq"))
     spans, _ = add_spans(None, props)
     return spans
-
-
-def first_hits_per_label(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Hits ranked per text by position (helper for reports)."""
-    hits = containment_hits(docs, vocab)
-    w = Window.partitionBy(*KEYS).orderBy("start", F.length("term").desc(), "key", "pos")
-    return hits.withColumn("rank", F.row_number().over(w))

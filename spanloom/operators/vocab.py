@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.ingest import position_within
+from spanloom.operators.match import term_hits
 
 
 def has_vocab(projects: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -24,23 +25,45 @@ def vocab_stats(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("project", "key").agg(F.count("term").alias("n_terms"))
 
 
-def find_mappings(mentions: DataFrame, vocab: DataFrame) -> DataFrame:
+def find_mappings(mentions: DataFrame, vocab: DataFrame, strategy: str = "auto") -> DataFrame:
     """Candidates of each mention among the terms of its label key.
 
     ``mentions``: project, mention_id, key, text. A term matches when
     ``text in term or term in text`` (an empty string is inside everything).
     Mentions with no match get every term of the key (``matched`` false);
     unknown keys give nothing. List order (``pos``) and duplicates are kept.
-    The equi-join on (project, key) carries the containment test as its
-    condition, so only matches leave the join.
+
+    No mention x term pairs are formed inside a key. Both directions are
+    substring-containment joins over distinct strings (:func:`term_hits`:
+    an automaton or n-gram blocking join): vocabulary terms found in each
+    distinct ``(project, key, text)``, and mention texts found in each
+    distinct ``(project, key, term)``. Their hits come back through
+    equi-joins on ``(project, key, ...)``, so only real matches are joined. Empty
+    strings, which match everything, are equi-joins on ``(project, key)``.
     """
-    v = vocab.where(F.col("term").isNotNull()).select("project", "key", "pos", "term")
+    scope = ["project", "key"]
+    v = vocab.where(F.col("term").isNotNull()).select(*scope, "pos", "term")
     m = mentions.select("project", "mention_id", "key", "text")
-    cond = F.col("term").contains(F.col("text")) | F.col("text").contains(F.col("term"))
-    hit = m.join(v, ["project", "key"]).where(cond).withColumn("matched", F.lit(True))
+    mt = m.where(F.length("text") > 0).select(*scope, "text").distinct()
+    vt = v.where(F.length("term") > 0).select(*scope, F.col("term").alias("vterm")).distinct()
+    # term inside text
+    a = (term_hits(mt, [*scope, "text"], "text", v.select("term"), strategy)
+         .select(*scope, "text", "term"))
+    # text inside term
+    b = (term_hits(vt, [*scope, "vterm"], "vterm", mt.select(F.col("text").alias("term")), strategy)
+         .select(*scope, F.col("term").alias("text"), F.col("vterm").alias("term")))
+    # '' is inside every string
+    e_text = m.where(F.col("text") == "").select(*scope, "text").distinct() \
+        .join(v.select(*scope, "term").distinct(), scope)
+    e_term = v.where(F.col("term") == "").select(*scope, "term").distinct() \
+        .join(m.where(F.col("text").isNotNull()).select(*scope, "text").distinct(), scope)
+    pairs = (a.unionByName(b).unionByName(e_text.select(*scope, "text", "term"))
+             .unionByName(e_term.select(*scope, "text", "term")).distinct())
+    hit = (m.join(pairs, [*scope, "text"]).join(v, [*scope, "term"])
+           .withColumn("matched", F.lit(True)))
     missing = m.join(hit.select("project", "mention_id", "key").distinct(),
                      ["project", "mention_id", "key"], "left_anti")
-    fallback = missing.join(v, ["project", "key"]).withColumn("matched", F.lit(False))
+    fallback = missing.join(v, scope).withColumn("matched", F.lit(False))
     cols = ["project", "mention_id", "key", "text", "pos", "term", "matched"]
     return hit.select(cols).unionByName(fallback.select(cols))
 

@@ -102,3 +102,32 @@ def test_replay_dedups_repeated_edits(spark):
     once = rows(E.replay_edits(edits))
     twice = rows(E.replay_edits(edits.unionByName(edits)))
     assert once == twice
+
+
+def _brute_find(mentions, vocab):
+    """The tool's rule, row by row: ``text in term or term in text``, else all terms."""
+    out = set()
+    for p, mid, key, text in mentions:
+        terms = [(pos, t) for (vp, vk, pos, t) in vocab if (vp, vk) == (p, key) and t is not None]
+        hit = [(pos, t) for pos, t in terms if text is not None and (text in t or t in text)]
+        for pos, t in hit or terms:
+            out.add((p, mid, key, text, pos, t, bool(hit)))
+    return sorted(out, key=repr)
+
+
+def test_find_mappings_strategies_equal_brute_force(spark):
+    from spanloom.operators import vocab as VC
+    rnd = random.Random(11)
+    alphabet = "ab华c"
+    def word(lo, hi):
+        return "".join(rnd.choice(alphabet) for _ in range(rnd.randint(lo, hi)))
+    vocab = [(p, k, i, word(0, 5)) for p in ("p", "q") for k in ("k1", "k2") for i in range(12)]
+    vocab += [("p", "k1", 12, vocab[0][3]), ("p", "k3", 0, None)]
+    mentions = [(rnd.choice("pq"), f"m{i}", rnd.choice(["k1", "k2", "k3", "k9"]), word(0, 7))
+                for i in range(60)] + [("p", "mnull", "k1", None)]
+    m = spark.createDataFrame(mentions, "project string, mention_id string, key string, text string")
+    v = spark.createDataFrame(vocab, "project string, key string, pos int, term string")
+    expect = _brute_find(mentions, vocab)
+    for strategy in ("automaton", "ngram", "broadcast"):
+        got = sorted((tuple(r) for r in VC.find_mappings(m, v, strategy).collect()), key=repr)
+        assert got == expect, strategy
