@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.arrays import sort_by
 from spanloom.functions.mapping import normalize_value
-from spanloom.session import ensure_checkpoint_dir
+from spanloom.operators.ordered import OrderedScan
+from spanloom.session import materialize
 from spanloom.schema import ANNOTATIONS_DDL, ANNOTATIONS_VARIANT_DDL, MAPPING_TYPE
 
 def empty_anns():
@@ -53,11 +54,10 @@ def with_doc_id(df: DataFrame, key: str | None = None,
     tagged = ordered.withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumn("_part", F.shiftright("_mid", 33)) \
                    .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    # Counts and ids must come from the same physical partitioning, so the
-    # tagged rows are materialised once (reliable checkpoint in the shared
-    # checkpoint dir; survives executor loss) before being read twice.
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = tagged.checkpoint(eager=True)
+    # Counts and ids must come from the same tags, so the tagged rows are
+    # written once to the shared checkpoint dir (survives executor loss) and
+    # read twice.
+    tagged = materialize(tagged, "doc-id")
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: tiny, so a global window here is fine.
     offsets = counts.select(
@@ -70,17 +70,16 @@ def with_doc_id(df: DataFrame, key: str | None = None,
 
 
 def position_within(df: DataFrame, group: list[str], order: list[str],
-                    name: str = "pos") -> DataFrame:
+                    name: str = "pos", skew_safe: bool | None = None) -> DataFrame:
     """0-based position of each row inside its group, in the given order.
 
-    Same result as ``row_number() over (partition by group order by order) - 1``
-    but a group holding most of the rows is still spread over many tasks: a
-    global dense index over (group, order) is range-partitioned, and each
-    group's first index (one row per group) is subtracted.
+    ``row_number() over (partition by group order by order) - 1`` when the
+    largest group is under the checked bound; otherwise a skew-safe ordered
+    scan (:class:`~spanloom.operators.ordered.OrderedScan`) that spreads a
+    group holding most of the rows over many tasks.
     """
-    idx = with_doc_id(df, order_by=[*group, *order], name="_gi")
-    first = idx.groupBy(*group).agg(F.min("_gi").alias("_g0"))
-    return idx.join(first, group).withColumn(name, F.col("_gi") - F.col("_g0")).drop("_gi", "_g0")
+    plan = OrderedScan(df, list(group), list(order), skew_safe=skew_safe)
+    return plan.finish(plan.scan(plan.frame, [(name, "index", None)]))
 
 
 def _raw_checks(raw: Column):

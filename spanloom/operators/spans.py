@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.arrays import sort_by
 from spanloom.functions.spans import found_in, locate0, span_slice, validate_reason
+from spanloom.operators import ordered as O
+from spanloom.session import materialize
 
 KEYS = ("project", "doc_id")
 
@@ -72,35 +74,49 @@ def overlap_pairs(spans: DataFrame, bin_width: int = 64) -> DataFrame:
 # --------------------------------------------------------------------------- B5
 _ITEM = ("kind", "seq", "start", "end", "text", "label", "mapped_value")
 
+# Islands up to this many items are folded JVM-side in one array (quadratic in
+# the island, so kept small); larger ones stream through a sorted-interval fold.
+ISLAND_FOLD_MAX = 1000
 
-def _fold_islands(items: DataFrame) -> DataFrame:
-    """Greedy first-wins overlap check, one sequential fold per overlap island.
 
-    ``items``: KEYS + kind (0 = already stored, always kept; 1 = proposed) +
-    seq (ord for stored, arrival order for proposed) + span fields.
+def _islands(items: DataFrame, skew_safe: bool | None = None) -> tuple[DataFrame, O.OrderedScan]:
+    """Tag items with ``island``, ``dup`` and a row id ``_rid``.
 
-    Proposals only interact inside an *island*: a maximal run of spans, sorted
-    by start, whose extents overlap. Islands come from a running max of ``end``
-    (one sort per row), so a row with many spans is cut into many small,
-    independent folds. Proposals identical to an earlier non-empty span are
-    rejected without entering the fold (they always overlap it or what
-    rejected it). Returns the items with ``keep`` and ``dup``.
+    Items of a row are ordered by (start, end, kind, seq); a new island starts
+    where ``start`` reaches the max ``end`` of all earlier items. The running
+    max, the previous item and the island count are ordered scans
+    (:class:`~spanloom.operators.ordered.OrderedScan`): plain windows when
+    the largest row is under the checked bound, else skew-safe range scans
+    that spread a row holding most of the spans over many tasks. Items are
+    written once first, so the size check and the scans do not recompute an
+    expensive input (e.g. the containment join). Returns the staged items
+    and the scan plan (mode and measured largest row).
     """
-    w = Window.partitionBy(*KEYS).orderBy("start", "end", "kind", "seq")
-    prev_end = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    same_prev = ((F.lag("start").over(w) == F.col("start")) & (F.lag("end").over(w) == F.col("end")))
-    staged = (items
-              .withColumn("dup", (F.col("kind") == 1) & (F.col("start") < F.col("end"))
-                          & F.coalesce(same_prev, F.lit(False)))
-              .withColumn("_new", F.when(prev_end.isNull() | (F.col("start") >= prev_end), 1)
-                          .otherwise(0))
-              .withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-              .drop("_new"))
-    dups = staged.where("dup").withColumn("keep", F.lit(False))
-    live = staged.where(~F.col("dup"))
-
-    entry = F.struct(*[F.col(c) for c in _ITEM])
-    grouped = live.groupBy(*KEYS, "island").agg(sort_by(F.collect_list(entry), "kind", "seq").alias("arr"))
+    items = materialize(items.withColumn("_rid", F.monotonically_increasing_id()), "items")
+    plan = O.OrderedScan(items, list(KEYS), ["start", "end", "kind", "seq"], skew_safe=skew_safe)
+    t = plan.scan(plan.frame, [("_pe", "max_before", "end"), ("_ps", "lag", "start"),
+                               ("_pe1", "lag", "end")])
+    same_prev = (F.col("_ps") == F.col("start")) & (F.col("_pe1") == F.col("end"))
+    t = (t.withColumn("dup", (F.col("kind") == 1) & (F.col("start") < F.col("end"))
+                      & F.coalesce(same_prev, F.lit(False)))
+         .withColumn("_new", F.when(F.col("_pe").isNull() | (F.col("start") >= F.col("_pe")), 1)
+                     .otherwise(0))
+         .drop("_pe", "_ps", "_pe1"))
+    if plan.skew_safe:
+        # A range scan reads its input twice (pieces and summary): write it once.
+        t = materialize(t, "islands")
+    t = plan.scan(t, [("island", "sum_upto", "_new")])
+    staged = plan.finish(t, keep_rid=True).drop("_new")
+    if plan.skew_safe:
+        staged = materialize(staged, "islands")
+    return staged, plan
+
+
+def _fold_small(live: DataFrame) -> DataFrame:
+    """JVM fold: one ``aggregate`` over each island's items sorted by (kind, seq)."""
+    entry = F.struct("_rid", *[F.col(c) for c in _ITEM])
+    grouped = live.groupBy(*KEYS, "island").agg(
+        sort_by(F.collect_list(entry), "kind", "seq").alias("arr"))
     init = F.array().cast("array<struct<s:bigint,e:bigint,keep:boolean>>")
 
     def step(acc, x):
@@ -110,12 +126,111 @@ def _fold_islands(items: DataFrame) -> DataFrame:
                                               keep.alias("keep"))))
 
     flags = F.aggregate("arr", init, step)
-    folded = (grouped.select(*KEYS, "island",
-                             F.explode(F.arrays_zip(F.col("arr").alias("x"), flags.alias("f")))
-                             .alias("z"))
-              .select(*KEYS, "island", *[F.col("z.x")[c].alias(c) for c in _ITEM],
-                      F.col("z.f.keep").alias("keep"), F.lit(False).alias("dup")))
-    return folded.unionByName(dups.select(folded.columns))
+    return (grouped.select(*KEYS, "island",
+                           F.explode(F.arrays_zip(F.col("arr").alias("x"), flags.alias("f")))
+                           .alias("z"))
+            .select(*KEYS, "island", F.col("z.x._rid").alias("_rid"),
+                    *[F.col("z.x")[c].alias(c) for c in _ITEM], F.col("z.f.keep").alias("keep")))
+
+
+def _island_stream(batches):
+    """Greedy fold over rows sorted by (row, island, kind, stored start, seq).
+
+    Stored spans (kind 0) come first, by start: a prefix max of their ends
+    answers "does any stored span overlap [s, e)". Accepted non-empty
+    proposals are disjoint, so a list sorted by start answers the same with
+    one bisect; accepted empty spans are points, blocking spans strictly
+    around them. Memory is one island's stored and accepted spans.
+    """
+    import bisect
+
+    import pandas as pd
+    cur = None
+    st_s: list = []
+    st_m: list = []
+    acc_s: list = []
+    acc_e: list = []
+    pts: list = []
+    for pdf in batches:
+        rid_out, keep_out = [], []
+        cols = [pdf[c].tolist() for c in ("project", "doc_id", "island", "_rid", "kind", "start", "end")]
+        for p, d, isl, rid, kind, s, e in zip(*cols):
+            key = (p, d, isl)
+            if key != cur:
+                cur, st_s, st_m, acc_s, acc_e, pts = key, [], [], [], [], []
+            s, e = int(s), int(e)
+            if kind == 0:
+                st_s.append(s)
+                st_m.append(max(e, st_m[-1]) if st_m else e)
+                keep = True
+            else:
+                j = bisect.bisect_left(st_s, e)
+                hit = j > 0 and st_m[j - 1] > s
+                if not hit:
+                    j = bisect.bisect_left(acc_s, e)
+                    hit = j > 0 and acc_e[j - 1] > s
+                if not hit:
+                    k = bisect.bisect_right(pts, s)
+                    hit = k < len(pts) and pts[k] < e
+                keep = not hit
+                if keep:
+                    if s < e:
+                        j = bisect.bisect_left(acc_s, s)
+                        acc_s.insert(j, s)
+                        acc_e.insert(j, e)
+                    else:
+                        bisect.insort(pts, s)
+            rid_out.append(rid)
+            keep_out.append(keep)
+        yield pd.DataFrame({"_rid": pd.Series(rid_out, dtype="int64"),
+                            "keep": pd.Series(keep_out, dtype=bool)})
+
+
+def _fold_large(live: DataFrame) -> DataFrame:
+    """Streaming fold for islands above ``ISLAND_FOLD_MAX`` (see :func:`_island_stream`).
+
+    The greedy rule is order-dependent, so one island is one sequential pass;
+    it streams in sorted order and never becomes one array or one group.
+    """
+    order = live.select(*KEYS, "island", "_rid", "kind", "start", "end",
+                        F.when(F.col("kind") == 0, F.col("start")).alias("_sst"), "seq")
+    flags = (order.repartition(*KEYS, "island")
+             .sortWithinPartitions(*KEYS, "island", "kind", "_sst", "seq")
+             .select(*KEYS, "island", "_rid", "kind", "start", "end")
+             .mapInPandas(_island_stream, "_rid bigint, keep boolean"))
+    return live.join(flags, "_rid").select(*KEYS, "island", "_rid", *_ITEM, "keep")
+
+
+def _fold_islands(items: DataFrame, skew_safe: bool | None = None) -> tuple[DataFrame, bool]:
+    """Greedy first-wins overlap check, one sequential fold per overlap island.
+
+    ``items``: KEYS + kind (0 = already stored, always kept; 1 = proposed) +
+    seq (ord for stored, arrival order for proposed) + span fields, offsets
+    not NULL.
+
+    Proposals only interact inside an *island*: a maximal run of spans, sorted
+    by start, whose extents overlap, so a row with many spans is cut into many
+    independent folds. Proposals identical to an earlier non-empty span are
+    rejected without entering the fold (they always overlap it or what
+    rejected it). Islands up to ``ISLAND_FOLD_MAX`` items fold JVM-side, larger
+    ones stream. Returns the items with ``keep`` and ``dup``, and the scan mode.
+    """
+    staged, plan = _islands(items, skew_safe)
+    dups = staged.where("dup").withColumn("keep", F.lit(False))
+    live = staged.where(~F.col("dup")).drop("dup")
+    sizes = live.groupBy(*KEYS, "island").agg(F.count(F.lit(1)).alias("_n"))
+    # An island is never larger than its row: when the largest row is known
+    # to be small, no island needs the streaming fold and nothing is checked.
+    small_rows = plan.largest is not None and plan.largest <= ISLAND_FOLD_MAX
+    if small_rows or sizes.where(F.col("_n") > ISLAND_FOLD_MAX).limit(1).count() == 0:
+        folded = _fold_small(live)
+    else:
+        live = live.join(sizes, [*KEYS, "island"])
+        small = _fold_small(live.where(F.col("_n") <= ISLAND_FOLD_MAX).drop("_n"))
+        large = _fold_large(live.where(F.col("_n") > ISLAND_FOLD_MAX).drop("_n"))
+        folded = small.unionByName(large)
+    folded = folded.withColumn("dup", F.lit(False))
+    return folded.unionByName(dups.select(folded.columns)).drop("_rid"), plan.skew_safe
 
 
 def _proposal_items(proposed: DataFrame) -> DataFrame:
@@ -127,23 +242,36 @@ def _proposal_items(proposed: DataFrame) -> DataFrame:
         (F.col(mv) if mv else F.create_map().cast("map<string,array<string>>")).alias("mapped_value"))
 
 
-def add_spans_flags(existing: DataFrame | None, proposed: DataFrame) -> DataFrame:
-    """Per-item result of the greedy add (see :func:`add_spans`)."""
+def add_spans_flags(existing: DataFrame | None, proposed: DataFrame,
+                    skew_safe: bool | None = None) -> tuple[DataFrame, bool]:
+    """Per-item result of the greedy add (see :func:`add_spans`), and the scan mode."""
     props = _proposal_items(proposed)
     bad = props.where(F.col("start").isNull() | F.col("end").isNull())
     props = props.where(F.col("start").isNotNull() & F.col("end").isNotNull())
     items = props
+    stored_bad = None
     if existing is not None:
-        items = existing.select(
-            *KEYS, F.lit(0).alias("kind"), F.col("ord").cast("bigint").alias("seq"), "start", "end",
-            "text", "label", "mapped_value").unionByName(props)
-    folded = _fold_islands(items)
+        stored = existing.select(
+            *KEYS, F.lit(0).alias("kind"), F.col("ord").cast("bigint").alias("seq"),
+            F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"),
+            "text", "label", "mapped_value")
+        usable = F.col("start").isNotNull() & F.col("end").isNotNull()
+        # A stored span without offsets is kept and overlaps nothing.
+        stored_bad = stored.where(~usable)
+        items = stored.where(usable).unionByName(props)
+    folded, skew_safe = _fold_islands(items, skew_safe)
     bad = bad.withColumn("island", F.lit(None).cast("bigint")) \
              .withColumn("keep", F.lit(False)).withColumn("dup", F.lit(False))
-    return folded.unionByName(bad.select(folded.columns))
+    out = folded.unionByName(bad.select(folded.columns))
+    if stored_bad is not None:
+        out = out.unionByName(stored_bad.withColumn("island", F.lit(None).cast("bigint"))
+                              .withColumn("keep", F.lit(True)).withColumn("dup", F.lit(False))
+                              .select(folded.columns))
+    return out, skew_safe
 
 
-def add_spans(existing: DataFrame | None, proposed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def add_spans(existing: DataFrame | None, proposed: DataFrame,
+              skew_safe: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Add proposed spans in ``seq`` order; a span overlapping an accepted one is rejected.
 
     ``existing``: flat spans (KEYS, ord, text, label, start, end, mapped_value)
@@ -152,7 +280,7 @@ def add_spans(existing: DataFrame | None, proposed: DataFrame) -> tuple[DataFram
     appended after the stored ones, in ``seq`` order) and one row per proposal
     with ``accepted`` and ``reason`` (``overlap`` / ``bad_offset``).
     """
-    flags = add_spans_flags(existing, proposed)
+    flags, skew_safe = add_spans_flags(existing, proposed, skew_safe)
     props = flags.where(F.col("kind") == 1)
     outcomes = props.select(
         *KEYS, "seq", F.col("keep").alias("accepted"),
@@ -160,9 +288,10 @@ def add_spans(existing: DataFrame | None, proposed: DataFrame) -> tuple[DataFram
         .when(F.col("start").isNull() | F.col("end").isNull(), F.lit("bad_offset"))
         .otherwise(F.lit("overlap")).alias("reason"))
     # Stored spans sort first (kind 0, by ord), so accepted proposals continue
-    # the list in seq order; the list is renumbered densely from 0.
-    wo = Window.partitionBy(*KEYS).orderBy("kind", "seq")
-    spans = flags.where("keep").withColumn("ord", (F.row_number().over(wo) - 1).cast("bigint"))
+    # the list in seq order; the list is renumbered densely from 0 by an
+    # ordered scan in the mode already chosen (kept rows per row <= items per row).
+    plan = O.OrderedScan(flags.where("keep"), list(KEYS), ["kind", "seq"], skew_safe=skew_safe)
+    spans = plan.finish(plan.scan(plan.frame, [("ord", "index", None)]))
     return spans.select(*KEYS, "ord", "text", "label", "start", "end", "mapped_value"), outcomes
 
 

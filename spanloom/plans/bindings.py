@@ -23,11 +23,11 @@ registered query grows with the data:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.spans import locate0
-from spanloom.operators.ingest import empty_anns, empty_map, nest_spans
+from spanloom.operators.ingest import empty_anns, empty_map, nest_spans, position_within
 from spanloom.operators.vocab import vocab_from_columns
 
 KEYS = ("project", "doc_id")
@@ -191,7 +191,6 @@ def edit_adds(spark, d) -> DataFrame:
 
 def edit_add_spans(spark, d) -> DataFrame:
     """Every add of EDITS as a stored span, ordinal = arrival rank in its row."""
-    w = Window.partitionBy(*KEYS).orderBy("seq")
-    return edit_adds(spark, d).select(
-        *KEYS, (F.row_number().over(w) - 1).cast("bigint").alias("ord"), "text", "label",
-        "start", "end", empty_map().alias("mapped_value"))
+    ranked = position_within(edit_adds(spark, d), list(KEYS), ["seq"], "ord")
+    return ranked.select(*KEYS, "ord", "text", "label", "start", "end",
+                         empty_map().alias("mapped_value"))

@@ -131,3 +131,46 @@ def test_find_mappings_strategies_equal_brute_force(spark):
     for strategy in ("automaton", "ngram", "broadcast"):
         got = sorted((tuple(r) for r in VC.find_mappings(m, v, strategy).collect()), key=repr)
         assert got == expect, strategy
+
+
+def _brute_greedy(stored, proposed):
+    """Tool rule per row: stored spans kept; proposals in seq order, rejected on overlap."""
+    acc = {}
+    for (p, d, o, s, e) in sorted(stored, key=lambda r: r[2]):
+        acc.setdefault((p, d), []).append((s, e))
+    keep = {}
+    for (p, d, seq, s, e) in sorted(proposed, key=lambda r: r[2]):
+        lst = acc.setdefault((p, d), [])
+        ok = all(a_e <= s or a_s >= e for a_s, a_e in lst)
+        keep[(p, d, seq)] = ok
+        if ok:
+            lst.append((s, e))
+    return keep
+
+
+def test_greedy_add_large_and_small_islands_equal_brute_force(spark, monkeypatch):
+    rnd = random.Random(5)
+    stored, proposed = [], []
+    for d in range(6):
+        n = 400 if d == 0 else 30          # row 0 is a hot row
+        for o in range(n // 10):
+            s = rnd.randint(0, 3000)
+            stored.append(("p", d, o, s, s + rnd.randint(0, 15)))
+        for q in range(n):
+            s = rnd.randint(0, 3000 if d else 300)
+            e = s + rnd.choice([0, 0, 1, 2, 5, 30])
+            proposed.append(("p", d, q, s, e))
+        proposed += [("p", d, 10_000 + i, *proposed[-1 - i][3:]) for i in range(5)]  # duplicates
+    expect = _brute_greedy(stored, proposed)
+    st = spark.createDataFrame([(p, d, o, f"s{o}", "L", s, e, {}) for p, d, o, s, e in stored], SPANS)
+    pr = spark.createDataFrame([(p, d, q, f"t{q}", "L", s, e) for p, d, q, s, e in proposed],
+                               "project string, doc_id bigint, seq bigint, text string, "
+                               "label string, start bigint, end bigint")
+    for limit, skew_safe in ((10 ** 9, False), (0, False), (20, True), (10 ** 9, True)):
+        monkeypatch.setattr(S, "ISLAND_FOLD_MAX", limit)
+        spans, out = S.add_spans(st, pr, skew_safe=skew_safe)
+        got = {(r.project, r.doc_id, r.seq): r.accepted for r in out.collect()}
+        assert got == expect, (limit, skew_safe)
+        kept = spans.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("ord").alias("m")).collect()
+        assert all(r.m == r.n - 1 for r in kept)
+        assert spans.count() == len(stored) + sum(expect.values())
