@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.ingest import empty_anns, nest_spans
+from spanloom.operators.ordered import OrderedScan
+from spanloom.session import materialize
 
 KEYS = ("project", "doc_id")
 
 
-def segments(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def segments(docs: DataFrame, spans: DataFrame, skew_safe: bool | None = None) -> DataFrame:
     """Cut each text into gap and span pieces, spans taken by ``start`` (stable).
 
     A gap ``query[last_end:start]`` is emitted only when ``start > last_end``,
@@ -19,14 +21,27 @@ def segments(docs: DataFrame, spans: DataFrame) -> DataFrame:
     ``query[last_end:]`` follows when ``last_end < len(query)``. A row without
     spans is one gap holding the whole text (none if the text is empty).
     Returns KEYS, piece (0-based), kind (gap|span), text, label.
+
+    The previous end, the last-span flag, the span's rank and the running
+    count of gaps are ordered scans over (row; start, ord)
+    (:class:`~spanloom.operators.ordered.OrderedScan`: plain windows under the
+    checked row size, skew-safe range scans above it). A piece's number is
+    then arithmetic: spans and gaps before it, plus one for the span after
+    its gap and one more for the tail.
     """
     d = docs.select(*KEYS, "query")
     s = spans.select(*KEYS, "ord", "start", "end", F.col("text").alias("stext"), "label")
-    w = Window.partitionBy(*KEYS).orderBy("start", "ord")
-    s = (s.withColumn("last_end", F.lag("end", 1, 0).over(w))
-         .withColumn("is_last", F.lead("ord").over(w).isNull())
-         .withColumn("rank", F.row_number().over(w)))
-    j = s.join(d, list(KEYS))
+    plan = OrderedScan(s, list(KEYS), ["start", "ord"], skew_safe=skew_safe)
+    t = plan.scan(plan.frame, [("_pe", "lag", "end"), ("_nx", "lead", None), ("_i", "index", None)])
+    t = (t.withColumn("last_end", F.when(F.col("_i") == 0, F.lit(0).cast("bigint"))
+                      .otherwise(F.col("_pe")))
+         .withColumn("is_last", F.col("_nx").isNull())
+         .withColumn("_gf", F.coalesce((F.col("start") > F.col("last_end")).cast("int"), F.lit(0)))
+         .drop("_pe", "_nx"))
+    if plan.skew_safe:
+        t = materialize(t, "segments")
+    t = plan.finish(plan.scan(t, [("_g", "sum_upto", "_gf")]))
+    j = t.join(d, list(KEYS))
     q = F.col("query")
 
     def cut(a, b=None):
@@ -35,26 +50,25 @@ def segments(docs: DataFrame, spans: DataFrame) -> DataFrame:
             return F.substring(q, a1, F.greatest(F.length(q) - a, F.lit(0)).cast("int"))
         return F.substring(q, a1, F.greatest(b - a, F.lit(0)).cast("int"))
 
-    gap = F.when(F.col("start") > F.col("last_end"), F.struct(
-        F.lit(0).alias("sub"), F.lit("gap").alias("kind"),
+    span_piece = F.col("_i") + F.col("_g")
+    gap = F.when(F.col("_gf") == 1, F.struct(
+        (span_piece - 1).alias("piece"), F.lit("gap").alias("kind"),
         cut(F.col("last_end"), F.col("start")).alias("text"),
         F.lit(None).cast("string").alias("label")))
-    span = F.struct(F.lit(1).alias("sub"), F.lit("span").alias("kind"),
+    span = F.struct(span_piece.alias("piece"), F.lit("span").alias("kind"),
                     F.col("stext").alias("text"), F.col("label").alias("label"))
     tail = F.when(F.col("is_last") & (F.col("end") < F.length(q)), F.struct(
-        F.lit(2).alias("sub"), F.lit("gap").alias("kind"), cut(F.col("end")).alias("text"),
+        (span_piece + 1).alias("piece"), F.lit("gap").alias("kind"), cut(F.col("end")).alias("text"),
         F.lit(None).cast("string").alias("label")))
-    pieces = (j.select(*KEYS, "rank", F.explode(F.filter(F.array(gap, span, tail),
-                                                        lambda x: x.isNotNull())).alias("p"))
-              .select(*KEYS, "rank", "p.sub", "p.kind", "p.text", "p.label"))
-    bare = (d.join(s.select(*KEYS).distinct(), list(KEYS), "left_anti")
+    pieces = (j.select(*KEYS, F.explode(F.filter(F.array(gap, span, tail),
+                                                 lambda x: x.isNotNull())).alias("p"))
+              .select(*KEYS, F.col("p.piece").cast("bigint").alias("piece"), "p.kind", "p.text",
+                      "p.label"))
+    bare = (d.join(s.select(*KEYS), list(KEYS), "left_anti")
             .where(F.length("query") > 0)
-            .select(*KEYS, F.lit(0).alias("rank"), F.lit(0).alias("sub"), F.lit("gap").alias("kind"),
+            .select(*KEYS, F.lit(0).cast("bigint").alias("piece"), F.lit("gap").alias("kind"),
                     F.col("query").alias("text"), F.lit(None).cast("string").alias("label")))
-    allp = pieces.unionByName(bare)
-    wp = Window.partitionBy(*KEYS).orderBy("rank", "sub")
-    return allp.withColumn("piece", (F.row_number().over(wp) - 1).cast("bigint")) \
-               .select(*KEYS, "piece", "kind", "text", "label")
+    return pieces.unionByName(bare)
 
 
 def preview(spans: DataFrame) -> DataFrame:

@@ -200,13 +200,15 @@ def test_segments(spark):
     spans = spark.createDataFrame(
         [("p", 1, 0, "b", "L", 1, 2, {}), ("p", 1, 1, "e", "L", 4, 5, {}),
          ("p", 2, 0, "abcd", "L", 0, 4, {}), ("p", 2, 1, "b", "L", 1, 2, {})], SPANS)
-    seg = V.segments(docs, spans).orderBy("doc_id", "piece").collect()
-    by = {}
-    for r in seg:
-        by.setdefault(r.doc_id, []).append((r.kind, r.text))
-    assert by[1] == [("gap", "a"), ("span", "b"), ("gap", "cd"), ("span", "e"), ("gap", "f")]
-    assert by[2] == [("span", "abcd"), ("span", "b"), ("gap", "cdef")]
-    assert by[3] == [("gap", "xyz")]
+    for skew_safe in (None, True):
+        seg = V.segments(docs, spans, skew_safe=skew_safe).orderBy("doc_id", "piece").collect()
+        by = {}
+        for r in seg:
+            by.setdefault(r.doc_id, []).append((r.piece, r.kind, r.text))
+        assert by[1] == [(0, "gap", "a"), (1, "span", "b"), (2, "gap", "cd"), (3, "span", "e"),
+                         (4, "gap", "f")]
+        assert by[2] == [(0, "span", "abcd"), (1, "span", "b"), (2, "gap", "cdef")]
+        assert by[3] == [(0, "gap", "xyz")]
 
 
 def test_export_round_trip(spark):

@@ -57,3 +57,19 @@ def test_second_scan_uses_first(spark):
         t = O.scan(t, ["g"], [("pc", "lag", "c")])
         got = {r.o: (r.c, r.pc) for r in t.collect()}
     assert got[0] == (1, None) and got[7] == (2, 1) and got[499] == (72, 72)
+
+
+def test_segments_and_positions_same_in_both_modes(spark):
+    from spanloom.operators import ingest as I
+    from spanloom.operators import views as V
+    from spanloom.plans import bindings as B
+    sf = "/root/testdata/sf0.001"
+    docs, spans = B.short_docs(spark, sf), B.ann_spans(spark, sf)
+    with many_partitions(spark):
+        a = sorted(tuple(r) for r in V.segments(docs, spans, skew_safe=False).collect())
+        b = sorted(tuple(r) for r in V.segments(docs, spans, skew_safe=True).collect())
+        assert a == b and len(a) > 0
+        p1 = I.position_within(spans, ["project"], ["doc_id", "ord"], skew_safe=False)
+        p2 = I.position_within(spans, ["project"], ["doc_id", "ord"], skew_safe=True)
+        cols = ["project", "doc_id", "ord", "pos"]
+        assert sorted(p1.select(cols).collect()) == sorted(p2.select(cols).collect())
