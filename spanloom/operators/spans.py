@@ -44,31 +44,53 @@ def with_slice(df: DataFrame, query_col: str = "query") -> DataFrame:
 
 
 # --------------------------------------------------------------------------- B4
+def _binned(df: DataFrame, w) -> DataFrame:
+    """Copy each span to the fixed-width bins it covers (an empty span: the bin of its start)."""
+    last = F.greatest(F.col("end") - 1, F.col("start"))
+    return df.select(*KEYS, "ord", "start", "end",
+                     F.explode(F.sequence(F.floor(F.col("start") / w), F.floor(last / w)))
+                     .alias("bin"))
+
+
 def overlap_pairs(spans: DataFrame, bin_width: int = 64) -> DataFrame:
     """All pairs of overlapping spans of the same row, ``a.ord < b.ord``.
 
     A range join, not an all-pairs join per row: each span is copied to the
-    fixed-width bins it covers (an empty span ``[s,s)`` to the bin of ``s``),
-    pairs are joined on ``(project, doc_id, bin)``, and a pair is kept only in
-    the bin holding ``max(a.start, b.start)`` so it is reported once.
+    fixed-width bins it covers, pairs are joined on ``(project, doc_id, bin)``,
+    and a pair is kept only in the bin holding ``max(a.start, b.start)`` so it
+    is reported once. Empty spans (``start >= end``) never overlap each other,
+    so they are joined only against non-empty spans: a pile of empty spans at
+    one position forms no pairs.
     """
     w = F.lit(bin_width)
-    last = F.greatest(F.col("end") - 1, F.col("start"))
-    binned = (spans.where(F.col("start").isNotNull() & F.col("end").isNotNull())
-              .select(*KEYS, "ord", "start", "end",
-                      F.explode(F.sequence(F.floor(F.col("start") / w), F.floor(last / w)))
-                      .alias("bin")))
-    a = binned.alias("a")
-    b = binned.alias("b")
-    cond = ((F.col("a.project") == F.col("b.project")) & (F.col("a.doc_id") == F.col("b.doc_id"))
-            & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.ord") < F.col("b.ord"))
-            & ~((F.col("b.end") <= F.col("a.start")) | (F.col("b.start") >= F.col("a.end")))
-            & (F.floor(F.greatest(F.col("a.start"), F.col("b.start")) / w) == F.col("a.bin")))
-    return a.join(b, cond).select(
-        F.col("a.project").alias("project"), F.col("a.doc_id").alias("doc_id"),
-        F.col("a.ord").alias("ord_a"), F.col("b.ord").alias("ord_b"),
-        F.col("a.start").alias("start_a"), F.col("a.end").alias("end_a"),
-        F.col("b.start").alias("start_b"), F.col("b.end").alias("end_b"))
+    base = spans.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    full = _binned(base.where(F.col("start") < F.col("end")), w)
+    empty = _binned(base.where(F.col("start") >= F.col("end")), w)
+
+    def pairs(x: DataFrame, y: DataFrame, ordered: bool) -> DataFrame:
+        xa, yb = x.alias("a"), y.alias("b")
+        cond = ((F.col("a.project") == F.col("b.project")) & (F.col("a.doc_id") == F.col("b.doc_id"))
+                & (F.col("a.bin") == F.col("b.bin"))
+                & ~((F.col("b.end") <= F.col("a.start")) | (F.col("b.start") >= F.col("a.end")))
+                & (F.floor(F.greatest(F.col("a.start"), F.col("b.start")) / w) == F.col("a.bin")))
+        if ordered:
+            cond = cond & (F.col("a.ord") < F.col("b.ord"))
+        j = xa.join(yb, cond)
+        lo = F.col("a.ord") < F.col("b.ord")
+
+        def pick(c):
+            return F.when(lo, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
+
+        def other(c):
+            return F.when(lo, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
+
+        return j.select(
+            F.col("a.project").alias("project"), F.col("a.doc_id").alias("doc_id"),
+            pick("ord").alias("ord_a"), other("ord").alias("ord_b"),
+            pick("start").alias("start_a"), pick("end").alias("end_a"),
+            other("start").alias("start_b"), other("end").alias("end_b"))
+
+    return pairs(full, full, True).unionByName(pairs(empty, full, False))
 
 
 # --------------------------------------------------------------------------- B5
