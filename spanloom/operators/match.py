@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from spanloom.functions.spans import locate0
+from spanloom.session import spread
 from spanloom.operators.spans import add_spans
 
 KEYS = ("project", "doc_id")
@@ -127,13 +128,15 @@ def _chunks(texts: DataFrame, ids: list[str], text_col: str, chunk: int, ext: in
 
 
 def _grams(chunks: DataFrame, ids: list[str], n: int, chunk: int) -> DataFrame:
-    """Every n-gram starting inside its chunk, with chunk index and offset."""
-    chars = F.regexp_extract_all(F.col("chunk"), F.lit("(?s)."), F.lit(0))
-    return (chunks.select(*ids, "ci", chars.alias("ch"))
-            .withColumn("_hi", F.least(F.lit(chunk), F.size("ch") - n + 1) - 1)
-            .select(*ids, "ci", "ch", F.explode(F.when(
-                F.col("_hi") >= 0, F.sequence(F.lit(0), F.col("_hi")))).alias("j"))
-            .select(*ids, "ci", "j", F.array_join(F.slice("ch", F.col("j") + 1, n), "").alias("gram")))
+    """Every n-gram starting inside its chunk, with chunk index and offset.
+
+    One regex pass per chunk: each match consumes one code point and captures
+    the n code points starting there (a lookahead), so element ``j`` of the
+    result is the gram at code point ``j``. Only the grams (not the chunk) are
+    exploded into rows.
+    """
+    grams = F.regexp_extract_all(F.col("chunk"), F.lit("(?s)(?=(.{%d}))." % n), F.lit(1))
+    return chunks.select(*ids, "ci", F.posexplode(F.slice(grams, 1, chunk)).alias("j", "gram"))
 
 
 def hits_ngram(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame,
@@ -203,7 +206,7 @@ def term_hits(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame,
     distinct non-empty ``terms.term`` inside every text that contains it."""
     s = pick_strategy(terms, strategy)
     fn = {"broadcast": hits_broadcast, "automaton": hits_automaton, "ngram": hits_ngram}[s]
-    return fn(texts, list(ids), text_col, terms)
+    return fn(spread(texts), list(ids), text_col, terms)
 
 
 def _attach(hits: DataFrame, vocab: DataFrame, by_project: bool) -> DataFrame:

@@ -68,3 +68,17 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows over at least the cluster's default parallelism before heavy per-row work.
+
+    A large input already has many file splits and is returned unchanged (no
+    shuffle). An input read as a few splits -- e.g. one file with one row
+    group -- would otherwise run per-text work in a few tasks, so it gets a
+    round-robin repartition.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
