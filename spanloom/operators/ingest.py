@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.arrays import sort_by
 from spanloom.functions.mapping import normalize_value
 from spanloom.operators.ordered import OrderedScan
-from spanloom.session import materialize
+from spanloom.session import materialize, spread
 from spanloom.schema import ANNOTATIONS_DDL, ANNOTATIONS_VARIANT_DDL, MAPPING_TYPE
 
 def empty_anns():
@@ -125,7 +125,9 @@ def parse_annotations(df: DataFrame, col: str = "annotations",
     """
     raw = F.col(col)
     arr, reason = _raw_checks(raw)
-    staged = df.withColumn("_arr", arr).withColumn("_reason", reason)
+    # JSON parsing is the heavy per-row step: run it over the cluster's
+    # parallelism even when the input came as a few splits.
+    staged = spread(df).withColumn("_arr", arr).withColumn("_reason", reason)
     kept = F.filter(F.col("_arr"), lambda x: _element_reason(x).isNull())
     docs = staged.withColumn(
         "anns", F.coalesce(F.transform(kept, _normalize_element), empty_anns())
