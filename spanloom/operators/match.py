@@ -13,8 +13,8 @@ strategies over distinct term strings, for any id columns:
   shorter grams for short terms) with positions; terms are equi-joined on
   their first k-gram (or matched exactly when shorter than k) -- a shuffle
   join on the gram, no broadcast -- and candidates are verified with
-  ``substring`` on their chunk. Exact: a term inside a text implies its first
-  k-gram is inside it.
+  ``substring`` on the chunk where they start. Exact: a term inside a text
+  puts each of its k-grams inside it.
 * ``broadcast`` -- a size-checked broadcast nested-loop join (texts x terms).
   Only on explicit request (equivalence tests, tiny term lists); ``auto``
   never picks it.
@@ -139,6 +139,18 @@ def _grams(chunks: DataFrame, ids: list[str], n: int, chunk: int) -> DataFrame:
     return chunks.select(*ids, "ci", F.posexplode(F.slice(grams, 1, chunk)).alias("j", "gram"))
 
 
+def _anchors(long_terms: DataFrame, k: int) -> DataFrame:
+    """Each term's anchor: its first k-gram (offset 0).
+
+    The verification below accepts any anchor offset ``o``. Choosing the gram
+    shared by the fewest vocabulary terms was measured and was 4x slower on
+    the sf0.1 corpus: inner grams (suffixes) are rare among terms but common
+    in text. A corpus-frequency choice needs a count over all text grams.
+    """
+    return long_terms.select("term", "tlen", F.lit(0).alias("o"),
+                             F.substring("term", 1, k).alias("gram"))
+
+
 def hits_ngram(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame,
                k: int | None = None, chunk: int = 512) -> DataFrame:
     """N-gram blocking join (no broadcast of the terms needed).
@@ -146,10 +158,13 @@ def hits_ngram(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame
     * k (gram length) defaults to the shortest term length, clamped to 3..8, so
       anchors are as selective as the vocabulary allows.
     * Terms shorter than k match a gram of their own length exactly.
-    * Longer terms join on their first k-gram; a candidate (text, chunk,
-      offset, term) is verified with ``substring`` on its chunk -- chunks carry
-      ``max_len - 1`` extra characters, so no whole text is ever scanned or
-      re-joined -- and the smallest verified position is the first occurrence.
+    * Longer terms join on their anchor k-gram (:func:`_anchors`, offset o in
+      the term). A gram at text position p proposes the term at p - o, which
+      is verified with ``substring`` on the chunk where that start lies --
+      chunks carry ``max_len - 1`` extra characters, so no whole text is ever
+      scanned or re-joined -- and the smallest verified position is the first
+      occurrence. Exact: a term inside a text puts its anchor gram at
+      start + o.
     """
     t = _distinct_terms(terms).withColumn("tlen", F.length("term"))
     stats = t.agg(F.min("tlen").alias("lo"), F.max("tlen").alias("hi")).first()
@@ -168,11 +183,16 @@ def hits_ngram(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame
         g = _grams(chunks, ids, n, chunk)
         found.append(g.join(t.where(F.col("tlen") == n), F.col("gram") == F.col("term"))
                      .select(*ids, "term", (F.col("ci") * chunk + F.col("j")).alias("pos")))
-    anchors = t.where(F.col("tlen") >= k).withColumn("gram", F.substring("term", 1, k))
-    cand = _grams(chunks, ids, k, chunk).join(anchors, "gram")
+    anchors = _anchors(t.where(F.col("tlen") >= k), k)
+    cand = (_grams(chunks, ids, k, chunk).join(anchors, "gram")
+            .withColumn("pos", F.col("ci") * chunk + F.col("j") - F.col("o"))
+            .where(F.col("pos") >= 0)
+            .select(*ids, "term", "tlen", "pos",
+                    F.floor(F.col("pos") / chunk).cast("int").alias("ci")))
     verified = (cand.join(chunks, [*ids, "ci"])
-                .where(F.substring("chunk", (F.col("j") + 1).cast("int"), F.col("tlen")) == F.col("term"))
-                .select(*ids, "term", (F.col("ci") * chunk + F.col("j")).alias("pos")))
+                .where(F.substring("chunk", (F.col("pos") - F.col("ci") * chunk + 1).cast("int"),
+                                   F.col("tlen")) == F.col("term"))
+                .select(*ids, "term", "pos"))
     found.append(verified)
     allpos = found[0]
     for f in found[1:]:

@@ -174,3 +174,18 @@ def test_greedy_add_large_and_small_islands_equal_brute_force(spark, monkeypatch
         kept = spans.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("ord").alias("m")).collect()
         assert all(r.m == r.n - 1 for r in kept)
         assert spans.count() == len(stored) + sum(expect.values())
+
+
+def test_ngram_anchors_across_small_chunks_equal_brute_force(spark):
+    """Tiny chunks put anchors and starts on different chunks; result = str.find."""
+    rnd = random.Random(13)
+    texts = [("p", i, "".join(rnd.choice("ab😀c") for _ in range(rnd.randint(0, 60))))
+             for i in range(25)]
+    terms = sorted({"".join(rnd.choice("ab😀c") for _ in range(rnd.randint(1, 9)))
+                    for _ in range(60)} | {"aaab", "abab", "baba"})
+    docs = spark.createDataFrame(texts, "project string, doc_id bigint, query string")
+    tdf = spark.createDataFrame([(x,) for x in terms], "term string")
+    want = sorted((d, t, q.find(t)) for _, d, q in texts for t in terms if t in q)
+    for k, chunk in ((3, 4), (4, 5), (None, 512)):
+        got = M.hits_ngram(docs, ["project", "doc_id"], "query", tdf, k=k, chunk=chunk)
+        assert sorted((r.doc_id, r.term, r.start) for r in got.collect()) == want, (k, chunk)
