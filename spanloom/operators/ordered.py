@@ -69,7 +69,8 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` where NULL matches NULL (a NULL row key is still a key)."""
     r = right.select(*[F.col(k).alias(f"__r{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r{k}")) for k in keys])
@@ -118,7 +119,7 @@ def scan(tagged: DataFrame, group: list[str], specs: list[tuple]) -> DataFrame:
             c = F.lead(s).over(wg)["v"]
         carry.append(c.alias(f"__c{name}"))
     summary = tagged.groupBy("_part", *g).agg(*summ).select("_part", *g, *carry)
-    j = _null_safe_join(local, summary, ["_part", *g])
+    j = null_safe_join(local, summary, ["_part", *g])
     for name, kind, _ in specs:
         lo, ca = F.col(f"__l{name}"), F.col(f"__c{name}")
         if kind == "max_before":

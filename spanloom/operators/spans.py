@@ -177,7 +177,8 @@ def _island_stream(batches):
         rid_out, keep_out = [], []
         cols = [pdf[c].tolist() for c in ("project", "doc_id", "island", "_rid", "kind", "start", "end")]
         for p, d, isl, rid, kind, s, e in zip(*cols):
-            key = (p, d, isl)
+            # NULL keys arrive as NaN (NaN != NaN): compare them as None.
+            key = tuple(None if x is None or x != x else x for x in (p, d, isl))
             if key != cur:
                 cur, st_s, st_m, acc_s, acc_e, pts = key, [], [], [], [], []
             s, e = int(s), int(e)
@@ -247,7 +248,7 @@ def _fold_islands(items: DataFrame, skew_safe: bool | None = None) -> tuple[Data
     if small_rows or sizes.where(F.col("_n") > ISLAND_FOLD_MAX).limit(1).count() == 0:
         folded = _fold_small(live)
     else:
-        live = live.join(sizes, [*KEYS, "island"])
+        live = O.null_safe_join(live, sizes, [*KEYS, "island"])
         small = _fold_small(live.where(F.col("_n") <= ISLAND_FOLD_MAX).drop("_n"))
         large = _fold_large(live.where(F.col("_n") > ISLAND_FOLD_MAX).drop("_n"))
         folded = small.unionByName(large)

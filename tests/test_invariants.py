@@ -161,6 +161,7 @@ def test_greedy_add_large_and_small_islands_equal_brute_force(spark, monkeypatch
             e = s + rnd.choice([0, 0, 1, 2, 5, 30])
             proposed.append(("p", d, q, s, e))
         proposed += [("p", d, 10_000 + i, *proposed[-1 - i][3:]) for i in range(5)]  # duplicates
+    proposed += [("p", None, 20_000 + i, s, s + 3) for i, s in enumerate((0, 2, 5, 8, 9))]
     expect = _brute_greedy(stored, proposed)
     st = spark.createDataFrame([(p, d, o, f"s{o}", "L", s, e, {}) for p, d, o, s, e in stored], SPANS)
     pr = spark.createDataFrame([(p, d, q, f"t{q}", "L", s, e) for p, d, q, s, e in proposed],
