@@ -101,7 +101,8 @@ _ITEM = ("kind", "seq", "start", "end", "text", "label", "mapped_value")
 ISLAND_FOLD_MAX = 1000
 
 
-def _islands(items: DataFrame, skew_safe: bool | None = None) -> tuple[DataFrame, O.OrderedScan]:
+def _islands(items: DataFrame, skew_safe: bool | None = None,
+             written: bool = False) -> tuple[DataFrame, O.OrderedScan]:
     """Tag items with ``island``, ``dup`` and a row id ``_rid``.
 
     Items of a row are ordered by (start, end, kind, seq); a new island starts
@@ -114,7 +115,8 @@ def _islands(items: DataFrame, skew_safe: bool | None = None) -> tuple[DataFrame
     expensive input (e.g. the containment join). Returns the staged items
     and the scan plan (mode and measured largest row).
     """
-    items = materialize(items.withColumn("_rid", F.monotonically_increasing_id()), "items")
+    if not written:  # ``written``: items already carry ``_rid`` and are a written table
+        items = materialize(items.withColumn("_rid", F.monotonically_increasing_id()), "items")
     plan = O.OrderedScan(items, list(KEYS), ["start", "end", "kind", "seq"], skew_safe=skew_safe)
     t = plan.scan(plan.frame, [("_pe", "max_before", "end"), ("_ps", "lag", "start"),
                                ("_pe1", "lag", "end")])
@@ -224,7 +226,8 @@ def _fold_large(live: DataFrame) -> DataFrame:
     return live.join(flags, "_rid").select(*KEYS, "island", "_rid", *_ITEM, "keep")
 
 
-def _fold_islands(items: DataFrame, skew_safe: bool | None = None) -> tuple[DataFrame, bool]:
+def _fold_islands(items: DataFrame, skew_safe: bool | None = None,
+                  written: bool = False) -> tuple[DataFrame, bool]:
     """Greedy first-wins overlap check, one sequential fold per overlap island.
 
     ``items``: KEYS + kind (0 = already stored, always kept; 1 = proposed) +
@@ -238,7 +241,7 @@ def _fold_islands(items: DataFrame, skew_safe: bool | None = None) -> tuple[Data
     rejected it). Islands up to ``ISLAND_FOLD_MAX`` items fold JVM-side, larger
     ones stream. Returns the items with ``keep`` and ``dup``, and the scan mode.
     """
-    staged, plan = _islands(items, skew_safe)
+    staged, plan = _islands(items, skew_safe, written)
     dups = staged.where("dup").withColumn("keep", F.lit(False))
     live = staged.where(~F.col("dup")).drop("dup")
     sizes = live.groupBy(*KEYS, "island").agg(F.count(F.lit(1)).alias("_n"))
@@ -267,30 +270,27 @@ def _proposal_items(proposed: DataFrame) -> DataFrame:
 
 def add_spans_flags(existing: DataFrame | None, proposed: DataFrame,
                     skew_safe: bool | None = None) -> tuple[DataFrame, bool]:
-    """Per-item result of the greedy add (see :func:`add_spans`), and the scan mode."""
-    props = _proposal_items(proposed)
-    bad = props.where(F.col("start").isNull() | F.col("end").isNull())
-    props = props.where(F.col("start").isNotNull() & F.col("end").isNotNull())
-    items = props
-    stored_bad = None
+    """Per-item result of the greedy add (see :func:`add_spans`), and the scan mode.
+
+    All items (stored and proposed, usable offsets or not) are written once,
+    so neither the size check nor the split below recomputes the input.
+    """
+    items = _proposal_items(proposed)
     if existing is not None:
         stored = existing.select(
             *KEYS, F.lit(0).alias("kind"), F.col("ord").cast("bigint").alias("seq"),
             F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"),
             "text", "label", "mapped_value")
-        usable = F.col("start").isNotNull() & F.col("end").isNotNull()
-        # A stored span without offsets is kept and overlaps nothing.
-        stored_bad = stored.where(~usable)
-        items = stored.where(usable).unionByName(props)
-    folded, skew_safe = _fold_islands(items, skew_safe)
-    bad = bad.withColumn("island", F.lit(None).cast("bigint")) \
-             .withColumn("keep", F.lit(False)).withColumn("dup", F.lit(False))
-    out = folded.unionByName(bad.select(folded.columns))
-    if stored_bad is not None:
-        out = out.unionByName(stored_bad.withColumn("island", F.lit(None).cast("bigint"))
-                              .withColumn("keep", F.lit(True)).withColumn("dup", F.lit(False))
-                              .select(folded.columns))
-    return out, skew_safe
+        items = stored.unionByName(items)
+    items = materialize(items.withColumn("_rid", F.monotonically_increasing_id()), "items")
+    usable = F.col("start").isNotNull() & F.col("end").isNotNull()
+    folded, skew_safe = _fold_islands(items.where(usable), skew_safe, written=True)
+    # A proposal without offsets is rejected; a stored span without offsets
+    # is kept and overlaps nothing.
+    unusable = (items.where(~usable).drop("_rid")
+                .withColumn("island", F.lit(None).cast("bigint"))
+                .withColumn("keep", F.col("kind") == 0).withColumn("dup", F.lit(False)))
+    return folded.unionByName(unusable.select(folded.columns)), skew_safe
 
 
 def add_spans(existing: DataFrame | None, proposed: DataFrame,
