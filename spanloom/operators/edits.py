@@ -5,7 +5,8 @@ applied in ``seq`` order, one row at a time; rows are independent. The log is
 hash-partitioned by row and sorted by (row, seq) inside each partition, and a
 ``mapInPandas`` pass walks it once. Memory holds one row's current list, never
 the row's whole edit history, so a row with a huge log streams through.
-Repeated ``(project, doc_id, seq)`` entries are applied once.
+Repeated ``(project, doc_id, seq)`` entries are applied once. The row's list
+keeps a bin index (:class:`SpanList`), so an ``add`` tests only spans near it.
 """
 
 from __future__ import annotations
@@ -43,11 +44,79 @@ def _int(x):
     return None if x is None else int(x)
 
 
-def _overlaps(a, b) -> bool:
-    return not (b["end"] <= a["start"] or b["start"] >= a["end"])
-
-
-def apply_edit(anns: list, e: dict) -> str:
+# Bin width of the overlap index (code points), as in ``spans.overlap_pairs``.
+BIN = 64
+
+
+class SpanList:
+    """A row's annotation list in ordinal order, with a bin index for overlap tests.
+
+    Each span is indexed under the fixed-width bins it covers (an empty or
+    inverted span: the bin of its start). An added span is tested only
+    against spans sharing one of its bins, so a long row costs the local
+    density per add, not the row length. A span without offsets is not
+    indexed and overlaps nothing.
+    """
+
+    def __init__(self, anns: list | None = None):
+        self.anns: list = []
+        self._ids: list = []
+        self._bins: dict = {}
+        self._span: dict = {}
+        self._next = 0
+        for a in anns or []:
+            self.append(a)
+
+    def __len__(self) -> int:
+        return len(self.anns)
+
+    @staticmethod
+    def _range(s, e):
+        if s is None or e is None:
+            return range(0)
+        return range(s // BIN, max(e - 1, s) // BIN + 1)
+
+    def _index(self, i, s, e):
+        self._span[i] = (s, e)
+        for b in self._range(s, e):
+            self._bins.setdefault(b, set()).add(i)
+
+    def _unindex(self, i):
+        s, e = self._span.pop(i)
+        for b in self._range(s, e):
+            ids = self._bins[b]
+            ids.discard(i)
+            if not ids:
+                del self._bins[b]
+
+    def overlaps_any(self, s: int, e: int) -> bool:
+        """``not (e <= a.start or s >= a.end)`` for some span ``a`` of the list."""
+        for b in self._range(s, e):
+            for i in self._bins.get(b, ()):
+                a_s, a_e = self._span[i]
+                if not (e <= a_s or s >= a_e):
+                    return True
+        return False
+
+    def append(self, a: dict) -> None:
+        i, self._next = self._next, self._next + 1
+        self.anns.append(a)
+        self._ids.append(i)
+        self._index(i, a["start"], a["end"])
+
+    def pop(self, k: int) -> None:
+        self.anns.pop(k)
+        self._unindex(self._ids.pop(k))
+
+    def replace(self, k: int, a: dict) -> None:
+        self._unindex(self._ids[k])
+        i, self._next = self._next, self._next + 1
+        self._ids[k] = i
+        self.anns[k] = a
+        self._index(i, a["start"], a["end"])
+
+
+def apply_edit(spans: SpanList, e: dict) -> str:
     """Apply one edit to a row's list in place; return the outcome."""
     op = e.get("op")
     ordv = _int(e.get("ord"))
@@ -55,28 +124,26 @@ def apply_edit(anns: list, e: dict) -> str:
         s, t = _int(e.get("start")), _int(e.get("end"))
         if s is None or t is None:
             return "bad_offset"
-        new = {"text": _none(e.get("text")), "label": _none(e.get("label")),
-               "start": s, "end": t, "mapped_value": {}}
-        for a in anns:
-            if _overlaps(a, new):
-                return "overlap"
-        anns.append(new)
+        if spans.overlaps_any(s, t):
+            return "overlap"
+        spans.append({"text": _none(e.get("text")), "label": _none(e.get("label")),
+                      "start": s, "end": t, "mapped_value": {}})
         return "accepted"
-    if ordv is None or not 0 <= ordv < len(anns):
+    if ordv is None or not 0 <= ordv < len(spans):
         return "out_of_range" if op in OPS else "unknown_op"
     if op == "remove":
-        anns.pop(ordv)
+        spans.pop(ordv)
         return "accepted"
     if op == "update":
         s, t = _int(e.get("start")), _int(e.get("end"))
-        anns[ordv] = {"text": _none(e.get("text")), "label": _none(e.get("label")),
-                      "start": s, "end": t, "mapped_value": {}}
+        spans.replace(ordv, {"text": _none(e.get("text")), "label": _none(e.get("label")),
+                             "start": s, "end": t, "mapped_value": {}})
         return "accepted"
     if op == "set_mapping":
         cat = _none(e.get("category"))
         vals = e.get("values")
         vals = [] if _none(vals) is None and not isinstance(vals, (list, tuple)) else list(vals)
-        m = anns[ordv]["mapped_value"]
+        m = spans.anns[ordv]["mapped_value"]
         if m.get(cat, []) == vals:
             return "unchanged"
         m[cat] = vals
@@ -95,7 +162,7 @@ def _span_rows(project, doc_id, anns):
 def _replay_partition(batches):
     """Rows arrive sorted by (project, doc_id, phase, seq)."""
     cur = None
-    anns: list = []
+    spans = SpanList()
     last_seq = None
     out: list = []
     for pdf in batches:
@@ -103,11 +170,11 @@ def _replay_partition(batches):
             key = (r["project"], r["doc_id"])
             if key != cur:
                 if cur is not None:
-                    out.extend(_span_rows(cur[0], cur[1], anns))
-                cur, anns, last_seq = key, [], None
+                    out.extend(_span_rows(cur[0], cur[1], spans.anns))
+                cur, spans, last_seq = key, SpanList(), None
             if r["phase"] == 0:  # stored span that seeds the list
                 m = r["mapping"]
-                anns.append({"text": _none(r["text"]), "label": _none(r["label"]),
+                spans.append({"text": _none(r["text"]), "label": _none(r["label"]),
                              "start": _int(r["start"]), "end": _int(r["end"]),
                              "mapped_value": json.loads(m) if isinstance(m, str) else {}})
                 continue
@@ -115,7 +182,7 @@ def _replay_partition(batches):
             if seq is not None and seq == last_seq:
                 continue  # replayed duplicate
             last_seq = seq
-            outcome = apply_edit(anns, r)
+            outcome = apply_edit(spans, r)
             out.append({"kind": "outcome", "project": r["project"], "doc_id": r["doc_id"],
                         "seq": seq, "op": r["op"], "outcome": outcome, "ord": _int(r["ord"]),
                         "text": None, "label": None, "start": None, "end": None,
@@ -124,7 +191,7 @@ def _replay_partition(batches):
             yield pd.DataFrame(out)
             out = []
     if cur is not None:
-        out.extend(_span_rows(cur[0], cur[1], anns))
+        out.extend(_span_rows(cur[0], cur[1], spans.anns))
     if out:
         yield pd.DataFrame(out)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from spanloom.operators.edits import _int, _none, apply_edit
+from spanloom.operators.edits import SpanList, _int, _none, apply_edit
 from spanloom.operators.ingest import position_within
 from spanloom.schema import ANNOTATIONS_DDL
 
@@ -69,9 +69,11 @@ def _step(key, batches, state):
             if s is None or s < next_seq or s in buffer:
                 continue  # duplicate delivery
             buffer[s] = e
+    spans = SpanList(anns)
     while next_seq in buffer:
-        apply_edit(anns, buffer.pop(next_seq))
+        apply_edit(spans, buffer.pop(next_seq))
         next_seq += 1
+    anns = spans.anns
     state.update((json.dumps(anns, ensure_ascii=False), next_seq,
                   json.dumps({str(k): v for k, v in buffer.items()}, ensure_ascii=False)))
     yield pd.DataFrame([{

@@ -190,3 +190,41 @@ def test_ngram_anchors_across_small_chunks_equal_brute_force(spark):
     for k, chunk in ((3, 4), (4, 5), (None, 512)):
         got = M.hits_ngram(docs, ["project", "doc_id"], "query", tdf, k=k, chunk=chunk)
         assert sorted((r.doc_id, r.term, r.start) for r in got.collect()) == want, (k, chunk)
+
+
+def _linear_replay(edits):
+    """The tool's per-click rules on a plain list: add checks every span, update does not."""
+    anns, outs = [], []
+    for op, o, s, e in edits:
+        if op == "add":
+            if any(not (e <= a[0] or s >= a[1]) for a in anns):
+                outs.append("overlap")
+            else:
+                anns.append((s, e))
+                outs.append("accepted")
+        elif not 0 <= o < len(anns):
+            outs.append("out_of_range")
+        elif op == "remove":
+            anns.pop(o)
+            outs.append("accepted")
+        else:
+            anns[o] = (s, e)
+            outs.append("accepted")
+    return anns, outs
+
+
+def test_span_list_index_equals_linear_check():
+    rnd = random.Random(21)
+    for _ in range(40):
+        edits = []
+        for _ in range(rnd.randint(1, 300)):
+            op = rnd.choice(["add"] * 6 + ["remove", "update"])
+            s = rnd.randint(-10, 400)
+            e = s + rnd.choice([0, 1, 2, 5, 40, 130, -3])
+            edits.append((op, rnd.randint(0, 12), s, e))
+        want_anns, want_outs = _linear_replay(edits)
+        sl = E.SpanList()
+        outs = [E.apply_edit(sl, {"op": op, "ord": o, "start": s, "end": e, "text": "t", "label": "L"})
+                for op, o, s, e in edits]
+        assert outs == want_outs
+        assert [(a["start"], a["end"]) for a in sl.anns] == want_anns
