@@ -25,6 +25,8 @@ strategies over distinct term strings, for any id columns:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -69,19 +71,38 @@ def hits_broadcast(texts: DataFrame, ids: list[str], text_col: str, terms: DataF
     return j.select(*ids, "term", locate0("_q", "term").alias("start"))
 
 
-def _scan_fn(ids: list[str], text_col: str, bc):
-    """Partition function: first position of every automaton term in every text."""
-    def scan(batches):
-        import ahocorasick
-        import numpy as np
+def _automaton(bc, token: str):
+    """The automaton of a broadcast term list, built once per Python worker.
+
+    Workers are reused across tasks, so the build (seconds for millions of
+    terms) is paid once per worker, not once per task. The code is shipped by
+    value, so the cache lives on an always-imported module; it holds only the
+    latest term list, under a token made on the driver for this broadcast.
+    """
+    import sys
+
+    import ahocorasick
+    cache = sys.__dict__.setdefault("_spanloom_automaton", {})
+    if token not in cache:
         auto = ahocorasick.Automaton()
         for i, t in enumerate(bc.value):
             auto.add_word(t, (i, len(t)))
+        if len(auto):
+            auto.make_automaton()
+        cache.clear()
+        cache[token] = auto
+    return cache[token]
+
+
+def _scan_fn(ids: list[str], text_col: str, bc, token: str):
+    """Partition function: first position of every automaton term in every text."""
+    def scan(batches):
+        import numpy as np
+        auto = _automaton(bc, token)
         if len(auto) == 0:
             for _ in batches:
                 pass
             return
-        auto.make_automaton()
         for pdf in batches:
             rows, idx, starts = [], [], []
             for r, q in enumerate(pdf[text_col].tolist()):
@@ -113,7 +134,8 @@ def hits_automaton(texts: DataFrame, ids: list[str], text_col: str, terms: DataF
     schema = StructType([fields[c] for c in ids]
                         + [StructField("_t", IntegerType()), StructField("start", LongType())])
     cols = list(dict.fromkeys([*ids, text_col]))
-    hits = texts.select(*cols).mapInPandas(_scan_fn(ids, text_col, bc), schema)
+    token = uuid.uuid4().hex
+    hits = texts.select(*cols).mapInPandas(_scan_fn(ids, text_col, bc, token), schema)
     term_ids = spark.createDataFrame(list(enumerate(term_list)), "_t int, term string")
     return hits.join(F.broadcast(term_ids), "_t").select(*ids, "term", "start")
 
