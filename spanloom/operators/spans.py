@@ -287,9 +287,13 @@ def add_spans_flags(existing: DataFrame | None, proposed: DataFrame,
     folded, skew_safe = _fold_islands(items.where(usable), skew_safe, written=True)
     # A proposal without offsets is rejected; a stored span without offsets
     # is kept and overlaps nothing.
+    # Without stored spans every unusable item is a rejected proposal; a
+    # literal keeps the optimizer able to prune it from the kept spans (and
+    # the renumbering then reuses the fold's partitioning).
+    keep = F.col("kind") == 0 if existing is not None else F.lit(False)
     unusable = (items.where(~usable).drop("_rid")
                 .withColumn("island", F.lit(None).cast("bigint"))
-                .withColumn("keep", F.col("kind") == 0).withColumn("dup", F.lit(False)))
+                .withColumn("keep", keep).withColumn("dup", F.lit(False)))
     return folded.unionByName(unusable.select(folded.columns)), skew_safe
 
 
