@@ -29,7 +29,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from spanloom.functions.spans import locate0
 from spanloom.session import spread
@@ -85,8 +85,8 @@ def _automaton(bc, token: str):
     cache = sys.__dict__.setdefault("_spanloom_automaton", {})
     if token not in cache:
         auto = ahocorasick.Automaton()
-        for i, t in enumerate(bc.value):
-            auto.add_word(t, (i, len(t)))
+        for t in bc.value:
+            auto.add_word(t, (t, len(t)))
         if len(auto):
             auto.make_automaton()
         cache.clear()
@@ -104,22 +104,22 @@ def _scan_fn(ids: list[str], text_col: str, bc, token: str):
                 pass
             return
         for pdf in batches:
-            rows, idx, starts = [], [], []
+            rows, found, starts = [], [], []
             for r, q in enumerate(pdf[text_col].tolist()):
                 if q is None:
                     continue
                 seen = set()
                 # Matches come out by end position; for one term the first end
                 # is also the first start.
-                for end_i, (ti, n) in auto.iter(q):
-                    if ti not in seen:
-                        seen.add(ti)
+                for end_i, (t, n) in auto.iter(q):
+                    if t not in seen:
+                        seen.add(t)
                         rows.append(r)
-                        idx.append(ti)
+                        found.append(t)
                         starts.append(end_i - n + 1)
             if rows:
                 out = pdf.iloc[rows][ids].reset_index(drop=True)
-                out["_t"] = np.asarray(idx, dtype="int32")
+                out["term"] = found
                 out["start"] = np.asarray(starts, dtype="int64")
                 yield out
     return scan
@@ -132,12 +132,10 @@ def hits_automaton(texts: DataFrame, ids: list[str], text_col: str, terms: DataF
     bc = spark.sparkContext.broadcast(term_list)
     fields = {f.name: f for f in texts.schema.fields}
     schema = StructType([fields[c] for c in ids]
-                        + [StructField("_t", IntegerType()), StructField("start", LongType())])
+                        + [StructField("term", StringType()), StructField("start", LongType())])
     cols = list(dict.fromkeys([*ids, text_col]))
     token = uuid.uuid4().hex
-    hits = texts.select(*cols).mapInPandas(_scan_fn(ids, text_col, bc, token), schema)
-    term_ids = spark.createDataFrame(list(enumerate(term_list)), "_t int, term string")
-    return hits.join(F.broadcast(term_ids), "_t").select(*ids, "term", "start")
+    return texts.select(*cols).mapInPandas(_scan_fn(ids, text_col, bc, token), schema)
 
 
 def _chunks(texts: DataFrame, ids: list[str], text_col: str, chunk: int, ext: int) -> DataFrame:
