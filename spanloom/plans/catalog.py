@@ -429,8 +429,8 @@ def q_list_projects(spark, d):
 
 
 # ------------------------------------------------------------------ B10, M6 (Structured Streaming)
-def _stream_snapshots(spark, d) -> DataFrame:
-    """Replay EDITS through the streaming operator and return all snapshots.
+def _stream_run(spark, d) -> tuple[str, str]:
+    """Replay EDITS through the streaming operator; return (snapshot sink, checkpoint).
 
     The log (seq made dense per row) is written as 4 files split by a hash of
     (row, seq), so every micro-batch holds edits out of order; every 20th edit
@@ -444,17 +444,20 @@ def _stream_snapshots(spark, d) -> DataFrame:
         "_f", F.pmod(F.hash("doc_id", "seq"), F.lit(4)))
     arrivals.repartition(4, "_f").drop("_f").write.parquet(src)
     sink = scratch_path(spark, "edit-stream-sink")
-    SE.run_replay_stream(spark, src, edits.schema, sink, scratch_path(spark, "edit-stream-ckpt"))
-    return spark.read.parquet(sink)
+    ckpt = scratch_path(spark, "edit-stream-ckpt")
+    SE.run_replay_stream(spark, src, edits.schema, sink, ckpt)
+    return sink, ckpt
 
 
 @query
 def q_replay_edits_stream(spark, d):
     from spanloom.streaming import edits_stream as SE
-    return flat_spans(SE.snapshot_spans(_stream_snapshots(spark, d)))
+    _, ckpt = _stream_run(spark, d)
+    return flat_spans(SE.state_spans(spark, ckpt))
 
 
 @query
 def q_progress_stream(spark, d):
     from spanloom.streaming import edits_stream as SE
-    return SE.progress_from_snapshots(_stream_snapshots(spark, d))
+    sink, _ = _stream_run(spark, d)
+    return SE.progress_from_snapshots(spark.read.parquet(sink))

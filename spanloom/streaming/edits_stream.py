@@ -9,11 +9,14 @@ batch :func:`spanloom.operators.edits.replay_edits` for any arrival order and
 any split into micro-batches. ``seq`` below ``next_seq`` is a duplicate and is
 dropped.
 
-Each micro-batch emits, for every row it touched, a snapshot: the current
-list as JSON, ``next_seq``, span counts and the number of buffered edits.
-Snapshots are appended by ``foreachBatch`` (Parquet has no upsert); readers
-take the snapshot with the largest ``next_seq`` per row, so a replayed batch
-is harmless. State is one entry per row with no expiry (the model has no
+Each micro-batch emits, for every row it touched, a small snapshot:
+``next_seq``, span and mapped-span counts and the number of buffered edits
+(not the list). Snapshots are appended by ``foreachBatch`` (Parquet has no
+upsert); readers take the snapshot with the largest ``next_seq`` per row, so
+a replayed batch is harmless. The lists themselves are read from the
+query's committed state with Spark's state data source
+(:func:`state_spans`), so a long list is not rewritten to the sink on every
+micro-batch. State is one entry per row with no expiry (the model has no
 event time); use the RocksDB state store for large stores.
 """
 
@@ -35,7 +38,7 @@ KEYS = ("project", "doc_id")
 EDIT_COLS = ("seq", "op", "ord", "text", "label", "start", "end", "category", "values")
 
 SNAPSHOT = ("project string, doc_id bigint, next_seq bigint, pending bigint, n_spans bigint, "
-            "n_mapped bigint, anns string")
+            "n_mapped bigint")
 STATE = "anns string, next_seq bigint, buffer string"
 
 
@@ -78,8 +81,7 @@ def _step(key, batches, state):
                   json.dumps({str(k): v for k, v in buffer.items()}, ensure_ascii=False)))
     yield pd.DataFrame([{
         "project": key[0], "doc_id": int(key[1]), "next_seq": next_seq, "pending": len(buffer),
-        "n_spans": len(anns), "n_mapped": sum(1 for a in anns if _mapped(a)),
-        "anns": json.dumps(anns, ensure_ascii=False)}])
+        "n_spans": len(anns), "n_mapped": sum(1 for a in anns if _mapped(a))}])
 
 
 def replay_edits_stream(edits: DataFrame) -> DataFrame:
@@ -103,10 +105,15 @@ def latest_snapshots(snapshots: DataFrame) -> DataFrame:
     return latest.select(*KEYS, *[F.col("_s")[c].alias(c) for c in others])
 
 
-def snapshot_spans(snapshots: DataFrame) -> DataFrame:
-    """Latest snapshots -> flat spans."""
-    latest = latest_snapshots(snapshots)
-    nested = latest.select(*KEYS, F.from_json("anns", ANNOTATIONS_DDL).alias("anns"))
+def state_spans(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Flat spans of every row from the stream's committed state (latest batch).
+
+    Reads the state store of the replay query through the ``statestore``
+    data source: one entry per row, its list as JSON.
+    """
+    st = spark.read.format("statestore").load(checkpoint)
+    nested = st.select(F.col("key.project").alias("project"), F.col("key.doc_id").alias("doc_id"),
+                       F.from_json("value.groupState.anns", ANNOTATIONS_DDL).alias("anns"))
     return (nested.select(*KEYS, F.posexplode("anns").alias("ord", "a"))
             .select(*KEYS, F.col("ord").cast("bigint"), "a.text", "a.label", "a.start", "a.end",
                     "a.mapped_value"))

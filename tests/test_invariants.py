@@ -89,12 +89,18 @@ def test_stream_equals_batch_any_split(spark):
     # 3 files, reversed seq blocks, a re-delivered copy of everything.
     arr = edits.unionByName(edits).withColumn("_f", 2 - F.col("seq") % 3)
     arr.repartition(3, "_f").drop("_f").write.parquet(src)
-    sink = scratch_path(spark, "t-sink")
-    SE.run_replay_stream(spark, src, edits.schema, sink, scratch_path(spark, "t-ckpt"))
-    stream = rows(SE.snapshot_spans(spark.read.parquet(sink)), ["doc_id", "ord", "start", "end", "text"])
+    sink, ckpt = scratch_path(spark, "t-sink"), scratch_path(spark, "t-ckpt")
+    SE.run_replay_stream(spark, src, edits.schema, sink, ckpt)
+    stream = rows(SE.state_spans(spark, ckpt), ["doc_id", "ord", "start", "end", "text"])
     assert stream == batch
     latest = SE.latest_snapshots(spark.read.parquet(sink))
     assert latest.where("pending > 0").count() == 0
+    # Live counts in the snapshots agree with the lists in the state.
+    counts = {r.doc_id: r.n_spans for r in latest.collect()}
+    per_row = {}
+    for r in batch:
+        per_row[r[0]] = per_row.get(r[0], 0) + 1
+    assert {k: v for k, v in counts.items() if v} == per_row
 
 
 def test_replay_dedups_repeated_edits(spark):
