@@ -143,9 +143,8 @@ def vocab_from_columns(df: DataFrame, columns: dict[str, object],
     """Build a vocabulary from the distinct values of columns.
 
     ``columns`` maps a key name to a column name or Column expression. Terms
-    of a key are numbered in sorted order. Numbering is a global dense index
-    over (project, key, term) -- range-partitioned, no single-task window --
-    minus the first index of the key.
+    of a key are numbered in sorted order by :func:`position_within` (a plain
+    window under the checked key size, a skew-safe range scan above it).
     """
     proj = F.col(project_col).cast("string") if project_col else F.lit(None).cast("string")
     parts = [df.select(proj.alias("project"), F.lit(k).alias("key"),
