@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontaminate, quality_rules
 
 QUERIES = {
     "op7_line_quality": quality_rules.query,
+    "op10_decontaminate": decontaminate.query,
 }
 
 ORACLE = {
     "op7_line_quality": quality_rules.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
 }
