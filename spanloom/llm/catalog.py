@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules
+from . import decontaminate, quality_rules, toxicity
 
 QUERIES = {
     "op7_line_quality": quality_rules.query,
+    "op9_toxicity": toxicity.query,
     "op10_decontaminate": decontaminate.query,
 }
 
