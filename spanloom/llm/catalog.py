@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, toxicity
+from . import decontaminate, quality_rules, sentencepiece_fst, toxicity
 
 QUERIES = {
+    "op2_sentencepiece": sentencepiece_fst.query,
     "op7_line_quality": quality_rules.query,
     "op9_toxicity": toxicity.query,
     "op10_decontaminate": decontaminate.query,

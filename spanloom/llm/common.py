@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once inside a task; bounds the Python memory of a worker.
 SLICE_BYTES = 4 << 20
@@ -26,7 +27,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str,
+def slices(batches: Iterator[pa.RecordBatch], column: str | int,
            max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one slice have about ``max_bytes`` (a longer text stands alone)."""
     for batch in batches:
@@ -127,3 +128,49 @@ def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [columns[f.name] if isinstance(columns[f.name], pa.Array)
          else pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def add_columns(docs, text_col: str, fields: list[tuple[str, str]], start,
+                max_bytes: int = SLICE_BYTES):
+    """All columns of ``docs`` plus columns computed from the text (an equal name is replaced).
+
+    ``start()`` is called once per task and returns a function from the Arrow
+    array of one slice's texts to the list of new Arrow arrays.
+    """
+    src = docs.drop(*[name for name, _ in fields])
+    schema = StructType(list(src.schema.fields))
+    at = src.columns.index(text_col)
+    for name, kind in fields:
+        schema = schema.add(StructType.fromDDL(f"`{name}` {kind}")[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = start()
+        for batch in slices(batches, at, max_bytes):
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *fn(batch.column(at))],
+                names=[*batch.schema.names, *[name for name, _ in fields]])
+
+    return src.mapInArrow(run, schema)
+
+
+class WordTable:
+    """Slots of word hashes seen before in this worker; cleared when it has ``limit`` words."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.index = pd.Index(np.zeros(0, dtype=np.uint64))
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        return self.index.get_indexer(hashes)
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.index = self.index.append(pd.Index(hashes))
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the ranges [start, start + size) one after the other."""
+    total = np.concatenate(([0], np.cumsum(size)))
+    return np.repeat(start - total[:-1], size) + np.arange(total[-1])
