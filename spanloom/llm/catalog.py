@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, sentencepiece_fst, toxicity
+from . import (
+    decontaminate,
+    language_id,
+    quality_rules,
+    sentencepiece_fst,
+    toxicity,
+)
 
 QUERIES = {
     "op2_sentencepiece": sentencepiece_fst.query,
+    "op6_language_id": language_id.query,
     "op7_line_quality": quality_rules.query,
     "op9_toxicity": toxicity.query,
     "op10_decontaminate": decontaminate.query,
