@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     decontaminate,
     language_id,
+    pii,
     quality_rules,
     sentencepiece_fst,
     toxicity,
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_sentencepiece": sentencepiece_fst.query,
     "op6_language_id": language_id.query,
     "op7_line_quality": quality_rules.query,
+    "op8_pii": pii.query,
     "op9_toxicity": toxicity.query,
     "op10_decontaminate": decontaminate.query,
 }
