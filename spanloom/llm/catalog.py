@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     decontaminate,
     language_id,
+    near_dup,
     pii,
     quality_rules,
     sentencepiece_fst,
@@ -13,6 +14,7 @@ from . import (
 
 QUERIES = {
     "op2_sentencepiece": sentencepiece_fst.query,
+    "op4_near_dup": near_dup.query,
     "op6_language_id": language_id.query,
     "op7_line_quality": quality_rules.query,
     "op8_pii": pii.query,
