@@ -9,11 +9,13 @@ from . import (
     pii,
     quality_rules,
     sentencepiece_fst,
+    substring_dedup,
     toxicity,
 )
 
 QUERIES = {
     "op2_sentencepiece": sentencepiece_fst.query,
+    "op3_substring_dedup": substring_dedup.query,
     "op4_near_dup": near_dup.query,
     "op6_language_id": language_id.query,
     "op7_line_quality": quality_rules.query,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_substring_dedup": substring_dedup.ORACLE,
     "op7_line_quality": quality_rules.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
