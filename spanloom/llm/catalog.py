@@ -10,6 +10,7 @@ from . import (
     quality_rules,
     sentencepiece_fst,
     substring_dedup,
+    token_shards,
     toxicity,
 )
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_sentencepiece": sentencepiece_fst.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_near_dup": near_dup.query,
+    "op5_token_shards": token_shards.query,
     "op6_language_id": language_id.query,
     "op7_line_quality": quality_rules.query,
     "op8_pii": pii.query,
