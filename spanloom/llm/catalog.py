@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     decontaminate,
     language_id,
+    license_scan,
     near_dup,
     pii,
     quality_rules,
@@ -15,6 +16,7 @@ from . import (
 )
 
 QUERIES = {
+    "op1_license_scan": license_scan.query,
     "op2_sentencepiece": sentencepiece_fst.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_near_dup": near_dup.query,
@@ -27,6 +29,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_license_scan": license_scan.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op7_line_quality": quality_rules.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
