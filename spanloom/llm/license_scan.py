@@ -69,7 +69,7 @@ TEMPLATES = (
                 "to this work under CC0 1.0."),
 )
 THRESHOLD = 0.7
-#: Words of everyday English, tried last as prefix words (any order of the prefix is exact).
+#: Words of everyday English: weighed as if in every template, and tried last as prefix words.
 EVERYDAY = frozenset(
     "a all and any are as at be by can deal for form found free from has in into is it may met not of on or "
     "that the this to under use v version with without work you file following person program terms "
@@ -85,7 +85,7 @@ def weights(templates=TEMPLATES) -> tuple[dict[str, float], float, list[dict[str
     bags = [Counter(re.findall(TOKEN, text.lower())) for _, text in templates]
     df = Counter(t for bag in bags for t in bag)
     n = len(bags)
-    idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
+    idf = {t: 1.0 if t in EVERYDAY else math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
     vectors = []
     for bag in bags:
         v = {t: k * idf[t] for t, k in bag.items()}
