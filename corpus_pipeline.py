@@ -3,18 +3,54 @@
 ``STAGES`` lists (name, function). Each function takes ``(spark, docs, sf_dir)``
 and returns a DataFrame; ``run`` writes it as Parquet in the shared scratch
 folder and reads it back as the next stage's ``docs``. All stages but the last
-return the columns of ``documents``.
+return the columns of ``documents``; the last adds the token ids.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spanloom.llm import decontaminate, near_dup, pii, sentencepiece_fst, toxicity
 from spanloom.session import materialize
 
-STAGES: list = []
 
-#: No SQL: the first stage is a trained network and the second a sketch.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, scores under 0.5."""
+    model = toxicity.fit_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model, name="_toxicity")
+    return scored.where(F.col("_toxicity") < 0.5).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near duplicates."""
+    return near_dup.dedup(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each span of personal data replaced by its kind."""
+    return pii.mask(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their piece ids."""
+    return sentencepiece_fst.encode(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("sentencepiece", encode),
+]
+
+#: No SQL: the first stage is a trained network and the last a lattice search.
 ORACLE_SQL = None
 
 
