@@ -32,7 +32,7 @@ from ..session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Same matches as the plain forms; guards and possessive loops keep them linear.
 PATTERNS = {
     # A run of local characters is tried from its start, or from the end of the match before.
