@@ -309,7 +309,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, the one with the smallest id; all columns unchanged."""
     rows = classes(docs, id_col, text_col, threshold).where("n_shingles > 0")
-    best = rows.groupBy("cls").agg(F.min(F.struct("doc", "text_hash")).alias("best"))
+    # A null id comes after every id.
+    best = rows.groupBy("cls").agg(F.min(F.struct(
+        F.col("doc").isNull().alias("none"), "doc", "text_hash")).alias("best"))
     lost = materialize(
         rows.join(best, "cls").groupBy("doc", "text_hash").agg(
             F.max((F.col("doc").eqNullSafe(F.col("best.doc"))
