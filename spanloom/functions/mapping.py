@@ -31,7 +31,7 @@ def mapping_text(mapping) -> Column:
 def normalize_value(v) -> Column:
     """One category value (VARIANT) -> ``array<string>``.
 
-    A list stays a list (elements as text); JSON null -> []; a falsy scalar
+    A list stays a list (elements as text, a null element stays null); JSON null -> []; a falsy scalar
     (``0``, ``0.0``, ``false``, ``""``) -> []; any other scalar -> [scalar].
     Strings keep their text (``"0"`` is not falsy); numbers keep JSON text.
     """
@@ -49,7 +49,9 @@ def normalize_value(v) -> Column:
     )
     as_list = F.coalesce(
         F.transform(F.try_variant_get(v, "$", "array<variant>"),
-                    lambda x: F.when(F.schema_of_variant(x) == "STRING",
+                    lambda x: F.when(x.isNull() | (F.schema_of_variant(x) == "VOID"),
+                                     F.lit(None).cast("string"))
+                    .when(F.schema_of_variant(x) == "STRING",
                                      F.try_variant_get(x, "$", "string"))
                     .otherwise(F.to_json(x))),
         F.array().cast("array<string>"))

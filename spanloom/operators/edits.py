@@ -3,9 +3,12 @@
 Edits of one row depend on each other through list ordinals, so they are
 applied in ``seq`` order, one row at a time; rows are independent. The log is
 hash-partitioned by row and sorted by (row, seq) inside each partition, and a
-``mapInPandas`` pass walks it once. Memory holds one row's current list, never
+``mapInArrow`` pass walks it once. Memory holds one row's current list, never
 the row's whole edit history, so a row with a huge log streams through.
-Repeated ``(project, doc_id, seq)`` entries are applied once. The row's list
+Repeated ``(project, doc_id, seq)`` entries are applied once. An edit without
+``seq`` has no place in the order: it is not applied (outcome ``no_seq``; the
+stream drops it). Rows travel as Arrow batches, so integers stay exact and
+NULL keys stay NULL. The row's list
 keeps a bin index (:class:`SpanList`), so an ``add`` tests only spans near it.
 """
 
@@ -13,39 +16,30 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.schema import MAPPING_TYPE
+from spanloom.session import materialize
 
 KEYS = ("project", "doc_id")
 
 OPS = ("add", "remove", "update", "set_mapping")
 
+REPLAY_FIELDS = pa.schema([
+    ("kind", pa.string()), ("project", pa.string()), ("doc_id", pa.int64()), ("seq", pa.int64()),
+    ("op", pa.string()), ("outcome", pa.string()), ("ord", pa.int64()), ("text", pa.string()),
+    ("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("mapping", pa.string())])
 REPLAY_OUT = ("kind string, project string, doc_id bigint, seq bigint, op string, "
               "outcome string, ord bigint, text string, label string, start bigint, "
               "`end` bigint, mapping string")
 
 
-def _none(x):
-    if x is None:
-        return None
-    try:
-        if pd.isna(x):
-            return None
-    except (TypeError, ValueError):
-        pass
-    return x
-
-
-def _int(x):
-    x = _none(x)
-    return None if x is None else int(x)
-
-
-# Bin width of the overlap index (code points), as in ``spans.overlap_pairs``.
+# Bin width of the overlap index (code points) and the bins a span may cover, as
+# in ``spans.overlap_pairs``.
 BIN = 64
+MAX_BINS = 1024
 
 
 class SpanList:
@@ -54,8 +48,9 @@ class SpanList:
     Each span is indexed under the fixed-width bins it covers (an empty or
     inverted span: the bin of its start). An added span is tested only
     against spans sharing one of its bins, so a long row costs the local
-    density per add, not the row length. A span without offsets is not
-    indexed and overlaps nothing.
+    density per add, not the row length. A span over more than ``MAX_BINS``
+    bins is kept aside and tested by every add; adding such a span tests the
+    whole list. A span without offsets is not indexed and overlaps nothing.
     """
 
     def __init__(self, anns: list | None = None):
@@ -63,6 +58,7 @@ class SpanList:
         self._ids: list = []
         self._bins: dict = {}
         self._span: dict = {}
+        self._long: set = set()
         self._next = 0
         for a in anns or []:
             self.append(a)
@@ -72,31 +68,40 @@ class SpanList:
 
     @staticmethod
     def _range(s, e):
+        """Bins of a span, or None for a long one."""
         if s is None or e is None:
             return range(0)
-        return range(s // BIN, max(e - 1, s) // BIN + 1)
+        first, last = s // BIN, max(e - 1, s) // BIN
+        return range(first, last + 1) if last - first < MAX_BINS else None
 
     def _index(self, i, s, e):
         self._span[i] = (s, e)
-        for b in self._range(s, e):
+        bins = self._range(s, e)
+        if bins is None:
+            self._long.add(i)
+        for b in bins or ():
             self._bins.setdefault(b, set()).add(i)
 
     def _unindex(self, i):
         s, e = self._span.pop(i)
-        for b in self._range(s, e):
+        self._long.discard(i)
+        for b in self._range(s, e) or ():
             ids = self._bins[b]
             ids.discard(i)
             if not ids:
                 del self._bins[b]
 
+    def _meets(self, i, s, e):
+        a_s, a_e = self._span[i]
+        return a_s is not None and a_e is not None and not (e <= a_s or s >= a_e)
+
     def overlaps_any(self, s: int, e: int) -> bool:
         """``not (e <= a.start or s >= a.end)`` for some span ``a`` of the list."""
-        for b in self._range(s, e):
-            for i in self._bins.get(b, ()):
-                a_s, a_e = self._span[i]
-                if not (e <= a_s or s >= a_e):
-                    return True
-        return False
+        bins = self._range(s, e)
+        if bins is None:
+            return any(self._meets(i, s, e) for i in self._span)
+        return (any(self._meets(i, s, e) for i in self._long)
+                or any(self._meets(i, s, e) for b in bins for i in self._bins.get(b, ())))
 
     def append(self, a: dict) -> None:
         i, self._next = self._next, self._next + 1
@@ -119,14 +124,14 @@ class SpanList:
 def apply_edit(spans: SpanList, e: dict) -> str:
     """Apply one edit to a row's list in place; return the outcome."""
     op = e.get("op")
-    ordv = _int(e.get("ord"))
+    ordv = e.get("ord")
     if op == "add":
-        s, t = _int(e.get("start")), _int(e.get("end"))
+        s, t = e.get("start"), e.get("end")
         if s is None or t is None:
             return "bad_offset"
         if spans.overlaps_any(s, t):
             return "overlap"
-        spans.append({"text": _none(e.get("text")), "label": _none(e.get("label")),
+        spans.append({"text": e.get("text"), "label": e.get("label"),
                       "start": s, "end": t, "mapped_value": {}})
         return "accepted"
     if ordv is None or not 0 <= ordv < len(spans):
@@ -135,14 +140,13 @@ def apply_edit(spans: SpanList, e: dict) -> str:
         spans.pop(ordv)
         return "accepted"
     if op == "update":
-        s, t = _int(e.get("start")), _int(e.get("end"))
-        spans.replace(ordv, {"text": _none(e.get("text")), "label": _none(e.get("label")),
+        s, t = e.get("start"), e.get("end")
+        spans.replace(ordv, {"text": e.get("text"), "label": e.get("label"),
                              "start": s, "end": t, "mapped_value": {}})
         return "accepted"
     if op == "set_mapping":
-        cat = _none(e.get("category"))
-        vals = e.get("values")
-        vals = [] if _none(vals) is None and not isinstance(vals, (list, tuple)) else list(vals)
+        cat = e.get("category")
+        vals = list(e.get("values") or [])
         m = spans.anns[ordv]["mapped_value"]
         if m.get(cat, []) == vals:
             return "unchanged"
@@ -165,35 +169,31 @@ def _replay_partition(batches):
     spans = SpanList()
     last_seq = None
     out: list = []
-    for pdf in batches:
-        for r in pdf.to_dict("records"):
+    for batch in batches:
+        for r in batch.to_pylist():
             key = (r["project"], r["doc_id"])
             if key != cur:
                 if cur is not None:
                     out.extend(_span_rows(cur[0], cur[1], spans.anns))
                 cur, spans, last_seq = key, SpanList(), None
             if r["phase"] == 0:  # stored span that seeds the list
-                m = r["mapping"]
-                spans.append({"text": _none(r["text"]), "label": _none(r["label"]),
-                             "start": _int(r["start"]), "end": _int(r["end"]),
-                             "mapped_value": json.loads(m) if isinstance(m, str) else {}})
+                spans.append({"text": r["text"], "label": r["label"], "start": r["start"],
+                              "end": r["end"], "mapped_value": json.loads(r["mapping"] or "{}")})
                 continue
-            seq = _int(r["seq"])
+            seq = r["seq"]
             if seq is not None and seq == last_seq:
                 continue  # replayed duplicate
             last_seq = seq
-            outcome = apply_edit(spans, r)
+            outcome = "no_seq" if seq is None else apply_edit(spans, r)
             out.append({"kind": "outcome", "project": r["project"], "doc_id": r["doc_id"],
-                        "seq": seq, "op": r["op"], "outcome": outcome, "ord": _int(r["ord"]),
-                        "text": None, "label": None, "start": None, "end": None,
-                        "mapping": None})
-        if len(out) >= 4096:
-            yield pd.DataFrame(out)
-            out = []
+                        "seq": seq, "op": r["op"], "outcome": outcome, "ord": r["ord"]})
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_pylist(out, schema=REPLAY_FIELDS)
+                out = []
     if cur is not None:
         out.extend(_span_rows(cur[0], cur[1], spans.anns))
     if out:
-        yield pd.DataFrame(out)
+        yield pa.RecordBatch.from_pylist(out, schema=REPLAY_FIELDS)
 
 
 def _log(edits: DataFrame, initial: DataFrame | None) -> DataFrame:
@@ -215,23 +215,38 @@ def _log(edits: DataFrame, initial: DataFrame | None) -> DataFrame:
 
 def replay(edits: DataFrame, initial: DataFrame | None = None,
            partitions: int | None = None) -> DataFrame:
-    """Raw replay output: ``kind`` = 'span' (final list) or 'outcome' (per edit)."""
-    spark = edits.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Raw replay output: ``kind`` = 'span' (final list) or 'outcome' (per edit).
+
+    Without ``partitions`` the adaptive planner sizes the shuffle.
+    """
     log = _log(edits, initial)
-    ordered = log.repartition(n, *KEYS).sortWithinPartitions(*KEYS, "phase", "seq")
-    return ordered.mapInPandas(_replay_partition, REPLAY_OUT)
+    dealt = log.repartition(partitions, *KEYS) if partitions else log.repartition(*KEYS)
+    ordered = dealt.sortWithinPartitions(*KEYS, "phase", "seq")
+    return ordered.mapInArrow(_replay_partition, REPLAY_OUT)
+
+
+def _state(raw: DataFrame) -> DataFrame:
+    return raw.where(F.col("kind") == "span").select(
+        *KEYS, "ord", "text", "label", "start", "end",
+        F.from_json("mapping", MAPPING_TYPE).alias("mapped_value"))
+
+
+def _outcomes(raw: DataFrame) -> DataFrame:
+    return raw.where(F.col("kind") == "outcome").select(*KEYS, "seq", "op", "ord", "outcome")
+
+
+def replay_all(edits: DataFrame, initial: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(final spans, outcomes) of one replay, written once and read by both."""
+    raw = materialize(replay(edits, initial), "replay")
+    return _state(raw), _outcomes(raw)
 
 
 def replay_edits(edits: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Final flat span table after applying every edit in ``seq`` order."""
-    out = replay(edits, initial).where(F.col("kind") == "span")
-    return out.select(*KEYS, "ord", "text", "label", "start", "end",
-                      F.from_json("mapping", MAPPING_TYPE).alias("mapped_value"))
+    return _state(replay(edits, initial))
 
 
 def replay_outcomes(edits: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """One row per distinct edit: ``outcome`` in accepted / overlap /
-    out_of_range / unchanged / bad_offset / unknown_op."""
-    out = replay(edits, initial).where(F.col("kind") == "outcome")
-    return out.select(*KEYS, "seq", "op", "ord", "outcome")
+    out_of_range / unchanged / bad_offset / unknown_op / no_seq."""
+    return _outcomes(replay(edits, initial))

@@ -34,7 +34,8 @@ def with_doc_id(df: DataFrame, key: str | None = None,
                 order_by: list[str] | None = None, name: str = "doc_id") -> DataFrame:
     """Attach a dense 0-based row identity.
 
-    * ``key`` given: that column is the identity.
+    * ``key`` given: that column is the identity; a text that is not a plain
+      integer (a leading zero, a blank) is an error.
     * ``order_by`` given: position in that total order.
     * neither: position in input order (file path, then position in file).
 
@@ -44,7 +45,13 @@ def with_doc_id(df: DataFrame, key: str | None = None,
     inside the partition is the id.
     """
     if key is not None:
-        return df.withColumn(name, F.col(key).cast("bigint"))
+        value = F.col(key).cast("bigint")
+        if dict(df.dtypes)[key] == "string":  # ``007`` and ``7`` must not become one row
+            plain = F.col(key).rlike("^(0|-?[1-9][0-9]{0,18})$")
+            value = F.when(F.col(key).isNull() | plain, F.expr(f"try_cast(`{key}` as bigint)")).otherwise(
+                F.raise_error(F.concat(F.lit(f"key column {key} holds no plain integer: "), F.col(key)))
+                .cast("bigint"))
+        return df.withColumn(name, value)
     if order_by:
         ordered = df.sort(*order_by)
     else:
@@ -85,7 +92,11 @@ def position_within(df: DataFrame, group: list[str], order: list[str],
 def _raw_checks(raw: Column):
     v = F.try_parse_json(raw)
     kind = F.schema_of_variant(v)
-    tail_ok = F.regexp_replace(raw, r"\s+$", "").endswith("]")
+    # The parser stops after the first value. Inside a list and inside an object
+    # the text must still be exactly one value, so nothing can follow it.
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
+    nested = F.try_parse_json(F.concat(F.lit('{"a":'), raw, F.lit("}")))
+    tail_ok = F.coalesce((F.size(listed) == 1) & nested.isNotNull(), F.lit(False))
     reason = (
         F.when(raw.isNull(), F.lit(None).cast("string"))
         .when(v.isNull(), F.lit("invalid_json"))
@@ -126,7 +137,7 @@ def parse_annotations(df: DataFrame, col: str = "annotations",
     raw = F.col(col)
     arr, reason = _raw_checks(raw)
     # JSON parsing is the heavy per-row step: run it over the cluster's
-    # parallelism even when the input came as a few splits.
+    # parallelism even when the input came as a few files.
     staged = spread(df).withColumn("_arr", arr).withColumn("_reason", reason)
     kept = F.filter(F.col("_arr"), lambda x: _element_reason(x).isNull())
     docs = staged.withColumn(

@@ -44,6 +44,10 @@ def with_slice(df: DataFrame, query_col: str = "query") -> DataFrame:
 
 
 # --------------------------------------------------------------------------- B4
+#: Bins that a span may cover; a longer one is matched by its row alone.
+MAX_BINS = 1024
+
+
 def _binned(df: DataFrame, w) -> DataFrame:
     """Copy each span to the fixed-width bins it covers (an empty span: the bin of its start)."""
     last = F.greatest(F.col("end") - 1, F.col("start"))
@@ -58,21 +62,29 @@ def overlap_pairs(spans: DataFrame, bin_width: int = 64) -> DataFrame:
     A range join, not an all-pairs join per row: each span is copied to the
     fixed-width bins it covers, pairs are joined on ``(project, doc_id, bin)``,
     and a pair is kept only in the bin holding ``max(a.start, b.start)`` so it
-    is reported once. Empty spans (``start >= end``) never overlap each other,
-    so they are joined only against non-empty spans: a pile of empty spans at
-    one position forms no pairs.
+    is reported once. A span over more than ``MAX_BINS`` bins is not copied: it
+    is joined with its row's spans directly (few such spans fit a text without
+    overlapping, and overlapping ones are output). Empty spans
+    (``start >= end``) never overlap each other, so they are joined only
+    against non-empty spans: a pile of empty spans at one position forms no
+    pairs.
     """
     w = F.lit(bin_width)
-    base = spans.where(F.col("start").isNotNull() & F.col("end").isNotNull())
-    full = _binned(base.where(F.col("start") < F.col("end")), w)
-    empty = _binned(base.where(F.col("start") >= F.col("end")), w)
-
-    def pairs(x: DataFrame, y: DataFrame, ordered: bool) -> DataFrame:
+    base = spans.where(F.col("start").isNotNull() & F.col("end").isNotNull()).select(
+        *KEYS, "ord", "start", "end")
+    is_full = F.col("start") < F.col("end")
+    is_long = F.col("end") - F.col("start") > bin_width * MAX_BINS
+    long = base.where(is_long)
+    short = base.where(~is_long)
+    full, empty = _binned(short.where(is_full), w), _binned(short.where(~is_full), w)
+
+    def pairs(x: DataFrame, y: DataFrame, ordered: bool, binned: bool) -> DataFrame:
         xa, yb = x.alias("a"), y.alias("b")
         cond = ((F.col("a.project") == F.col("b.project")) & (F.col("a.doc_id") == F.col("b.doc_id"))
-                & (F.col("a.bin") == F.col("b.bin"))
-                & ~((F.col("b.end") <= F.col("a.start")) | (F.col("b.start") >= F.col("a.end")))
-                & (F.floor(F.greatest(F.col("a.start"), F.col("b.start")) / w) == F.col("a.bin")))
+                & ~((F.col("b.end") <= F.col("a.start")) | (F.col("b.start") >= F.col("a.end"))))
+        if binned:
+            cond = cond & (F.col("a.bin") == F.col("b.bin")) & (
+                F.floor(F.greatest(F.col("a.start"), F.col("b.start")) / w) == F.col("a.bin"))
         if ordered:
             cond = cond & (F.col("a.ord") < F.col("b.ord"))
         j = xa.join(yb, cond)
@@ -90,7 +102,8 @@ def overlap_pairs(spans: DataFrame, bin_width: int = 64) -> DataFrame:
             pick("start").alias("start_a"), pick("end").alias("end_a"),
             other("start").alias("start_b"), other("end").alias("end_b"))
 
-    return pairs(full, full, True).unionByName(pairs(empty, full, False))
+    return (pairs(full, full, True, True).unionByName(pairs(empty, full, False, True))
+            .unionByName(pairs(long, long, True, False)).unionByName(pairs(short, long, False, False)))
 
 
 # --------------------------------------------------------------------------- B5
@@ -163,8 +176,10 @@ def _island_stream(batches):
     Stored spans (kind 0) come first, by start: a prefix max of their ends
     answers "does any stored span overlap [s, e)". Accepted non-empty
     proposals are disjoint, so a list sorted by start answers the same with
-    one bisect; accepted empty spans are points, blocking spans strictly
-    around them. Memory is one island's stored and accepted spans.
+    one bisect. An accepted empty or inverted span ``[s, e)``, ``e <= s``, blocks
+    spans that start before ``e`` and end after ``s``; among those by start the
+    candidates lie inside the proposal. Memory is one island's stored and
+    accepted spans.
     """
     import bisect
 
@@ -182,7 +197,7 @@ def _island_stream(batches):
             # NULL keys arrive as NaN (NaN != NaN): compare them as None.
             key = tuple(None if x is None or x != x else x for x in (p, d, isl))
             if key != cur:
-                cur, st_s, st_m, acc_s, acc_e, pts = key, [], [], [], [], []
+                cur, st_s, st_m, acc_s, acc_e, pts = key, [], [], [], [], []  # pts: (start, end)
             s, e = int(s), int(e)
             if kind == 0:
                 st_s.append(s)
@@ -195,8 +210,10 @@ def _island_stream(batches):
                     j = bisect.bisect_left(acc_s, e)
                     hit = j > 0 and acc_e[j - 1] > s
                 if not hit:
-                    k = bisect.bisect_right(pts, s)
-                    hit = k < len(pts) and pts[k] < e
+                    k = bisect.bisect_right(pts, (s, float("inf")))
+                    while not hit and k < len(pts) and pts[k][0] < e:
+                        hit = pts[k][1] > s
+                        k += 1
                 keep = not hit
                 if keep:
                     if s < e:
@@ -204,7 +221,7 @@ def _island_stream(batches):
                         acc_s.insert(j, s)
                         acc_e.insert(j, e)
                     else:
-                        bisect.insort(pts, s)
+                        bisect.insort(pts, (s, e))
             rid_out.append(rid)
             keep_out.append(keep)
         yield pd.DataFrame({"_rid": pd.Series(rid_out, dtype="int64"),
@@ -323,47 +340,40 @@ def add_spans(existing: DataFrame | None, proposed: DataFrame,
 
 
 # --------------------------------------------------------------------------- B7, B8
-def _one_per_doc(requests: DataFrame) -> DataFrame:
-    """First request per row by ``seq`` (a partial aggregate, skew-safe)."""
-    if "seq" not in requests.columns:
-        requests = requests.withColumn("seq", F.lit(0))
-    others = [c for c in requests.columns if c not in KEYS]
-    first = requests.groupBy(*KEYS).agg(
-        F.min_by(F.struct(*others), F.col("seq")).alias("_r"))
-    return first.select(*KEYS, *[F.col("_r")[c].alias(c) for c in others])
-
-
+# Requests are independent: every ordinal means the list as it is stored.
 def remove_span(spans: DataFrame, requests: DataFrame) -> DataFrame:
-    """Remove the span at ``ord`` of each row; later ordinals shift down by one.
+    """Remove the spans at the requested ordinals of each row; later ordinals shift down.
 
-    Out-of-range ordinals are no-ops. One request per row (the first by
-    ``seq``); sequences of edits on one row go through ``replay_edits``.
+    Any number of requests per row; a repeated one counts once and an ordinal
+    out of range is a no-op. Dependent edits go through ``replay_edits``.
     """
-    req = _one_per_doc(requests).select(*KEYS, F.col("ord").cast("bigint").alias("ord"))
-    # Only requests that hit a stored span act (out of range = no-op).
-    req = req.join(spans.select(*KEYS, "ord"), [*KEYS, "ord"], "left_semi") \
-             .withColumnRenamed("ord", "_del")
-    j = spans.join(req, list(KEYS), "left")
-    return (j.where(F.col("_del").isNull() | (F.col("ord") != F.col("_del")))
-            .withColumn("ord", F.when(F.col("_del").isNotNull() & (F.col("ord") > F.col("_del")),
-                                      F.col("ord") - 1).otherwise(F.col("ord")))
-            .drop("_del"))
+    req = requests.select(*KEYS, F.col("ord").cast("bigint").alias("ord")).distinct()
+    req = req.join(spans.select(*KEYS, "ord"), [*KEYS, "ord"], "left_semi")
+    gone = req.groupBy(*KEYS).agg(F.collect_list("ord").alias("_gone"))
+    j = spans.join(gone, list(KEYS), "left")
+    before = F.size(F.filter("_gone", lambda o: o < F.col("ord")))
+    kept = F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("ord"))
+    return j.where(kept).withColumn(
+        "ord", F.when(F.col("_gone").isNull(), F.col("ord")).otherwise(F.col("ord") - before)).drop("_gone")
 
 
 def update_span(spans: DataFrame, requests: DataFrame) -> DataFrame:
-    """Replace the span at ``ord`` of each row (no overlap re-check).
+    """Replace the spans at the requested ordinals of each row (no overlap re-check).
 
-    Out-of-range ordinals are no-ops. ``requests``: KEYS, ord, text, label,
-    start, end[, mapped_value] (missing mapping -> {}).
+    Out-of-range ordinals are no-ops; of several requests for one ordinal the
+    last by ``seq`` counts. ``requests``: KEYS, ord, text, label, start,
+    end[, mapped_value][, seq] (missing mapping -> {}).
     """
     mv = (F.col("mapped_value") if "mapped_value" in requests.columns
           else F.create_map().cast("map<string,array<string>>"))
-    req = _one_per_doc(requests).select(
-        *KEYS, F.col("ord").cast("bigint").alias("ord"),
-        F.struct(F.col("text").alias("text"), F.col("label").alias("label"),
-                 F.col("start").cast("bigint").alias("start"),
-                 F.col("end").cast("bigint").alias("end"),
-                 mv.alias("mapped_value")).alias("_new"))
+    seq = F.col("seq") if "seq" in requests.columns else F.lit(0)
+    new = F.struct(F.col("text").alias("text"), F.col("label").alias("label"),
+                   F.col("start").cast("bigint").alias("start"),
+                   F.col("end").cast("bigint").alias("end"), mv.alias("mapped_value"))
+    rank = F.struct(seq.alias("seq"), F.col("start").alias("s"), F.col("end").alias("e"),
+                    F.col("text").alias("t"), F.col("label").alias("l"))
+    req = requests.groupBy(*KEYS, F.col("ord").cast("bigint").alias("ord")).agg(
+        F.max_by(new, rank).alias("_new"))
     j = spans.join(req, [*KEYS, "ord"], "left")
     hit = F.col("_new").isNotNull()
     return j.select(*KEYS, "ord",

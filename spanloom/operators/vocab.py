@@ -99,7 +99,8 @@ def add_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
     Returns the registry. Dedup is a partial aggregate and positions come from
     :func:`position_within`, so one hot project or label never lands in one task.
     """
-    fresh = (new.where(F.col("label").isNotNull() & (F.trim(F.col("label")) != ""))
+    # Blank = nothing but Unicode white space and the separators U+001C to U+001F.
+    fresh = (new.where(F.col("label").rlike(r"[^\p{IsWhite_Space}\x1C-\x1F]"))
              .groupBy("project", "label").agg(F.min("seq").alias("seq"))
              .join(labels.select("project", "label"), ["project", "label"], "left_anti"))
     base = labels.groupBy("project").agg(F.max("pos").alias("_max"))

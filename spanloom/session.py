@@ -44,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return path
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="spanloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     sc.setCheckpointDir(conf)
@@ -73,12 +75,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread rows over at least the cluster's default parallelism before heavy per-row work.
 
-    A large input already has many file splits and is returned unchanged (no
-    shuffle). An input read as a few splits -- e.g. one file with one row
-    group -- would otherwise run per-text work in a few tasks, so it gets a
-    round-robin repartition.
+    An input of many files has many splits and is returned unchanged (no
+    shuffle). One of a few files would otherwise run per-text work in a few
+    tasks, so it gets a round-robin repartition. Only the plan's file list is
+    looked at: nothing runs.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if len(df.inputFiles()) < target:
         return df.repartition(target)
     return df

@@ -17,29 +17,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from spanloom.operators.ingest import (empty_anns, explode_spans, nest_spans, parse_annotations,
                                       require_query, with_doc_id)
-from spanloom.schema import ANNOTATIONS, DEFAULT_LABEL_MAP, LABEL_MAP, REJECTS, SPANS, VOCAB
+from spanloom.schema import DEFAULT_LABEL_MAP, LABEL_MAP, REJECTS, SPANS, VOCAB
+from spanloom.session import materialize
 
 KEYS = ("project", "doc_id")
 
 
 def _project_from_name(suffix: str):
-    """Project name = file name with the artefact suffix removed (suffix only)."""
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)" + suffix + "$", 1)
+    """Project name = file name with the artefact suffix removed (suffix only).
+
+    ``_metadata.file_name`` is percent-encoded; a plus sign in it is literal.
+    """
+    name = F.url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\+", "%2B"))
+    return F.regexp_extract(name, r"(?s)^(.*)" + suffix + "$", 1)
+
+
+def _read_by_project(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A table partitioned by ``project``, whose values stay text (``007`` is not 7)."""
+    if schema is None:
+        found = spark.read.parquet(path).schema
+        schema = StructType([StructField(f.name, StringType()) if f.name == "project" else f
+                             for f in found])
+    return spark.read.schema(schema).parquet(path)
+
+
+def _drop_project(spark: SparkSession, path: str, project: str) -> None:
+    """Remove one project's partition; an overwrite alone keeps partitions that get no rows."""
+    jvm = spark._jvm
+    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(
+        "project", project)
+    target = jvm.org.apache.hadoop.fs.Path(path, folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 # ------------------------------------------------------------------ datasets
 def read_docs_csv(spark: SparkSession, path: str, project: str,
                   order_by: list[str] | None = None, key: str | None = None) -> DataFrame:
-    """CSV dataset -> ``project, doc_id, query, <other columns as text>``."""
+    """CSV dataset -> ``project, doc_id, query, <other columns as text>``.
+
+    With ``key``, that column is the row identity and is kept as it was read.
+    A quoted record may span lines, so one file is one task: give large
+    datasets as many files.
+    """
     df = (spark.read.option("header", True).option("multiLine", True)
           .option("escape", '"').option("encoding", "UTF-8").csv(path))
     df = require_query(df)
     df = with_doc_id(df, key=key, order_by=order_by)
-    if key is not None and key != "doc_id":
-        df = df.drop(key)
     return df.withColumn("project", F.lit(project)).select("project", "doc_id", *[
         c for c in df.columns if c not in ("project", "doc_id")])
 
@@ -47,38 +74,53 @@ def read_docs_csv(spark: SparkSession, path: str, project: str,
 def read_docs_json(spark: SparkSession, path: str, project: str,
                    order_by: list[str] | None = None, multiline: bool = True,
                    key: str | None = None) -> DataFrame:
-    """JSON array of records (or JSON Lines with ``multiline=False``)."""
-    df = (spark.read.option("multiLine", multiline).option("primitivesAsString", True)
-          .json(path))
-    if "annotations" in df.columns and dict(df.dtypes)["annotations"] != "string":
-        df = df.withColumn("annotations", F.to_json("annotations"))
+    """JSON array of records (or JSON Lines with ``multiline=False``).
+
+    Column names come from one inference pass; every column is then read as
+    text, nested values as the JSON text they had (nothing is re-typed).
+    """
+    reader = spark.read.option("multiLine", multiline)
+    names = reader.option("primitivesAsString", True).json(path).columns
+    df = reader.schema(StructType([StructField(c, StringType()) for c in names])).json(path)
     df = require_query(df)
     df = with_doc_id(df, key=key, order_by=order_by)
-    if key is not None and key != "doc_id":
-        df = df.drop(key)
     return df.withColumn("project", F.lit(project)).select("project", "doc_id", *[
         c for c in df.columns if c not in ("project", "doc_id")])
 
 
+def json_layout(spark: SparkSession, path: str) -> str:
+    """``json`` if every file starts with a bracket (one array), ``jsonl`` if none does; else an error."""
+    first = (spark.read.option("wholetext", True).text(path)
+             .select(F.regexp_extract("value", r"^[\s\ufeff]*(\S)", 1).alias("c"))
+             .where("c <> ''").groupBy((F.col("c") == "[").alias("array")).count().collect())
+    kinds = {r["array"] for r in first}
+    if len(kinds) > 1:
+        raise ValueError(f"{path} mixes JSON arrays and JSON Lines")
+    return "jsonl" if kinds == {False} else "json"
+
+
 def write_docs_csv(df: DataFrame, path: str) -> None:
     """CSV with header and doubled quotes (many files; one per partition)."""
     (df.write.mode("overwrite").option("header", True).option("escape", '"')
-     .option("quote", '"').csv(path))
+     .option("quote", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 # ------------------------------------------------------------------ span store
-def write_spans(spans: DataFrame, path: str) -> None:
+def write_spans(spans: DataFrame, path: str, project: str | None = None) -> None:
     """Native store: flat spans, Parquet, one directory per project.
 
-    Dynamic partition overwrite replaces only the projects being written.
+    Replaces the projects being written; with ``project`` also when no span is left of it.
     """
+    if project is not None:
+        _drop_project(spans.sparkSession, path, project)
     (spans.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("project").parquet(path))
 
 
 def read_spans(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.where(F.col("project") == project) if project else df
+    df = _read_by_project(spark, path, SPANS)
+    return df.where(F.col("project") == project) if project is not None else df
 
 
 def write_annotation_store(spans: DataFrame, path: str) -> None:
@@ -88,11 +130,27 @@ def write_annotation_store(spans: DataFrame, path: str) -> None:
 
 
 def read_annotation_store(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines store -> flat spans (typed schema, no inference)."""
-    schema = f"project string, doc_id bigint, annotations {ANNOTATIONS.simpleString()}"
-    df = spark.read.schema(schema).json(path).withColumnRenamed("annotations", "anns")
-    df = df.withColumn("anns", F.coalesce("anns", empty_anns()))
-    return explode_spans(df)
+    """JSON Lines store -> flat spans (see :func:`read_annotation_store_checked`)."""
+    return read_annotation_store_checked(spark, path)[0]
+
+
+def read_annotation_store_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """JSON Lines store -> (flat spans, rejects).
+
+    Lists go through :func:`parse_annotations`, so a legacy scalar mapping is
+    normalised and a bad element is rejected. A line that is no JSON object is a
+    reject without keys (``invalid_line``).
+    """
+    schema = StructType([StructField("project", StringType()), StructField("doc_id", StringType()),
+                         StructField("annotations", StringType()), StructField("_bad", StringType())])
+    lines = materialize(spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path),
+                        "store")
+    good = lines.where("_bad is null").withColumn("doc_id", F.expr("try_cast(doc_id as bigint)"))
+    docs, rejects = parse_annotations(good.drop("_bad"))
+    bad = lines.where("_bad is not null").select(
+        "project", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("elem"),
+        F.lit("invalid_line").alias("reason"))
+    return explode_spans(docs), rejects.unionByName(bad)
 
 
 def read_legacy_store(spark: SparkSession, path: str, project: str | None = None
@@ -115,9 +173,10 @@ def read_legacy_store(spark: SparkSession, path: str, project: str | None = None
 def _read_key_lists(spark: SparkSession, path: str, project: str | None, suffix: str,
                     fmt: str) -> DataFrame:
     if fmt == "lines":
-        df = spark.read.option("primitivesAsString", True).json(path)
-        df = df.select(*[c for c in ("project",) if c in df.columns], "key",
-                       F.col("terms").cast("array<string>").alias("terms"))
+        found = spark.read.json(path).columns
+        own = [StructField("project", StringType())] * ("project" in found)
+        df = spark.read.schema(StructType([*own, StructField("key", StringType()),
+                                           StructField("terms", ArrayType(StringType()))])).json(path)
     else:
         df = spark.read.option("wholetext", True).text(path)
     # Project: given name, else the partition directory, else the file name.
@@ -188,6 +247,12 @@ def write_vocab(vocab: DataFrame, path: str, fmt: str = "lines") -> None:
      .partitionBy("project").text(path))
 
 
+def write_label_map(label_map: DataFrame, path: str, fmt: str = "lines") -> None:
+    """Write a label map per project, in the formats of :func:`write_vocab`."""
+    write_vocab(label_map.select("project", F.col("label").alias("key"), "pos",
+                                 F.col("category").alias("term")), path, fmt)
+
+
 # ------------------------------------------------------------------ export
 def export_csv(exported: DataFrame, path: str) -> None:
     """Write ``export_annotations`` output as CSV (header, doubled quotes)."""
@@ -195,53 +260,93 @@ def export_csv(exported: DataFrame, path: str) -> None:
 
 
 # ------------------------------------------------------------------ projects
+def _save_artefact(spark: SparkSession, root: str, name: str, project: str, df: DataFrame) -> None:
+    """Replace one artefact of one project, also by nothing."""
+    _drop_project(spark, f"{root}/{name}", project)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("project").parquet(f"{root}/{name}"))
+
+
+def save_vocab(spark: SparkSession, root: str, project: str, vocab: DataFrame) -> None:
+    """Save or overwrite the vocabulary of a project under ``root``."""
+    _save_artefact(spark, root, "vocab", project, materialize(
+        vocab.where(F.col("project") == project).select("project", "key", "pos", "term"), "vocab"))
+
+
+def save_label_map(spark: SparkSession, root: str, project: str, label_map: DataFrame) -> None:
+    """Save or overwrite the label map of a project under ``root``."""
+    _save_artefact(spark, root, "label_map", project, materialize(
+        label_map.where(F.col("project") == project).select("project", "label", "pos", "category"),
+        "label-map"))
+
+
 def ingest_project(spark: SparkSession, data_path: str, project: str, root: str,
                    vocab_path: str | None = None, label_map_path: str | None = None,
-                   order_by: list[str] | None = None, key: str | None = None) -> dict[str, DataFrame]:
+                   order_by: list[str] | None = None, key: str | None = None,
+                   fmt: str | None = None) -> dict[str, DataFrame]:
     """Create or replace one project under ``root``.
 
-    Reads the dataset (by suffix), parses its ``annotations`` column if any
-    (else empty lists), and writes docs, spans, rejects, vocabulary and label
-    map as Parquet partitioned by project. Only this project's partitions are
-    overwritten. A missing label map gets the default one.
+    Reads the dataset once (``fmt``: ``csv``, ``json`` for one array per file,
+    ``jsonl``; by default from the suffix, and for ``.json`` from the files'
+    first character), parses its ``annotations`` column if any (else empty
+    lists), and writes docs, spans and rejects as Parquet partitioned by
+    project: what an earlier project of this name had of them is gone. A
+    vocabulary or label map is replaced if a file is given.
     """
-    if data_path.endswith(".json"):
-        docs = read_docs_json(spark, data_path, project, order_by, key=key)
-    else:
+    suffix = data_path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if fmt is None:
+        fmt = {"json": "json?", "jsonl": "jsonl", "ndjson": "jsonl"}.get(suffix, "csv")
+    if fmt in ("json", "json?"):
+        found = json_layout(spark, data_path)
+        if fmt == "json" and found != "json":
+            raise ValueError(f"{data_path} holds JSON Lines, not an array; use fmt='jsonl'")
+        fmt = found
+    if fmt == "csv":
         docs = read_docs_csv(spark, data_path, project, order_by, key=key)
+    elif fmt in ("json", "jsonl"):
+        docs = read_docs_json(spark, data_path, project, order_by, multiline=fmt == "json", key=key)
+    else:
+        raise ValueError(f"unknown format {fmt!r}")
+    docs = materialize(docs, "dataset")
     if "annotations" in docs.columns:
         parsed, rejects = parse_annotations(docs)
         spans = explode_spans(parsed)
         docs = docs.drop("annotations")
     else:
         spans = explode_spans(docs.withColumn("anns", empty_anns()))
-        rejects = None
-    out = {"docs": docs, "spans": spans}
-    if rejects is not None:
-        out["rejects"] = rejects
+        rejects = spark.createDataFrame([], REJECTS)
+    for name, df in (("docs", docs), ("spans", spans), ("rejects", rejects)):
+        _save_artefact(spark, root, name, project, df)
     if vocab_path:
-        out["vocab"] = read_vocab(spark, vocab_path, project)
-    lm = (read_label_map(spark, label_map_path, project) if label_map_path
-          else default_label_map(docs.select("project")))
-    out["label_map"] = lm
-    for name, df in out.items():
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("project").parquet(f"{root}/{name}"))
+        save_vocab(spark, root, project, read_vocab(spark, vocab_path, project))
+    if label_map_path:
+        save_label_map(spark, root, project, read_label_map(spark, label_map_path, project))
     return load_project(spark, root, project)
 
 
 def load_project(spark: SparkSession, root: str, project: str) -> dict[str, DataFrame]:
-    """Read one project's tables; the ``project`` filter prunes partitions."""
-    from pyspark.errors import AnalysisException
-    schemas = {"docs": None, "spans": SPANS, "rejects": REJECTS, "vocab": VOCAB,
-               "label_map": LABEL_MAP}
-    out = {}
-    for name, schema in schemas.items():
-        reader = spark.read.schema(schema) if schema else spark.read
-        try:
-            out[name] = reader.parquet(f"{root}/{name}").where(F.col("project") == project)
-        except AnalysisException:  # artefact never written
-            continue
+    """One project's tables; the ``project`` filter prunes partitions.
+
+    A missing store, rejects table or vocabulary is an empty table, a missing
+    label map the default one. A project without a dataset partition is an error.
+    """
+    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(
+        "project", project)
+
+    def exists(name: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}", folder)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    if not exists("docs"):
+        raise LookupError(f"no project {project!r} under {root}")
+    out = {"docs": _read_by_project(spark, f"{root}/docs").where(F.col("project") == project)}
+    for name, schema in (("spans", SPANS), ("rejects", REJECTS), ("vocab", VOCAB), ("label_map", LABEL_MAP)):
+        if exists(name):
+            out[name] = _read_by_project(spark, f"{root}/{name}", schema).where(F.col("project") == project)
+        elif name == "label_map":
+            out[name] = default_label_map(spark.createDataFrame([(project,)], "project string"))
+        else:
+            out[name] = spark.createDataFrame([], schema)
     return out
 
 

@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from spanloom.operators.edits import SpanList, _int, _none, apply_edit
+from spanloom.operators.edits import SpanList, apply_edit
 from spanloom.operators.ingest import position_within
 from spanloom.schema import ANNOTATIONS_DDL
 
 KEYS = ("project", "doc_id")
 
+NUMBERS = ("seq", "ord", "start", "end")
 EDIT_COLS = ("seq", "op", "ord", "text", "label", "start", "end", "category", "values")
 
 SNAPSHOT = ("project string, doc_id bigint, next_seq bigint, pending bigint, n_spans bigint, "
@@ -48,12 +49,12 @@ def _mapped(a: dict) -> bool:
 
 
 def _edit_dict(r: dict) -> dict:
-    e = {c: _none(r.get(c)) if c != "values" else r.get(c) for c in EDIT_COLS}
-    v = e.get("values")
-    e["values"] = [] if v is None or (not hasattr(v, "__len__")) else [str(x) for x in v]
-    e["seq"] = _int(e["seq"])
-    for c in ("ord", "start", "end"):
-        e[c] = _int(e[c])
+    """An edit with plain Python values; numbers arrive as text, so none is rounded."""
+    e = {c: None if c != "values" and pd.isna(r.get(c)) else r.get(c) for c in EDIT_COLS}
+    values = e["values"]
+    e["values"] = [] if values is None else list(values)
+    for c in NUMBERS:
+        e[c] = None if e[c] is None else int(e[c])
     return e
 
 
@@ -80,13 +81,13 @@ def _step(key, batches, state):
     state.update((json.dumps(anns, ensure_ascii=False), next_seq,
                   json.dumps({str(k): v for k, v in buffer.items()}, ensure_ascii=False)))
     yield pd.DataFrame([{
-        "project": key[0], "doc_id": int(key[1]), "next_seq": next_seq, "pending": len(buffer),
+        "project": key[0], "doc_id": None if key[1] is None else int(key[1]), "next_seq": next_seq, "pending": len(buffer),
         "n_spans": len(anns), "n_mapped": sum(1 for a in anns if _mapped(a))}])
 
 
 def replay_edits_stream(edits: DataFrame) -> DataFrame:
     """Streaming DataFrame of per-row snapshots (see module doc)."""
-    cols = [F.col(c) for c in (*KEYS, *EDIT_COLS)]
+    cols = [F.col(c).cast("string").alias(c) if c in NUMBERS else F.col(c) for c in (*KEYS, *EDIT_COLS)]
     return edits.select(*cols).groupBy(*KEYS).applyInPandasWithState(
         _step, SNAPSHOT, STATE, "update", GroupStateTimeout.NoTimeout)
 
