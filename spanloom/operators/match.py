@@ -4,20 +4,15 @@
 would plan a cartesian product. :func:`term_hits` has three exact physical
 strategies over distinct term strings, for any id columns:
 
-* ``automaton`` -- the distinct term list (size-checked) is compiled once per
-  task into an Aho-Corasick automaton; ``mapInPandas`` scans every text once
-  and reports the first position of each term. Map-only, no shuffle, cost ~
-  text length. The default when the library is present.
-* ``ngram`` -- for term lists beyond that limit (or without the library).
-  Texts are cut into code-point chunks, every chunk yields its k-grams (and
-  shorter grams for short terms) with positions; terms are equi-joined on
-  their first k-gram (or matched exactly when shorter than k) -- a shuffle
-  join on the gram, no broadcast -- and candidates are verified with
-  ``substring`` on the chunk where they start. Exact: a term inside a text
-  puts each of its k-grams inside it.
-* ``broadcast`` -- a size-checked broadcast nested-loop join (texts x terms).
-  Only on explicit request (equivalence tests, tiny term lists); ``auto``
-  never picks it.
+* ``ngram`` (default) -- texts are cut into code-point chunks, every chunk
+  yields its grams with positions, grams are equi-joined with the terms' first
+  gram and verified with ``substring`` on the same chunk. Exact: a term inside
+  a text puts its first gram there.
+* ``automaton`` -- on explicit request: the distinct term list is compiled once per
+  worker into an Aho-Corasick automaton (package ``pyahocorasick``, needed on
+  the executors), and every text is scanned once.
+* ``broadcast`` -- on explicit request: a nested-loop join with the broadcast
+  terms, for equivalence tests and tiny term lists.
 
 :func:`containment_hits` attaches the hits to vocabulary rows and returns
 ``KEYS, key, pos, term, start``.
@@ -27,13 +22,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from spanloom.functions.spans import locate0
-from spanloom.session import spread
-from spanloom.operators.spans import add_spans
+from spanloom.session import materialize, spread
 
 KEYS = ("project", "doc_id")
 
@@ -52,14 +46,6 @@ def _terms_size(terms: DataFrame) -> tuple[int, int]:
     return int(row["n"]), int(row["c"])
 
 
-def _have_automaton() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-        return True
-    except ImportError:
-        return False
-
-
 def _distinct_terms(terms: DataFrame) -> DataFrame:
     return terms.where(F.length("term") > 0).select("term").distinct()
 
@@ -148,104 +134,79 @@ def _chunks(texts: DataFrame, ids: list[str], text_col: str, chunk: int, ext: in
 
 
 def _grams(chunks: DataFrame, ids: list[str], n: int, chunk: int) -> DataFrame:
-    """Every n-gram starting inside its chunk, with chunk index and offset.
+    """Every n-gram starting inside its chunk, with the chunk, its index and the offset.
 
     One regex pass per chunk: each match consumes one code point and captures
     the n code points starting there (a lookahead), so element ``j`` of the
-    result is the gram at code point ``j``. Only the grams (not the chunk) are
-    exploded into rows.
+    result is the gram at code point ``j``.
     """
     grams = F.regexp_extract_all(F.col("chunk"), F.lit("(?s)(?=(.{%d}))." % n), F.lit(1))
-    return chunks.select(*ids, "ci", F.posexplode(F.slice(grams, 1, chunk)).alias("j", "gram"))
-
+    return chunks.select(*ids, "ci", "chunk", F.posexplode(F.slice(grams, 1, chunk)).alias("j", "gram"))
 
-def _anchors(long_terms: DataFrame, k: int) -> DataFrame:
-    """Each term's anchor: its first k-gram (offset 0).
 
-    The verification below accepts any anchor offset ``o``. Choosing the gram
-    shared by the fewest vocabulary terms was measured and was 4x slower on
-    the sf0.1 corpus: inner grams (suffixes) are rare among terms but common
-    in text. A corpus-frequency choice needs a count over all text grams.
-    """
-    return long_terms.select("term", "tlen", F.lit(0).alias("o"),
-                             F.substring("term", 1, k).alias("gram"))
+def gram_length(term) -> Column:
+    """Length of a term's anchor gram: as long as its length class allows, up to 8."""
+    n = F.length(term)
+    return F.when(n < 3, n).when(n < 6, F.lit(3)).when(n < 8, F.lit(6)).otherwise(F.lit(8))
 
 
 def hits_ngram(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame,
-               k: int | None = None, chunk: int = 512) -> DataFrame:
-    """N-gram blocking join (no broadcast of the terms needed).
-
-    * k (gram length) defaults to the shortest term length, clamped to 3..8, so
-      anchors are as selective as the vocabulary allows.
-    * Terms shorter than k match a gram of their own length exactly.
-    * Longer terms join on their anchor k-gram (:func:`_anchors`, offset o in
-      the term). A gram at text position p proposes the term at p - o, which
-      is verified with ``substring`` on the chunk where that start lies --
-      chunks carry ``max_len - 1`` extra characters, so no whole text is ever
-      scanned or re-joined -- and the smallest verified position is the first
-      occurrence. Exact: a term inside a text puts its anchor gram at
-      start + o.
+               chunk: int = 512) -> DataFrame:
+    """N-gram blocking join.
+
+    * Terms fall into length classes (1, 2, 3-5, 6-7, 8 and more); each class
+      has its own gram length (:func:`gram_length`), so a short term does not
+      blunt the anchors of the long ones.
+    * A term's anchor is its first gram. Text grams are joined with the anchors
+      while they still stand beside their chunk, and a match is verified there
+      with ``substring``: chunks carry ``max_len - 1`` extra characters, so a
+      term that starts in a chunk lies inside it and no text is joined again.
+    * The anchors (one row per term) are broadcast if their count and length are
+      under the limits; above them the same join shuffles by gram.
+
+    Only verified positions leave the scan, reduced to the first per text and
+    term before the shuffle.
     """
-    t = _distinct_terms(terms).withColumn("tlen", F.length("term"))
-    stats = t.agg(F.min("tlen").alias("lo"), F.max("tlen").alias("hi")).first()
+    t = _distinct_terms(terms).withColumn("tlen", F.length("term")).withColumn("k", gram_length("term"))
+    t = materialize(t.withColumn("gram", F.expr("substring(term, 1, k)")), "anchors")
+    stats = {r["k"]: r for r in t.groupBy("k").agg(
+        F.count("*").alias("n"), F.sum("tlen").alias("chars"), F.max("tlen").alias("hi")).collect()}
     fields = {f.name: f for f in texts.schema.fields}
-    if stats["lo"] is None:
+    if not stats:
         empty = StructType([fields[c] for c in ids]
                            + [StructField("term", StringType()), StructField("start", LongType())])
         return texts.sparkSession.createDataFrame([], empty)
-    if k is None:
-        k = min(max(int(stats["lo"]), 3), 8)
-    chunks = _chunks(texts, ids, text_col, chunk, max(int(stats["hi"]), k) - 1)
-    short_lengths = sorted(r["tlen"] for r in
-                           t.where(F.col("tlen") < k).select("tlen").distinct().collect())
-    found = []
-    for n in short_lengths:
-        g = _grams(chunks, ids, n, chunk)
-        found.append(g.join(t.where(F.col("tlen") == n), F.col("gram") == F.col("term"))
-                     .select(*ids, "term", (F.col("ci") * chunk + F.col("j")).alias("pos")))
-    anchors = _anchors(t.where(F.col("tlen") >= k), k)
-    cand = (_grams(chunks, ids, k, chunk).join(anchors, "gram")
-            .withColumn("pos", F.col("ci") * chunk + F.col("j") - F.col("o"))
-            .where(F.col("pos") >= 0)
-            .select(*ids, "term", "tlen", "pos",
-                    F.floor(F.col("pos") / chunk).cast("int").alias("ci")))
-    verified = (cand.join(chunks, [*ids, "ci"])
-                .where(F.substring("chunk", (F.col("pos") - F.col("ci") * chunk + 1).cast("int"),
-                                   F.col("tlen")) == F.col("term"))
-                .select(*ids, "term", "pos"))
-    found.append(verified)
-    allpos = found[0]
-    for f in found[1:]:
-        allpos = allpos.unionByName(f)
-    return allpos.groupBy(*ids, "term").agg(F.min("pos").cast("bigint").alias("start"))
-
-
-def pick_strategy(terms: DataFrame, strategy: str = "auto") -> str:
-    """Resolve ``auto`` and enforce the size limits of the shipped strategies.
-
-    ``auto`` takes the automaton when the library is present and the term list
-    is under its limits, else the n-gram join. The nested-loop ``broadcast``
-    strategy is never chosen automatically; asked for explicitly, it is still
-    size-checked and falls back to the n-gram join above its limits.
-    """
-    if strategy not in ("auto", "automaton", "broadcast", "ngram"):
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy == "ngram":
-        return strategy
-    n, c = _terms_size(terms)
-    if strategy == "broadcast":
-        ok = n <= BROADCAST_MAX_TERMS and c <= BROADCAST_MAX_CHARS
-        return "broadcast" if ok else "ngram"
-    ok = _have_automaton() and n <= AUTOMATON_MAX_TERMS and c <= AUTOMATON_MAX_CHARS
-    return "automaton" if ok else "ngram"
+    found = None
+    for k, s in sorted(stats.items()):
+        anchors = t.where(F.col("k") == k).select("gram", "term", "tlen")
+        if s["n"] <= BROADCAST_MAX_TERMS and s["chars"] <= BROADCAST_MAX_CHARS:
+            anchors = F.broadcast(anchors)
+        chunks = _chunks(texts, ids, text_col, chunk, s["hi"] - 1)
+        hit = _grams(chunks, ids, k, chunk).join(anchors, "gram").where(
+            F.expr("substring(chunk, j + 1, tlen)") == F.col("term"))
+        hit = hit.select(*ids, "term", (F.col("ci").cast("bigint") * chunk + F.col("j")).alias("pos"))
+        hit = hit.groupBy(*ids, "term").agg(F.min("pos").alias("start"))
+        found = hit if found is None else found.unionByName(hit)
+    return found
 
 
 def term_hits(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame,
-              strategy: str = "auto") -> DataFrame:
+              strategy: str = "ngram") -> DataFrame:
     """``ids..., term, start``: first occurrence (0-based code points) of every
-    distinct non-empty ``terms.term`` inside every text that contains it."""
-    s = pick_strategy(terms, strategy)
-    fn = {"broadcast": hits_broadcast, "automaton": hits_automaton, "ngram": hits_ngram}[s]
+    distinct non-empty ``terms.term`` inside every text that contains it.
+
+    A strategy that cannot run (term list over its limit, library missing) is
+    an error; none is replaced by another.
+    """
+    if strategy not in ("automaton", "broadcast", "ngram"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    limits = {"broadcast": (BROADCAST_MAX_TERMS, BROADCAST_MAX_CHARS),
+              "automaton": (AUTOMATON_MAX_TERMS, AUTOMATON_MAX_CHARS)}
+    if strategy in limits:
+        n, c = _terms_size(terms)
+        if n > limits[strategy][0] or c > limits[strategy][1]:
+            raise ValueError(f"{n} terms of {c} characters are too many for {strategy!r}; use 'ngram'")
+    fn = {"broadcast": hits_broadcast, "automaton": hits_automaton, "ngram": hits_ngram}[strategy]
     return fn(spread(texts), list(ids), text_col, terms)
 
 
@@ -256,7 +217,7 @@ def _attach(hits: DataFrame, vocab: DataFrame, by_project: bool) -> DataFrame:
     return hits.join(v, cols).select(*KEYS, "key", "pos", "term", "start")
 
 
-def containment_hits(docs: DataFrame, vocab: DataFrame, strategy: str = "auto") -> DataFrame:
+def containment_hits(docs: DataFrame, vocab: DataFrame, strategy: str = "ngram") -> DataFrame:
     """First occurrence of every vocabulary term in every text (see module doc).
 
     Terms are matched as distinct strings, then attached to every vocabulary
@@ -281,22 +242,33 @@ def term_labels(vocab: DataFrame, label_map: DataFrame | None) -> DataFrame:
 
 
 def annotate_with_vocab(docs: DataFrame, vocab: DataFrame, label_map: DataFrame | None = None,
-                        strategy: str = "auto") -> DataFrame:
+                        strategy: str = "ngram") -> DataFrame:
     """Pre-annotate texts from a vocabulary.
 
     Every term found in a text gives one span at its first occurrence, labelled
     with each label mapped to the term's key. Spans are then added greedily in
     the order (start, longer first, label, pos) -- leftmost-longest wins and a
     span overlapping an accepted one is dropped. Returns flat spans.
+
+    In that order, and as no span is empty, a span overlaps an accepted one
+    exactly if it starts before the last accepted end: one number of state per
+    text, folded over the text's sorted hits after one shuffle.
     """
-    hits = containment_hits(docs, vocab, strategy)
-    labelled = term_labels(vocab, label_map).select(
-        *(["project"] if "project" in vocab.columns else []), "key", "pos", "label")
-    props = hits.join(labelled, [c for c in ("project", "key", "pos") if c in labelled.columns])
-    props = props.select(
-        *KEYS, F.col("term").alias("text"), "label", F.col("start"),
-        (F.col("start") + F.length("term")).alias("end"),
-        F.struct(F.col("start"), (-F.length("term")).alias("neg_len"), F.col("label"),
-                 F.col("pos").cast("bigint").alias("pos"), F.col("key")).alias("seq"))
-    spans, _ = add_spans(None, props)
-    return spans
+    by_project = "project" in vocab.columns and "project" in docs.columns
+    hits = term_hits(docs.select(*KEYS, "query"), list(KEYS), "query", vocab.select("term"), strategy)
+    cols = ["term"] + ["project"] * by_project
+    labelled = term_labels(vocab.where(F.length("term") > 0), label_map).select(*cols, "key", "pos", "label")
+    props = hits.join(labelled, cols).select(*KEYS, F.struct(
+        F.col("start"), (-F.length("term")).alias("neg_len"), F.col("label"),
+        F.col("pos").cast("bigint").alias("pos"), F.col("key"), F.col("term").alias("text")).alias("p"))
+    one = props.groupBy(*KEYS).agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    kept_type = "array<struct<start:bigint,neg_len:int,label:string,pos:bigint,key:string,text:string>>"
+    kept = F.aggregate(
+        "ps", F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast(kept_type).alias("out")),
+        lambda a, x: F.when(x["start"] < a["end"], a).otherwise(F.struct(
+            (x["start"] - x["neg_len"]).alias("end"), F.array_append(a["out"], x).alias("out"))),
+        lambda a: a["out"])
+    return one.select(*KEYS, F.posexplode(kept).alias("ord", "x")).select(
+        *KEYS, F.col("ord").cast("bigint").alias("ord"), "x.text", "x.label", "x.start",
+        (F.col("x.start") - F.col("x.neg_len")).alias("end"),
+        F.create_map().cast("map<string,array<string>>").alias("mapped_value"))

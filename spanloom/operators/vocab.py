@@ -25,7 +25,7 @@ def vocab_stats(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("project", "key").agg(F.count("term").alias("n_terms"))
 
 
-def find_mappings(mentions: DataFrame, vocab: DataFrame, strategy: str = "auto") -> DataFrame:
+def find_mappings(mentions: DataFrame, vocab: DataFrame, strategy: str = "ngram") -> DataFrame:
     """Candidates of each mention among the terms of its label key.
 
     ``mentions``: project, mention_id, key, text. A term matches when

@@ -14,7 +14,7 @@ registered query grows with the data:
           rows whose p_size is a multiple of 3 are unmapped -- so all three
           row statuses occur.
 * RAW     ANN serialised as JSON text and damaged in 11 ways by doc_id % 11.
-* CORPUS  every distinct word of >= 6 letters of ``benchmark`` as one global
+* CORPUS  every distinct word of ``benchmark`` as one global
           vocabulary (key ``word``) over DOCS.
 * MENTION nation names as vocabulary; nation and region names as mentions.
 * EDITS   events as an edit log: click/view -> add, purchase -> update,
@@ -144,7 +144,7 @@ def raw_mappings(spark, d) -> DataFrame:
 def corpus_vocab(spark, d) -> DataFrame:
     words = (table(spark, d, "benchmark")
              .select(F.explode(F.split("text", r"[^\p{L}]+")).alias("term"))
-             .where(F.length("term") >= 6).distinct())
+             .where(F.length("term") > 0).distinct())
     return vocab_from_columns(words, {"word": "term"}, project_col=None).drop("project")
 
 

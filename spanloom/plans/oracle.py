@@ -57,7 +57,7 @@ EVENTS = """ev AS (
 CORPUS = """words AS (
   SELECT DISTINCT w AS term FROM (
     SELECT unnest(regexp_split_to_array(text, '[^\\p{L}]+')) AS w FROM benchmark) t
-  WHERE length(w) >= 6),
+  WHERE length(w) > 0),
 cv AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS pos FROM words)"""
 
 

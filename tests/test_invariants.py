@@ -183,7 +183,7 @@ def test_greedy_add_large_and_small_islands_equal_brute_force(spark, monkeypatch
         assert spans.count() == len(stored) + sum(expect.values())
 
 
-def test_ngram_anchors_across_small_chunks_equal_brute_force(spark):
+def test_ngram_anchors_across_small_chunks_equal_brute_force(spark, monkeypatch):
     """Tiny chunks put anchors and starts on different chunks; result = str.find."""
     rnd = random.Random(13)
     texts = [("p", i, "".join(rnd.choice("ab😀c") for _ in range(rnd.randint(0, 60))))
@@ -193,9 +193,10 @@ def test_ngram_anchors_across_small_chunks_equal_brute_force(spark):
     docs = spark.createDataFrame(texts, "project string, doc_id bigint, query string")
     tdf = spark.createDataFrame([(x,) for x in terms], "term string")
     want = sorted((d, t, q.find(t)) for _, d, q in texts for t in terms if t in q)
-    for k, chunk in ((3, 4), (4, 5), (None, 512)):
-        got = M.hits_ngram(docs, ["project", "doc_id"], "query", tdf, k=k, chunk=chunk)
-        assert sorted((r.doc_id, r.term, r.start) for r in got.collect()) == want, (k, chunk)
+    for limit, chunk in ((200_000, 4), (0, 5), (200_000, 512)):  # broadcast anchors or not
+        monkeypatch.setattr(M, "BROADCAST_MAX_TERMS", limit)
+        got = M.hits_ngram(docs, ["project", "doc_id"], "query", tdf, chunk=chunk)
+        assert sorted((r.doc_id, r.term, r.start) for r in got.collect()) == want, (limit, chunk)
 
 
 def _linear_replay(edits):
