@@ -16,7 +16,8 @@ registered query grows with the data:
 * RAW     ANN serialised as JSON text and damaged in 11 ways by doc_id % 11.
 * CORPUS  every distinct word of ``benchmark`` as one global
           vocabulary (key ``word``) over DOCS.
-* MENTION nation names as vocabulary; nation and region names as mentions.
+* MENTION nation names as vocabulary with nation and region names as mentions, and the
+  part vocabulary with one mention per part (item, brand prefix or an unmatched name).
 * EDITS   events as an edit log: click/view -> add, purchase -> update,
           error -> remove, signup -> set_mapping; k from the props JSON.
 """
@@ -149,9 +150,10 @@ def corpus_vocab(spark, d) -> DataFrame:
 
 
 def mention_vocab(spark, d) -> DataFrame:
-    return table(spark, d, "nation").select(
+    geo = table(spark, d, "nation").select(
         F.lit("geo").alias("project"), F.lit("nation").alias("key"),
         F.col("n_nationkey").cast("int").alias("pos"), F.col("n_name").alias("term"))
+    return geo.unionByName(voc(spark, d).select("project", "key", "pos", "term"))
 
 
 def mentions(spark, d) -> DataFrame:
@@ -161,8 +163,14 @@ def mentions(spark, d) -> DataFrame:
     r = table(spark, d, "region").select(
         F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("mention_id"),
         F.col("r_name").alias("text"))
-    return n.unionByName(r).select(F.lit("geo").alias("project"), "mention_id",
-                                   F.lit("nation").alias("key"), "text")
+    geo = n.unionByName(r).select(F.lit("geo").alias("project"), "mention_id",
+                                  F.lit("nation").alias("key"), "text")
+    kind = F.col("p_partkey") % 3
+    part = table(spark, d, "part").select(
+        F.col("p_type").alias("project"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("mention_id"),
+        F.when(kind == 0, "item").when(kind == 1, "brand").otherwise("type").alias("key"),
+        F.when(kind == 1, F.substring("p_brand", 1, 7)).otherwise(F.col("p_name")).alias("text"))
+    return geo.unionByName(part)
 
 
 def edits(spark, d) -> DataFrame:

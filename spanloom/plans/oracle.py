@@ -312,9 +312,14 @@ SELECT project, doc_id, ord,
             WHEN 4 THEN '' ELSE key || '=' END AS mapping
 FROM annp"""
 
-ORACLE["find_mappings"] = """WITH v AS (SELECT 'geo' AS project, 'nation' AS key, CAST(n_nationkey AS BIGINT) AS pos, n_name AS term FROM nation),
+ORACLE["find_mappings"] = f"""WITH {VOC},
+v AS (SELECT 'geo' AS project, 'nation' AS key, CAST(n_nationkey AS BIGINT) AS pos, n_name AS term FROM nation
+      UNION ALL SELECT project, key, pos, term FROM voc),
 m AS (SELECT 'geo' AS project, 'n' || CAST(n_nationkey AS VARCHAR) AS mention_id, 'nation' AS key, n_name AS text FROM nation
-      UNION ALL SELECT 'geo', 'r' || CAST(r_regionkey AS VARCHAR), 'nation', r_name FROM region),
+      UNION ALL SELECT 'geo', 'r' || CAST(r_regionkey AS VARCHAR), 'nation', r_name FROM region
+      UNION ALL SELECT p_type, 'p' || CAST(p_partkey AS VARCHAR),
+        CASE p_partkey % 3 WHEN 0 THEN 'item' WHEN 1 THEN 'brand' ELSE 'type' END,
+        CASE WHEN p_partkey % 3 = 1 THEN substr(p_brand, 1, 7) ELSE p_name END FROM part),
 hit AS (SELECT m.project, m.mention_id, m.key, m.text, v.pos, v.term, true AS matched
         FROM m JOIN v ON m.project = v.project AND m.key = v.key
         WHERE contains(v.term, m.text) OR contains(m.text, v.term))

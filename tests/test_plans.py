@@ -12,8 +12,8 @@ from spanloom.operators import match as M
 from spanloom.operators import ordered as O
 from spanloom.operators import spans as S
 from spanloom.operators import views as V
-from spanloom.operators import vocab as VC
 from spanloom.plans import bindings as B
+from spanloom.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 PAIRS = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -39,22 +39,13 @@ def test_add_spans_single_exchange_by_row(spark):
 
 def test_no_pairs_in_matching(spark):
     docs, vocab = B.corpus_docs(spark, SF), B.corpus_vocab(spark, SF)
-    # Scopes from columns (the MENTION binding uses literals, which Catalyst
-    # folds away, leaving the (project, key) joins without keys).
-    nation = B.table(spark, SF, "nation")
-    scope = F.concat(F.lit("geo"), F.substring("n_name", 1, 0))
-    voc = nation.select(scope.alias("project"), scope.alias("key"),
-                        F.col("n_nationkey").cast("int").alias("pos"), F.col("n_name").alias("term"))
-    men = nation.select(scope.alias("project"), F.col("n_name").alias("mention_id"),
-                        scope.alias("key"), F.col("n_name").alias("text"))
     for df in (M.containment_hits(docs, vocab), M.containment_hits(docs, vocab, "ngram"),
-               VC.find_mappings(men, voc)):
+               QUERIES["find_mappings"](spark, SF)):
         p = plan(df)
         assert not any(x in p for x in PAIRS), p
 
 
 def test_export_one_pushes_filter_to_both_scans(spark):
-    from spanloom.plans.catalog import QUERIES
     p = plan(QUERIES["export_one"](spark, SF))
     assert len(re.findall(r"PushedFilters: \[[^\]]*EqualTo\(p_partkey,0\)", p)) >= 2, p
 
