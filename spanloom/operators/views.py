@@ -92,7 +92,9 @@ def export_annotations(docs: DataFrame, spans: DataFrame) -> DataFrame:
             .drop("anns"))
 
 
-def export_one(docs: DataFrame, spans: DataFrame, project: str, doc_id: int) -> DataFrame:
+def export_one(docs: DataFrame, spans: DataFrame, doc_id: int, project: str | None = None) -> DataFrame:
     """Export of a single row; the filter reaches the scans of both inputs."""
-    cond = (F.col("project") == F.lit(project)) & (F.col("doc_id") == F.lit(doc_id))
+    cond = F.col("doc_id") == F.lit(doc_id)
+    if project is not None:
+        cond = cond & (F.col("project") == F.lit(project))
     return export_annotations(docs.where(cond), spans.where(cond))

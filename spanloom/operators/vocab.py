@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.ingest import position_within
 from spanloom.operators.match import term_hits
+from spanloom.schema import DEFAULT_LABELS
 
 
 def has_vocab(projects: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -92,6 +93,14 @@ def add_candidates(vocab: DataFrame, new: DataFrame) -> DataFrame:
     return kept.select("project", "key", "pos", "term").unionByName(added)
 
 
+def default_labels(projects: DataFrame) -> DataFrame:
+    """The default label registry for every given project."""
+    entries = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(x).alias("label"))
+                        for i, x in enumerate(DEFAULT_LABELS)])
+    return (projects.select("project").distinct().select("project", F.explode(entries).alias("e"))
+            .select("project", "e.pos", "e.label"))
+
+
 def add_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
     """Append labels: blank (after strip) rejected, existing rejected, stored unstripped.
 

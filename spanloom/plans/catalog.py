@@ -346,10 +346,7 @@ def q_export_annotations(spark, d):
 
 @query
 def q_export_one(spark, d):
-    docs = B.short_docs(spark, d).select(*KEYS, "query")
-    spans = B.ann_spans(spark, d)
-    cond = F.col("doc_id") == F.lit(0)
-    e = V.export_annotations(docs.where(cond), spans.where(cond))
+    e = V.export_one(B.short_docs(spark, d).select(*KEYS, "query"), B.ann_spans(spark, d), 0)
     return e.select(*KEYS, "query", "annotations")
 
 
@@ -404,6 +401,50 @@ def q_read_docs_json(spark, d):
     return FS.read_docs_json(spark, path, "json", key="pk", multiline=False).select(*KEYS, "query")
 
 
+def _padded_documents(spark, d) -> DataFrame:
+    """Whole texts with outer white space, as a dataset."""
+    return B.table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("pk"), F.concat(F.lit(" \t"), "text", F.lit("  ")).alias("query"))
+
+
+@query
+def q_documents_csv(spark, d):
+    path = scratch_path(spark, "documents-csv")
+    FS.write_docs_csv(_padded_documents(spark, d), path)
+    return FS.read_docs_csv(spark, path, "csv", key="pk").select(*KEYS, "query")
+
+
+@query
+def q_documents_json(spark, d):
+    path = scratch_path(spark, "documents-json")
+    _padded_documents(spark, d).write.mode("overwrite").json(path)
+    return FS.read_docs_json(spark, path, "json", key="pk", multiline=False).select(*KEYS, "query")
+
+
+@query
+def q_write_spans(spark, d):
+    path = scratch_path(spark, "spans")
+    FS.write_spans(B.ann_spans(spark, d), path)
+    return flat_spans(FS.read_spans(spark, path))
+
+
+@query
+def q_replace_project(spark, d):
+    """Every project's spans are gone after it is replaced without annotations; half are replaced."""
+    root = scratch_path(spark, "projects")
+    src = scratch_path(spark, "ingest-src")
+    FS.write_docs_csv(_short_export(spark, d), src)
+    FS.ingest_project(spark, src, "007", root, key="pk")
+    FS.ingest_project(spark, src, "7", root, key="pk")
+    bare = scratch_path(spark, "ingest-bare")
+    FS.write_docs_csv(_short_export(spark, d).drop("annotations"), bare)
+    FS.ingest_project(spark, bare, "007", root, key="pk")
+    both = [FS.load_project(spark, root, p) for p in ("007", "7")]
+    return FS.list_projects(both[0]["docs"].unionByName(both[1]["docs"]),
+                            both[0]["spans"].unionByName(both[1]["spans"])).select(
+        "project", "n_docs", "n_spans")
+
+
 @query
 def q_ingest_project(spark, d):
     src = scratch_path(spark, "ingest-src")

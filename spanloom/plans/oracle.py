@@ -425,3 +425,9 @@ ORACLE["read_docs_csv"] = "SELECT 'csv' AS project, p_partkey AS doc_id, p_name
 ORACLE["read_docs_json"] = "SELECT 'json' AS project, p_partkey AS doc_id, p_name AS query FROM part"
 ORACLE["with_doc_id"] = """SELECT CAST(row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS BIGINT) AS doc_id,
        p_partkey, p_name FROM part"""
+ORACLE["documents_csv"] = """SELECT 'csv' AS project, doc_id, ' ' || chr(9) || text || '  ' AS query FROM documents"""
+ORACLE["documents_json"] = """SELECT 'json' AS project, doc_id, ' ' || chr(9) || text || '  ' AS query FROM documents"""
+ORACLE["write_spans"] = ORACLE["explode_spans"]
+ORACLE["replace_project"] = f"""WITH {ANN}
+SELECT '007' AS project, (SELECT count(*) FROM part)::BIGINT AS n_docs, 0::BIGINT AS n_spans
+UNION ALL SELECT '7', (SELECT count(*) FROM part)::BIGINT, (SELECT count(*) FROM annp)::BIGINT"""
