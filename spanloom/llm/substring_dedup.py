@@ -56,7 +56,7 @@ def pack(pos: np.ndarray) -> bytes:
     """Ascending positions as differences, byte plane by byte plane (they compress well)."""
     step = np.diff(pos, prepend=0)
     kind = np.uint16 if not len(step) or step.max() < 1 << 16 else np.uint32
-    planes = step.astype(kind).view(np.uint8).reshape(len(step), -1).T
+    planes = step.astype(kind).view(np.uint8).reshape(len(step), np.dtype(kind).itemsize).T
     return bytes([planes.shape[0]]) + planes.tobytes()
 
 
