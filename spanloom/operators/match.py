@@ -144,6 +144,14 @@ def _grams(chunks: DataFrame, ids: list[str], n: int, chunk: int) -> DataFrame:
     return chunks.select(*ids, "ci", "chunk", F.posexplode(F.slice(grams, 1, chunk)).alias("j", "gram"))
 
 
+def _distinct_grams(chunks: DataFrame, ids: list[str], n: int, chunk: int) -> DataFrame:
+    """Each distinct n-gram starting inside its chunk, with its first offset ``j``."""
+    grams = F.regexp_extract_all(F.col("chunk"), F.lit("(?s)(?=(.{%d}))." % n), F.lit(1))
+    own = chunks.select(*ids, "ci", F.slice(grams, 1, chunk).alias("gs"))
+    each = own.select(*ids, "ci", "gs", F.explode(F.array_distinct("gs")).alias("gram"))
+    return each.withColumn("j", F.array_position("gs", F.col("gram")) - 1).drop("gs")
+
+
 def gram_length(term) -> Column:
     """Length of a term's anchor gram: as long as its length class allows, up to 8."""
     n = F.length(term)
@@ -182,8 +190,11 @@ def hits_ngram(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame
         if s["n"] <= BROADCAST_MAX_TERMS and s["chars"] <= BROADCAST_MAX_CHARS:
             anchors = F.broadcast(anchors)
         chunks = _chunks(texts, ids, text_col, chunk, s["hi"] - 1)
-        hit = _grams(chunks, ids, k, chunk).join(anchors, "gram").where(
-            F.expr("substring(chunk, j + 1, tlen)") == F.col("term"))
+        if k < 3:  # the gram is the term: a chunk's distinct grams are few, and its first place is enough
+            hit = _distinct_grams(chunks, ids, k, chunk).join(anchors, "gram")
+        else:
+            hit = _grams(chunks, ids, k, chunk).join(anchors, "gram").where(
+                F.expr("substring(chunk, j + 1, tlen)") == F.col("term"))
         hit = hit.select(*ids, "term", (F.col("ci").cast("bigint") * chunk + F.col("j")).alias("pos"))
         hit = hit.groupBy(*ids, "term").agg(F.min("pos").alias("start"))
         found = hit if found is None else found.unionByName(hit)
