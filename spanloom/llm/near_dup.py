@@ -210,17 +210,23 @@ def with_class(df: DataFrame, label: DataFrame | None, node: str = "node") -> Da
             .withColumn("cls", F.coalesce("_c", node)).drop("_n", "_c"))
 
 
-def star_pairs(buckets: DataFrame, label: DataFrame | None, turn: int) -> DataFrame:
-    """For each bucket with several classes the pairs of one member with members of other classes."""
+def star_pairs(buckets: DataFrame, label: DataFrame | None, turn: int, threshold: float) -> DataFrame:
+    """For each bucket with several classes the pairs of one member with members of other classes.
+
+    Sets whose sizes differ by more than the threshold allows are not proposed.
+    """
     b = with_class(buckets, label)
-    pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "cls")).alias("p")
+    pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "cls", "n")).alias("p")
     center = (b.groupBy("key").agg(pick, F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-              .where("lo <> hi").select("key", F.col("p.node").alias("c"), F.col("p.cls").alias("ccls")))
-    pairs = b.join(center, "key").where("cls <> ccls")
+              .where("lo <> hi").select("key", F.col("p.node").alias("c"), F.col("p.cls").alias("ccls"),
+                                        F.col("p.n").alias("cn")))
+    pairs = b.join(center, "key").where(
+        (F.col("cls") != F.col("ccls")) & (F.col("n") >= F.col("cn") * threshold)
+        & (F.col("cn") >= F.col("n") * threshold))
     return pairs.select(F.greatest("c", "node").alias("b"), F.least("c", "node").alias("a")).distinct()
 
 
-def prefix_pairs(buckets: DataFrame, label: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def prefix_pairs(buckets: DataFrame, label: DataFrame | None, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different classes among the split buckets' nodes that share a prefix shingle.
 
     Shingles are ordered by their number of nodes; two sets at the threshold
@@ -265,8 +271,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc, text_hash, node, n_shingles and cls (a node) of every row."""
     found = sketch(docs, id_col, text_col)
     one = found.where("n_shingles > 0").groupBy("node").agg(
-        F.min(F.struct("doc", "text_hash")).alias("who"), F.first("bands").alias("bands"))
-    keyed = one.select("node", "who", F.explode("bands").alias("key"))
+        F.min(F.struct("doc", "text_hash")).alias("who"), F.first("bands").alias("bands"),
+        F.first("n_shingles").alias("n"))
+    keyed = one.select("node", "who", "n", F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     buckets = materialize(keyed.join(full, "key"), "buckets")
     # One text of each node that shares a bucket.
@@ -275,13 +282,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
     d = d.join(who, d["doc"].eqNullSafe(F.col("_d")) & (F.xxhash64("t") == F.col("_h")))
     texts = materialize(d.select("node", "t").dropDuplicates(["node"]), "texts")
-    buckets = buckets.select("key", "node")
+    buckets = buckets.select("key", "node", "n")
     label, links = None, None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
-            pairs = star_pairs(buckets, label, turn)
-        elif label is None:
-            break
+            pairs = star_pairs(buckets, label, turn, threshold)
         else:
             pairs = prefix_pairs(buckets, label, texts, threshold)
         new = verified(materialize(pairs, "pairs"), texts, threshold)
