@@ -6,17 +6,21 @@ Spark does the partitioning and the shuffles.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once inside a task; bounds the Python memory of a worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 
 #: Odd multipliers of the rolling hashes and of the finaliser (arbitrary fixed odd numbers).
 ROLL = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -29,6 +33,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def small_batches(spark) -> None:
+    """Let Arrow batches hold at most ``BATCH_ROWS`` rows in this session: rows are whole texts.
+
+    A batch stands in the JVM's direct memory and in the worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null becomes empty."""
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
@@ -40,11 +55,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int,
     for batch in batches:
         if not batch.num_rows:
             continue
-        lens = np.array([len(x) for x in text_bytes(batch.column(column))], dtype=np.int64)
+        lens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
         part = np.cumsum(lens) // max_bytes
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps idle workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -144,6 +168,7 @@ def add_columns(docs, text_col: str, fields: list[tuple[str, str]], start,
     ``start()`` is called once per task and returns a function from the Arrow
     array of one slice's texts to the list of new Arrow arrays.
     """
+    small_batches(docs.sparkSession)
     src = docs.drop(*[name for name, _ in fields])
     schema = StructType(list(src.schema.fields))
     at = src.columns.index(text_col)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import common
 from .pieces import SPACE, UNIGRAM, Transducer, read_model
 from .sentencepiece_fst import MODEL
@@ -39,8 +40,10 @@ ITERATIONS = 3
 SMOOTH = 50.0
 #: Probability left for a character without a piece.
 ODD = 1e-7
-KEEP_WORDS = 300_000
-BLOCK_CHARS = 200_000
+KEEP_WORDS = 150_000
+#: Languages up to which their table (a name and a number) is broadcast.
+MAX_LANGS = 10_000
+BLOCK_CHARS = 150_000
 
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -202,6 +205,9 @@ def training_rows(docs: DataFrame, rows_per_lang: int) -> DataFrame:
     d = d.where(~common.held_out(F.col("doc_id")))
     share = d.groupBy(F.col("lang").alias("_lang")).agg(
         (F.lit(float(rows_per_lang)) / F.count("*")).alias("share"))
+    share = materialize(share, "languages")
+    if share.count() <= MAX_LANGS:  # one row per language; beyond it the join shuffles the texts
+        share = F.broadcast(share)
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     return (d.join(share, F.col("lang") == F.col("_lang")).where(u < F.col("share"))
             .select("text", "lang").orderBy("lang", "text"))
@@ -216,7 +222,8 @@ def language_id(docs: DataFrame, vocabulary: str = MODEL,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        m = shared.value
+        own = shared.value
+        m = LanguageModel(own.fst, own.langs, own.logp)  # the word cache ends with the task
 
         def run(texts: pa.Array) -> list[pa.Array]:
             lang, score = m.predict(texts.to_pylist())

@@ -269,6 +269,7 @@ def prefix_pairs(buckets: DataFrame, label: DataFrame | None, texts: DataFrame,
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             threshold: float = THRESHOLD) -> DataFrame:
     """doc, text_hash, node, n_shingles and cls (a node) of every row."""
+    common.small_batches(docs.sparkSession)
     found = sketch(docs, id_col, text_col)
     one = found.where("n_shingles > 0").groupBy("node").agg(
         F.min(F.struct("doc", "text_hash")).alias("who"), F.first("bands").alias("bands"),

@@ -129,6 +129,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 reason=reason,
                 clean_text=[b"\n".join(x[0]).decode("utf-8", "replace") for x in lines])
 
+    common.small_batches(docs.sparkSession)
     src = docs.selectExpr(f"cast({id_col} as long) as doc_id", f"cast({text_col} as string) as text")
     return src.mapInArrow(run, DDL)
 

@@ -26,9 +26,9 @@ from .pieces import PieceModel, Transducer, read_model
 #: Path of the model file; read by the driver only.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct words whose ids a worker keeps.
-KEEP_WORDS = 300_000
+KEEP_WORDS = 150_000
 #: Characters of distinct words searched at once.
-BLOCK_CHARS = 400_000
+BLOCK_CHARS = 150_000
 
 
 class Encoder:

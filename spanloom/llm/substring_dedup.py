@@ -259,6 +259,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, size: int) ->
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, removed (runs of word positions), kept_text per input row."""
+    common.small_batches(docs.sparkSession)
     gone = small(repeated_windows(docs, id_col, text_col, size).drop("n"))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"),
                       F.col(text_col).cast("string").alias("t"))

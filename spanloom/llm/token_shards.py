@@ -181,6 +181,7 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     The files exist once the frame has been run; ``finish`` then writes the manifest.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     ranks = read_ranks(vocabulary)
     end = len(ranks)
     if end >= 1 << 16:
