@@ -6,8 +6,10 @@ matches, so no row leaves the JVM.
 
 The bootstrap starts from the base spans as seed entities. The word to the
 left or right of a seed is a lexical pattern for its kind; a pattern needs
-``MIN_SEEDS`` different seeds. Candidates are other identifier-like tokens
-(6 to 64 characters with a digit). Rounds of two aggregations score the graph
+``MIN_SEEDS`` different seeds. Candidates are other identifier-like tokens:
+letters and digits of ASCII, joined by any of ``_+-`` and single dots, with a
+digit, of ``MIN_CANDIDATE`` characters or more. They end on a letter or digit, so
+punctuation behind them stays outside. Rounds of two aggregations score the graph
 of patterns and instances: a pattern's confidence is the summed score of the
 instances it stands beside over the number of times its word occurs in the
 whole corpus; an instance's score is the noisy-or of its patterns'. Candidates
@@ -44,8 +46,16 @@ PATTERNS = {
 }
 #: A text without this cannot match.
 NEEDS = {"email": "@", "phone": "+"}
-CANDIDATE = (r"(?<![\p{L}0-9_@.+-])(?=[A-Za-z_.+-]{0,63}[0-9])"
-             r"[A-Za-z0-9_+][A-Za-z0-9_.+-]{4,62}+(?<![_.+-])(?![\p{L}0-9_@-])")
+_JOINT = r"(?:[_+-]++\.?+|\.)[_+-]*+"
+_RUN = r"\p{L}0-9_.+@-"
+#: In front of a token, not part of it.
+_LEAD = r"(?:[_+]*+[.-]++)*+"
+#: One piece of a run of token characters: a token, or else what stands beside an at sign or has
+#: other letters. A run with a digit is cut from its start, each piece from the end of the one before.
+CANDIDATE = (rf"(?:(?<![{_RUN}])(?=[\p{{L}}_.+@-]*+[0-9])|\G){_LEAD}"
+             rf"(?:[_+]*+[A-Za-z0-9]++(?!\p{{L}})(?:{_JOINT}[A-Za-z0-9]++(?!\p{{L}}))*+(?!_*+[@\p{{L}}])"
+             rf"|[A-Za-z0-9_.+-]*+@[{_RUN}]*+|[_+]*+[\p{{L}}0-9]++)")
+MIN_CANDIDATE = 5
 #: Characters beside an entity in which its context word is looked for.
 CONTEXT = 40
 MIN_SEEDS = 3
@@ -94,8 +104,12 @@ def is_kind(kind: str):
     return lambda span: span["kind"] == kind
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """Every match with its place in code points, as an array of spans."""
+def matches(text: Column, pattern: str, kind: str, keep=None) -> Column:
+    """Every match (that ``keep`` accepts) with its place in code points, as an array of spans."""
+    def added(out: Column, span: Column, m: Column) -> Column:
+        more = F.array_append(out, span)
+        return more if keep is None else F.when(keep(m), more).otherwise(out)
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
@@ -104,10 +118,10 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
         pairs, F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out")),
         lambda a, x: F.struct(
             (a["pos"] + x["gap"] + F.length(x["m"])).alias("pos"),
-            F.array_append(a["out"], F.struct(
+            added(a["out"], F.struct(
                 F.lit(kind).alias("kind"), (a["pos"] + x["gap"]).alias("start"),
                 (a["pos"] + x["gap"] + F.length(x["m"])).alias("end"),
-                x["m"].alias("value"))).alias("out")),
+                x["m"].alias("value")), x["m"]).alias("out")),
         lambda a: a["out"])
     return step
 
@@ -122,6 +136,18 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
+def candidates(text: Column) -> Column:
+    """Identifier-like tokens, as an array of spans without a kind."""
+    def trimmed(s: Column) -> Column:
+        lead = F.length(F.regexp_extract(s["value"], f"^{_LEAD}", 0))
+        return F.struct(s["kind"].alias("kind"), (s["start"] + lead).alias("start"), s["end"].alias("end"),
+                        s["value"].substr(lead + 1, F.length(s["value"])).alias("value"))
+
+    pieces = matches(text, CANDIDATE, "", lambda m: m.rlike("[0-9]") & ~m.rlike("[^A-Za-z0-9_.+-]"))
+    found = F.filter(F.transform(pieces, trimmed), lambda s: F.length(s["value"]) >= MIN_CANDIDATE)
+    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast(_SPAN))
+
+
 def ordered(spans: Column) -> Column:
     """Spans by start, then kind in the order of ``KINDS``."""
     rank = F.create_map(*[F.lit(v) for i, k in enumerate(KINDS) for v in (k, i)])
@@ -151,8 +177,7 @@ def first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"),
                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     d = d.withColumn("base", base_spans(F.col("t")))
-    d = d.withColumn("cand", F.when(
-        F.col("t").rlike("[0-9]"), matches(F.col("t"), CANDIDATE, "")).otherwise(F.array().cast(_SPAN)))
+    d = d.withColumn("cand", candidates(F.col("t")))
     clear = F.filter("cand", lambda c: ~F.exists(
         "base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return materialize(d.select(

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from spanloom.llm import pii
 
 PLAIN = {
@@ -65,6 +67,38 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.pii(df.limit(0)).count() == 0 and pii.mask(df.limit(0)).count() == 0
 
 
+def test_candidates_end_on_a_letter_or_digit(spark):
+    key, jwt = "k9" * 40, "eyJh1--_x." + "aB3-_" * 30 + ".Zz9"
+    texts = {"the ticket ABC-1234. It was": ["ABC-1234"], "ticket ABC-1234... It": ["ABC-1234"],
+             "ticket ABC-1234...It": ["ABC-1234"], "ticket ABC-1234- closed": ["ABC-1234"],
+             "ticket ABC-1234-, _id_12345_ (x.y+z-12)": ["ABC-1234", "_id_12345", "x.y+z-12"],
+             "see...ABC-1234 and --flag1 -12345 +12345": ["ABC-1234", "flag1", "12345", "+12345"],
+             f"key {key}. {jwt}, {'x' * 70}1": [key, jwt, "x" * 70 + "1"],
+             "ABC-1234-na\u00efve ABC-1234-\u00c4 \u00e912345 12345\u00e9": ["ABC-1234", "ABC-1234"],
+             "user12345.x@localhost @user-123456 abcdef abc1": [], "ABC-1234": ["ABC-1234"], "12345.": ["12345"]}
+    rows = list(texts)
+    out = spark.createDataFrame([(t,) for t in rows], "t string").select("t", pii.candidates(F.col("t")).alias("c"))
+    for r in out.collect():
+        assert [s["value"] for s in r["c"]] == texts[r["t"]], r["t"]
+        assert all(r["t"][s["start"]:s["end"]] == s["value"] for s in r["c"])
+
+
+def test_identifiers_at_sentence_ends_are_masked(spark):
+    rows = [(i, f"please write to ticket user{i}@x.org today") for i in range(10)]
+    rows += [(10 + i, f"the ticket {v}{tail}") for i, (v, tail) in enumerate(
+        [("ABC-1234", ". It was"), ("ABC-1235", "... It was"), ("ABC-1236", "- it was"), ("ABC-1237", "."),
+         ("k9" * 40, " was"), ("ey1." + "aB3-_" * 40 + "z", ". It was")])]
+    tails = [". It was", "... It was", "- it was", ".", " was", ". It was"]
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [masked[10 + i] for i in range(6)] == [f"the ticket <EMAIL>{t}" for t in tails]
+
+
+def test_candidate_runs_are_linear(spark):
+    runs = ["a-" * 50_000, "a.." * 20_000 + "1", "a1-" * 20_000 + "@", "-." * 50_000 + "1", "a--" * 20_000, "\u00e9-" * 20_000 + "1"]
+    out = spark.createDataFrame([(t,) for t in runs], "t string").select(F.size(pii.candidates(F.col("t"))).alias("n"))
+    assert [r["n"] for r in out.collect()] == [0, 0, 1, 0, 0, 0]
+
+
 def test_long_runs_are_linear(spark):
     rows = [(1, "a" * 200_000), (2, "1" * 200_000), (3, "+1" + " " * 100_000), (4, "a.b" * 50_000 + "@"),
             (5, "x@" + "y." * 50_000)]
