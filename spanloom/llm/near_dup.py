@@ -7,7 +7,10 @@ arrives again and again at exponential distances and each arrival falls on one o
 a time by which all registers are almost surely taken (and go on for texts
 where one is not), so a text costs about ``REGISTERS * ln(REGISTERS)``
 arrivals beyond one per shingle. Two texts agree in a register with the
-probability Jaccard similarity of their weighted shingles.
+probability Jaccard similarity of their weighted shingles. A text that repeats
+a shingle also gets the registers of its plain shingle set (all weights 1; the
+same as the weighted ones of a text without repeats), since that is what is
+verified: their agreement is the Jaccard similarity of the sets.
 
 Nodes that agree in a whole band of registers share a bucket. Buckets are
 never expanded into pairs: in each of ``ROUNDS`` rounds a bucket that still
@@ -38,7 +41,7 @@ from . import common
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Registers, and rows of a band: a pair at 0.8 shares no band with probability 3e-5.
+#: Registers, and rows of a band: sets at 0.8 share no band with probability 3e-5, whatever their counts.
 REGISTERS, BAND_ROWS = 80, 4
 ROUNDS = 3
 #: Rows of a derived table up to which it is broadcast (two numbers each).
@@ -123,6 +126,21 @@ def band_keys(reg: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Node hash, number of distinct shingles and band keys of each text."""
+    grams, of, node = shingles(texts)
+    item, at, count = weighted(grams, of)
+    size = np.bincount(at, minlength=len(texts))
+    keys = band_keys(registers(item, at, 1 + np.log(count), len(texts)))
+    bands = [k.tolist() if s else [] for k, s in zip(keys, size, strict=True)]
+    again = np.bincount(at[count > 1], minlength=len(texts)) > 0
+    pick, number = again[at], np.cumsum(again) - 1
+    plain = band_keys(registers(item[pick], number[at[pick]], np.ones(pick.sum()), again.sum()))
+    for i, k in zip(np.flatnonzero(again), plain, strict=True):
+        bands[i] = np.union1d(keys[i], k).tolist()
+    return node, size, bands
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, text_hash, node, n_shingles and band keys of every row, written once."""
     src = docs.select(F.col(id_col).cast("long").alias("doc"),
@@ -131,12 +149,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "t"):
-            texts = common.text_bytes(batch.column("t"))
-            grams, of, node = shingles(texts)
-            item, at, count = weighted(grams, of)
-            keys = band_keys(registers(item, at, 1 + np.log(count), len(texts)))
-            size = np.bincount(at, minlength=len(texts))
-            bands = [k.tolist() if s else [] for k, s in zip(keys, size, strict=True)]
+            node, size, bands = sketches(common.text_bytes(batch.column("t")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("text_hash"),
                  pa.array(node.astype(np.int64)), pa.array(size, pa.int64()),

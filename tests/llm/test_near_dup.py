@@ -98,6 +98,29 @@ def test_registers_estimate_probability_jaccard():
     assert (op.registers(item[:0], np.zeros(0, int), wa[:0], 2, 8) == 0).all()
 
 
+def test_repeated_lines_do_not_part_equal_sets():
+    """A block that one text repeats and the other has once: the sets (0.98 and 0.83) are what counts."""
+    for cut in (0, 16):
+        texts = []
+        for i in range(300):
+            block = [f"r{i}_{k}" for k in range(100)]
+            rest = [f"s{i}_{k}" for k in range(100)]
+            other = rest[:100 - cut] + [f"o{i}_{k}" for k in range(cut)]
+            texts += [" ".join(block * 60 + rest).encode(), " ".join(block + other).encode()]
+        sets = [set(op.shingles([t])[0].tolist()) for t in texts[:2]]
+        assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+        _, size, bands = op.sketches(texts)
+        assert all(len(b) == len(set(b)) for b in bands) and (size > 0).all()
+        assert all(set(a) & set(b) for a, b in zip(bands[::2], bands[1::2], strict=True))
+
+
+def test_bands_without_repeats_are_unchanged():
+    texts = [b"a b c d e f g", b"", b"one two"]
+    item, at, count = op.weighted(*op.shingles(texts)[:2])
+    keys = op.band_keys(op.registers(item, at, 1 + np.log(count), 3))
+    assert op.sketches(texts)[2] == [keys[0].tolist(), [], keys[2].tolist()]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert op.near_dup(df).count() == 0 and op.dedup(df).count() == 0
