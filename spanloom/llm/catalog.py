@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from . import (
+    best_fit,
     decontaminate,
+    divergence,
     language_id,
     license_scan,
     near_dup,
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_toxicity": toxicity.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_best_fit": best_fit.query,
+    "op12_divergence": divergence.query,
 }
 
 ORACLE = {
@@ -33,4 +37,5 @@ ORACLE = {
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op7_line_quality": quality_rules.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }
