@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    alignment,
     best_fit,
     decontaminate,
     divergence,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.query,
     "op11_best_fit": best_fit.query,
     "op12_divergence": divergence.query,
+    "op13_alignment": alignment.query,
 }
 
 ORACLE = {
