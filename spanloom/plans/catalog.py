@@ -423,7 +423,7 @@ def q_documents_json(spark, d):
 
 @query
 def q_write_spans(spark, d):
-    path = scratch_path(spark, "spans")
+    path = scratch_path(spark, "store") + "/spans"
     FS.write_spans(B.ann_spans(spark, d), path)
     return flat_spans(FS.read_spans(spark, path))
 

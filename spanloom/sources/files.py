@@ -1,4 +1,4 @@
-"""Readers and writers. Native tables are Parquet partitioned by ``project``.
+"""Readers and writers. Native tables are versioned Parquet by ``project`` (:mod:`spanloom.sources.versions`).
 
 JSON interchange formats:
 
@@ -23,6 +23,7 @@ from spanloom.operators.ingest import (empty_anns, explode_spans, nest_spans, pa
                                       require_query, with_doc_id)
 from spanloom.schema import DEFAULT_LABEL_MAP, LABEL_MAP, REJECTS, SPANS, VOCAB
 from spanloom.session import materialize
+from spanloom.sources import versions
 
 KEYS = ("project", "doc_id")
 
@@ -36,22 +37,10 @@ def _project_from_name(suffix: str):
     return F.regexp_extract(name, r"(?s)^(.*)" + suffix + "$", 1)
 
 
-def _read_by_project(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A table partitioned by ``project``, whose values stay text (``007`` is not 7)."""
-    if schema is None:
-        found = spark.read.parquet(path).schema
-        schema = StructType([StructField(f.name, StringType()) if f.name == "project" else f
-                             for f in found])
-    return spark.read.schema(schema).parquet(path)
-
-
-def _drop_project(spark: SparkSession, path: str, project: str) -> None:
-    """Remove one project's partition; an overwrite alone keeps partitions that get no rows."""
-    jvm = spark._jvm
-    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(
-        "project", project)
-    target = jvm.org.apache.hadoop.fs.Path(path, folder)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def _table(path: str) -> tuple[str, str]:
+    """Store and table name of a table's path."""
+    store, _, name = path.rstrip("/").rpartition("/")
+    return store, name
 
 
 # ------------------------------------------------------------------ datasets
@@ -108,19 +97,22 @@ def write_docs_csv(df: DataFrame, path: str) -> None:
 
 # ------------------------------------------------------------------ span store
 def write_spans(spans: DataFrame, path: str, project: str | None = None) -> None:
-    """Native store: flat spans, Parquet, one directory per project.
+    """Native store: flat spans, Parquet, by project, as the table ``path`` of a versioned store.
 
-    Replaces the projects being written; with ``project`` also when no span is left of it.
+    Replaces the projects being written; with ``project`` also when no span is left of it. The spans
+    may be read from the table itself; if anything fails, the old ones stay.
     """
-    if project is not None:
-        _drop_project(spans.sparkSession, path, project)
-    (spans.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("project").parquet(path))
+    store, name = _table(path)
+    versions.replace(spans, store, name, project, named=project is not None)
 
 
 def read_spans(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
-    df = _read_by_project(spark, path, SPANS)
-    return df.where(F.col("project") == project) if project is not None else df
+    """The current spans of one project or of all; a project without any gives no rows."""
+    store, name = _table(path)
+    if project is None:
+        return versions.read_all(spark, store, name, SPANS)
+    found = versions.read(spark, store, name, project, SPANS)
+    return spark.createDataFrame([], SPANS) if found is None else found
 
 
 def write_annotation_store(spans: DataFrame, path: str) -> None:
@@ -260,24 +252,16 @@ def export_csv(exported: DataFrame, path: str) -> None:
 
 
 # ------------------------------------------------------------------ projects
-def _save_artefact(spark: SparkSession, root: str, name: str, project: str, df: DataFrame) -> None:
-    """Replace one artefact of one project, also by nothing."""
-    _drop_project(spark, f"{root}/{name}", project)
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("project").parquet(f"{root}/{name}"))
-
-
 def save_vocab(spark: SparkSession, root: str, project: str, vocab: DataFrame) -> None:
-    """Save or overwrite the vocabulary of a project under ``root``."""
-    _save_artefact(spark, root, "vocab", project, materialize(
-        vocab.where(F.col("project") == project).select("project", "key", "pos", "term"), "vocab"))
+    """Save or overwrite the vocabulary of a project under ``root``, also by nothing."""
+    versions.replace(vocab.where(F.col("project") == project).select("project", "key", "pos", "term"),
+                     root, "vocab", project, named=True)
 
 
 def save_label_map(spark: SparkSession, root: str, project: str, label_map: DataFrame) -> None:
-    """Save or overwrite the label map of a project under ``root``."""
-    _save_artefact(spark, root, "label_map", project, materialize(
-        label_map.where(F.col("project") == project).select("project", "label", "pos", "category"),
-        "label-map"))
+    """Save or overwrite the label map of a project under ``root``, also by nothing."""
+    versions.replace(label_map.where(F.col("project") == project).select("project", "label", "pos", "category"),
+                     root, "label_map", project, named=True)
 
 
 def ingest_project(spark: SparkSession, data_path: str, project: str, root: str,
@@ -289,10 +273,12 @@ def ingest_project(spark: SparkSession, data_path: str, project: str, root: str,
     Reads the dataset once (``fmt``: ``csv``, ``json`` for one array per file,
     ``jsonl``; by default from the suffix, and for ``.json`` from the files'
     first character), parses its ``annotations`` column if any (else empty
-    lists), and writes docs, spans and rejects as Parquet partitioned by
-    project: what an earlier project of this name had of them is gone. A
-    vocabulary or label map is replaced if a file is given.
+    lists), and writes docs, spans and rejects as new versions
+    (:mod:`spanloom.sources.versions`). A vocabulary or label map is replaced if a file is given. One
+    pointer switches all of them: until then, and if anything fails, the project
+    is what it was before.
     """
+    base = versions.current(spark, root, project)
     suffix = data_path.rstrip("/").rsplit(".", 1)[-1].lower()
     if fmt is None:
         fmt = {"json": "json?", "jsonl": "jsonl", "ndjson": "jsonl"}.get(suffix, "csv")
@@ -315,12 +301,15 @@ def ingest_project(spark: SparkSession, data_path: str, project: str, root: str,
     else:
         spans = explode_spans(docs.withColumn("anns", empty_anns()))
         rejects = spark.createDataFrame([], REJECTS)
-    for name, df in (("docs", docs), ("spans", spans), ("rejects", rejects)):
-        _save_artefact(spark, root, name, project, df)
+    tables = {"docs": docs, "spans": spans, "rejects": rejects}
     if vocab_path:
-        save_vocab(spark, root, project, read_vocab(spark, vocab_path, project))
+        tables["vocab"] = read_vocab(spark, vocab_path, project)
     if label_map_path:
-        save_label_map(spark, root, project, read_label_map(spark, label_map_path, project))
+        tables["label_map"] = read_label_map(spark, label_map_path, project)
+    version = versions.new_version()
+    for name, df in tables.items():
+        versions.stage(df, root, name, version)
+    versions.commit(spark, root, project, base, {name: version for name in tables})
     return load_project(spark, root, project)
 
 
@@ -328,25 +317,17 @@ def load_project(spark: SparkSession, root: str, project: str) -> dict[str, Data
     """One project's tables; the ``project`` filter prunes partitions.
 
     A missing store, rejects table or vocabulary is an empty table, a missing
-    label map the default one. A project without a dataset partition is an error.
+    label map the default one. A project without a dataset is an error.
     """
-    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(
-        "project", project)
-
-    def exists(name: str) -> bool:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}", folder)
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
-    if not exists("docs"):
+    docs = versions.read(spark, root, "docs", project)
+    if docs is None:
         raise LookupError(f"no project {project!r} under {root}")
-    out = {"docs": _read_by_project(spark, f"{root}/docs").where(F.col("project") == project)}
+    out = {"docs": docs}
     for name, schema in (("spans", SPANS), ("rejects", REJECTS), ("vocab", VOCAB), ("label_map", LABEL_MAP)):
-        if exists(name):
-            out[name] = _read_by_project(spark, f"{root}/{name}", schema).where(F.col("project") == project)
-        elif name == "label_map":
-            out[name] = default_label_map(spark.createDataFrame([(project,)], "project string"))
-        else:
-            out[name] = spark.createDataFrame([], schema)
+        found = versions.read(spark, root, name, project, schema)
+        if found is None and name == "label_map":
+            found = default_label_map(spark.createDataFrame([(project,)], "project string"))
+        out[name] = spark.createDataFrame([], schema) if found is None else found
     return out
 
 
