@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,9 @@ OPEN_BINS = 256
 #: Pieces that one task packs, about.
 PIECES_PER_TASK = 1 << 17
 
+#: No part of little-endian 32-bit ids under 65,536.
+STOP = b"\xff" * 4
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -50,11 +54,15 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids bi
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: Composed letters and signs whose case and class no Unicode version changes; other units go through all steps.
-PLAIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
+PLAIN = "^[\x21-\x7e\xa1-\u024f]+$"
+#: Distinct parts of words whose ids a worker holds at most.
+PARTS = 4 * subwords.LIMIT
+#: Bytes of text encoded at once.
+SLICE_BYTES = 4 << 20
 
 
 def read_vocabulary(path: str) -> str:
-    """The tokenizer's description; it must be of the kind that ``unit_cache`` takes apart."""
+    """The tokenizer's description; it must be of the kind that ``Words`` takes apart."""
     with open(path, encoding="utf-8") as f:
         text = f.read()
     kind = json.loads(text)
@@ -62,40 +70,69 @@ def read_vocabulary(path: str) -> str:
     if (kind["normalizer"]["normalizers"] != STEPS or kind["post_processor"] or second["type"] != "ByteLevel"
             or second["add_prefix_space"] or second["use_regex"]
             or (first["type"], first["pattern"], first["behavior"], first["invert"])
-            != ("Split", {"Regex": WORDS}, "Removed", True)):
+            != ("Split", {"Regex": WORDS}, "Removed", True) or max(kind["model"]["vocab"].values()) >= 1 << 16
+            or not all(t["content"].startswith("<") for t in kind["added_tokens"])):
         raise ValueError("another kind of tokenizer")
     return text
 
 
-def unit_cache(description: str) -> subwords.UnitCache:
-    """Units between ASCII white space -> their ids as little-endian 32-bit numbers.
+class Words:
+    """The tokenizer in a worker: words between ASCII white space -> ids.
 
-    A plain unit is lower-cased and cut into words, of which only unknown ones are
-    merged. Any other unit (and one with a special token's name) is given to the tokenizer whole.
+    Plain words are lower-cased and cut, and each distinct part is merged once. Any
+    other word (and one with a special token's name) is given to the tokenizer whole.
     """
-    import regex
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_str(description)
-    special = [t["content"] for t in json.loads(description)["added_tokens"]]
-    named = re.compile("|".join(map(re.escape, special)) or "(?!)")
-    cut, merge, letters = regex.compile(WORDS).findall, tokenizer.model.tokenize, subwords.byte_letters()
-
-    def pack_ids(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def merged(words: list[str]) -> list[bytes]:
-        return [pack_ids([t.id for t in merge(w.encode().decode("latin-1").translate(letters))]) for w in words]
-
-    known = subwords.UnitCache(merged)
-
-    def encode(units: list[bytes]) -> list[bytes]:
-        texts = [u.decode() for u in units]
-        words = [cut(t.lower()) if PLAIN.fullmatch(t) and not named.search(t) else None for t in texts]
-        known.fill(w for ws in words if ws for w in ws)
-        return [pack_ids(tokenizer.encode(t, add_special_tokens=False).ids) if ws is None
-                else b"".join([known[w] for w in ws]) for t, ws in zip(texts, words, strict=True)]
 
-    return subwords.UnitCache(encode, 2 * subwords.LIMIT)
+    def __init__(self, description: str):
+        import regex
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_str(description)
+        special = [t["content"] for t in json.loads(description)["added_tokens"]]
+        self.named = "|".join(map(re.escape, special)) or r"[^\s\S]"
+        self.cut = regex.compile(WORDS + r"|\n").findall
+        self.letters = subwords.byte_letters()
+        self.known = subwords.UnitCache(self.merged, PARTS)
+
+    def merged(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of each part as little-endian 32-bit numbers."""
+        merge = self.tokenizer.model.tokenize
+        for part in parts:
+            # ASCII letters stand for themselves.
+            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in merge(spelt)]
+            yield struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the place and number of those of each word."""
+        is_plain = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring_regex(words, self.named))
+        plain, other = words.filter(is_plain), words.filter(pc.invert(is_plain)).to_pylist()
+        # All plain words as one text, a line each; a line end is no part of a word.
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(plain)], plain), "\n")[0].as_py()
+        parts = self.cut(text.lower() + "\n") if len(plain) else []
+        self.known.fill(parts)
+        self.known["\n"] = STOP
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), dtype="<u4")]
+        stops = np.flatnonzero(ids[0] == 0xFFFFFFFF)
+        ids += [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4") for w in other]
+        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        mask = is_plain.to_numpy(zero_copy_only=False)
+        start[mask] = np.concatenate(([0], stops + 1))[:-1]
+        size[mask] = stops - start[mask]
+        size[~mask] = [len(x) for x in ids[1:]]
+        start[~mask] = len(ids[0]) + np.cumsum(size[~mask]) - size[~mask]
+        return np.concatenate(ids), start, size
+
+
+def encode_texts(texts: pa.Array, known: Words, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each followed by ``end``, and the offsets of each text (n + 1)."""
+    units = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = units.flatten().dictionary_encode()
+    ids, start, size = known.encode(flat.dictionary)
+    at = flat.indices.to_numpy()
+    ids = ids[common.ragged(start[at], size[at])]
+    off = units.offsets.to_numpy()
+    ends = np.concatenate(([0], np.cumsum(size[at])))[off - off[0]]
+    return np.insert(ids, ends[1:], end), ends + np.arange(len(ends))
 
 
 def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
@@ -105,18 +142,15 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
     src = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
-    last, stride = np.array([end], dtype="<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = subwords.loaded(shared, unit_cache)
-        for batch in common.slices(batches, "t"):
-            words = [t.split() for t in common.text_bytes(batch.column("t"))]
-            known.fill(w for ws in words for w in ws)
+        known = subwords.loaded(shared, Words)
+        for batch in common.slices(batches, "t", SLICE_BYTES):
+            ids, off = encode_texts(batch.column("t"), known, end)
             rows = []
-            for doc, ws in zip(batch.column("d").to_pylist(), words, strict=True):
-                ids = b"".join([*map(known.__getitem__, ws), last])
-                rows += [(doc, n, at // 4, ids[at:at + stride])
-                         for n, at in enumerate(range(0, len(ids), stride))]
+            for doc, a, b in zip(batch.column("d").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+                rows += [(doc, n, at - a, ids[at:min(at + capacity, b)].tobytes())
+                         for n, at in enumerate(range(a, b, capacity))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
                  pa.array([r[2] for r in rows], pa.int64()),

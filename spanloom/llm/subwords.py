@@ -29,16 +29,16 @@ class UnitCache(dict):
         self.update(zip(new, self.encode(new), strict=True))
 
 
-_LOADED: dict[int, object] = {}
+_LOADED: dict[tuple, tuple] = {}
 
 
 def loaded(shared, start: Callable):
-    """What ``start`` makes of a broadcast value, once per worker."""
-    key = id(shared.value)
+    """What ``start`` makes of a broadcast value, once per worker for the last value."""
+    key = (start.__module__, start.__qualname__, id(shared.value))
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = start(shared.value)
-    return _LOADED[key]
+        _LOADED[key] = (shared.value, start(shared.value))  # the value is held, so its id stays its own
+    return _LOADED[key][1]
 
 
 def byte_letters() -> dict[int, str]:

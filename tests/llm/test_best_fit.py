@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,13 +22,14 @@ def tokenizer():
 
 @pytest.fixture(scope="module")
 def units():
-    return op.unit_cache(op.read_vocabulary(op.VOCABULARY))
+    return op.Words(op.read_vocabulary(op.VOCABULARY))
 
 
 def ids_of(units, text):
-    words = text.encode().split()
-    units.fill(words)
-    return np.frombuffer(b"".join(units[w] for w in words), "<u4").tolist()
+    ids, off = op.encode_texts(pa.array([text, None, text]), units, op.END)
+    first = ids[:off[1]].tolist()
+    assert ids[off[1]:off[2]].tolist() == [op.END] and ids[off[2]:].tolist() == first and first[-1] == op.END
+    return first[:-1]
 
 
 @settings(max_examples=300, deadline=None)
