@@ -13,12 +13,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text handled at once inside a task; bounds the Python memory of a worker.
 SLICE_BYTES = 2 << 20
+#: Bytes of a derived table, as JSON, up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1000
 
@@ -33,6 +35,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A hint to broadcast ``df`` (a table, files or cheap to compute) if its rows, as JSON, have at most so many bytes."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def small_batches(spark) -> None:
     """Let Arrow batches hold at most ``BATCH_ROWS`` rows in this session: rows are whole texts.
 

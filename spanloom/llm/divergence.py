@@ -28,6 +28,7 @@ An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,8 @@ MIN_DOCS = 3
 SCALE = 1_000_000_000
 #: Ranks of the ``term`` part.
 TOP_TERMS = 200
+#: Bytes of text whose counts are put together in a task.
+SLICE_BYTES = 6 << 20
 #: Ones of a matrix block at most (one row may have more: one for each of its sources).
 BLOCK_ONES = 2048
 
@@ -60,25 +63,22 @@ def term_counts(docs: DataFrame, text_col: str = "text", group_cols: tuple[str,
     src = docs.select(lang, source, F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "t"):
+        for batch in common.slices(batches, "t", SLICE_BYTES):
             words = [t.translate(_TERM_BYTES).split() for t in common.text_bytes(batch.column("t"))]
-            flat = np.array([w for ws in words for w in ws], dtype=object)
+            flat = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
             if not len(flat):
                 continue
-            sizes = np.array([len(ws) for ws in words])
-            pairs = list(zip(batch.column("g").to_pylist(), batch.column("s").to_pylist(), strict=True))
-            of_doc, groups = pd.factorize(pd.Series(pairs))
-            term, terms = pd.factorize(flat)
-            size = len(terms)
-            once = np.unique(np.repeat(np.arange(len(words)), sizes) * size + term)
-            keys, n = np.unique(np.repeat(of_doc, sizes) * size + term, return_counts=True)
-            in_docs = np.unique(of_doc[once // size] * size + once % size, return_counts=True)[1]
-            group, term = keys // size, keys % size
+            terms = len(flat.dictionary)
+            doc = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
+            of_doc, groups = pd.factorize(pd.Series(list(zip(
+                batch.column("g").to_pylist(), batch.column("s").to_pylist(), strict=True))))
+            # Numbers of the (group, term) pairs, then the documents that have each.
+            pair, keys = pd.factorize(of_doc[doc] * terms + flat.indices.to_numpy())
+            once = pd.unique(doc * len(keys) + pair) % len(keys)
+            names = [pa.array([g[k] for g in groups], pa.string()).take(pa.array(keys // terms)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([groups[g][0] for g in group], pa.string()),
-                 pa.array([groups[g][1] for g in group], pa.string()),
-                 pa.array(terms[term], pa.binary()).cast(pa.string()),
-                 pa.array(n, pa.int64()), pa.array(in_docs, pa.int64())],
+                [*names, flat.dictionary.take(pa.array(keys % terms)).cast(pa.string()),
+                 pa.array(np.bincount(pair)), pa.array(np.bincount(once, minlength=len(keys)))],
                 names=["lang", "source", "term", "n", "docs"])
 
     each = src.mapInArrow(run, "lang string, source string, term string, n long, docs long")
@@ -234,12 +234,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
     counts = term_counts(docs)
     kept = materialize(kept_terms(counts, min_docs), "kept-terms")
     languages = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("occurrences"))
+    languages = common.small(materialize(languages, "languages"))
     used = kept.select("lang", F.explode("levels").alias("x")).groupBy(
         "lang", F.col("x.source").alias("source")).agg(F.sum("x.n").alias("occurrences"))
     seen = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")])
     groups = seen.distinct().join(used, ["lang", "source"], "left").join(
         languages.select("lang", "terms"), "lang", "left")
-    groups = materialize(groups.fillna(0, ["occurrences", "terms"]), "groups")
+    groups = common.small(materialize(groups.fillna(0, ["occurrences", "terms"]), "groups"))
     joint = materialize(level_products(kept), "level-products")
     by = W.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item"))
     pairs = pair_values(joint, groups).withColumn("rank", F.row_number().over(by))
