@@ -382,6 +382,46 @@ def q_read_annotation_store(spark, d):
     return flat_spans(FS.read_annotation_store(spark, path))
 
 
+@query
+def q_read_legacy_store(spark, d):
+    """The store of whole objects, a few files a project, and back."""
+    path = scratch_path(spark, "store-objects")
+    FS.write_legacy_store(B.ann_spans(spark, d), path, rows_per_file=500)
+    return flat_spans(FS.read_legacy_store(spark, path)[0])
+
+
+def _kept_and_rejected(docs: DataFrame, rejects: DataFrame) -> DataFrame:
+    return docs.select(F.lit("row").alias("kind"), "doc_id", "query").unionByName(
+        rejects.select(F.col("reason").alias("kind"), "doc_id", F.lit(None).cast("string").alias("query")))
+
+
+@query
+def q_csv_rejects(spark, d):
+    """Quoted records over two lines, one in ten with a field too many, one in ten without its text."""
+    part = B.table(spark, d, "part")
+    text = F.concat(F.lit(',"'), "p_name", F.lit('\n""'), "p_brand", F.lit('"", x"'))
+    line = F.concat("p_partkey", F.when(F.col("p_size") % 10 == 1, "").when(
+        F.col("p_size") % 10 == 0, F.concat(text, F.lit(",more"))).otherwise(text))
+    file = F.col("p_partkey") % 8
+    body = part.select(file.alias("f"), F.lit(1).alias("body"), line.alias("value"))
+    head = body.select("f").distinct().select("f", F.lit(0).alias("body"), F.lit("pk,query").alias("value"))
+    path = scratch_path(spark, "records")
+    (body.unionByName(head).repartition(8, "f").sortWithinPartitions("f", "body").drop("body")
+     .write.partitionBy("f").text(path))
+    return _kept_and_rejected(*FS.read_docs_csv_checked(spark, path, "csv", key="pk"))
+
+
+@query
+def q_json_rejects(spark, d):
+    """Every seventh line is cut off."""
+    docs = B.table(spark, d, "documents")
+    line = F.to_json(F.struct(F.col("doc_id").alias("pk"), F.col("text").alias("query")))
+    cut = F.when(F.col("doc_id") % 7 == 3, F.left(line, F.length(line) - 2)).otherwise(line)
+    path = scratch_path(spark, "lines")
+    docs.select(cut.alias("value")).write.text(path)
+    return _kept_and_rejected(*FS.read_docs_json_checked(spark, path, "json", multiline=False, key="pk"))
+
+
 def _short_export(spark, d) -> DataFrame:
     e = V.export_annotations(B.short_docs(spark, d).select(*KEYS, "query"), B.ann_spans(spark, d))
     return e.select(F.col("doc_id").cast("string").alias("pk"), "query", "annotations")

@@ -431,3 +431,10 @@ ORACLE["write_spans"] = ORACLE["explode_spans"]
 ORACLE["replace_project"] = f"""WITH {ANN}
 SELECT '007' AS project, (SELECT count(*) FROM part)::BIGINT AS n_docs, 0::BIGINT AS n_spans
 UNION ALL SELECT '7', (SELECT count(*) FROM part)::BIGINT, (SELECT count(*) FROM annp)::BIGINT"""
+ORACLE["read_legacy_store"] = ORACLE["explode_spans"]
+ORACLE["csv_rejects"] = """SELECT 'row' AS kind, p_partkey AS doc_id,
+       CASE WHEN p_size % 10 <> 1 THEN p_name || chr(10) || '"' || p_brand || '", x' END AS query
+FROM part WHERE p_size % 10 <> 0
+UNION ALL SELECT 'field_count', NULL, NULL FROM part WHERE p_size % 10 = 0"""
+ORACLE["json_rejects"] = """SELECT 'row' AS kind, doc_id, text AS query FROM documents WHERE doc_id % 7 <> 3
+UNION ALL SELECT 'invalid_line', NULL, NULL FROM documents WHERE doc_id % 7 = 3"""

@@ -17,15 +17,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from spanloom.operators.ingest import (empty_anns, explode_spans, nest_spans, parse_annotations,
                                       require_query, with_doc_id)
 from spanloom.schema import DEFAULT_LABEL_MAP, LABEL_MAP, REJECTS, SPANS, VOCAB
 from spanloom.session import materialize
-from spanloom.sources import versions
+from spanloom.sources import csv_records, versions
 
 KEYS = ("project", "doc_id")
+#: File and place of a record while a dataset is read.
+PLACE = ("_file", "_record")
+#: The text of what a JSON reader could not read.
+BAD = "_unreadable"
 
 
 def _project_from_name(suffix: str):
@@ -44,45 +48,83 @@ def _table(path: str) -> tuple[str, str]:
 
 
 # ------------------------------------------------------------------ datasets
+def _dataset(df: DataFrame, project: str, key: str | None, order_by: list[str] | None) -> DataFrame:
+    df = with_doc_id(require_query(df), key=key, order_by=order_by)
+    return df.withColumn("project", F.lit(project)).select("project", "doc_id", *[
+        c for c in df.columns if c not in ("project", "doc_id", *PLACE)])
+
+
+def _rejected(reasons: DataFrame, project: str) -> DataFrame:
+    """Rejects without a row identity; ``elem`` is the record's number in its file, where it has one."""
+    elem = F.col("record") if "record" in reasons.columns else F.lit(None)
+    return reasons.select(F.lit(project).alias("project"), F.lit(None).cast("bigint").alias("doc_id"),
+                          elem.cast("bigint").alias("elem"), "reason")
+
+
+def read_docs_csv_checked(spark: SparkSession, path: str, project: str, order_by: list[str] | None = None,
+                          key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """CSV dataset -> (``project, doc_id, query, <other columns as text>``, rejects).
+
+    With ``key``, that column is the row identity and is kept as it was read; without it and
+    ``order_by`` rows are numbered in file order. Quoted records may span lines; files are split all
+    the same (:mod:`spanloom.sources.csv_records`, which gives the reasons of rejects).
+    """
+    rows, rejects = csv_records.read(spark, path)
+    return _dataset(rows, project, key, order_by or (None if key else list(PLACE))), _rejected(rejects, project)
+
+
 def read_docs_csv(spark: SparkSession, path: str, project: str,
                   order_by: list[str] | None = None, key: str | None = None) -> DataFrame:
-    """CSV dataset -> ``project, doc_id, query, <other columns as text>``.
+    """The rows of :func:`read_docs_csv_checked`."""
+    return read_docs_csv_checked(spark, path, project, order_by, key)[0]
+
 
-    With ``key``, that column is the row identity and is kept as it was read.
-    A quoted record may span lines, so one file is one task: give large
-    datasets as many files.
+def read_docs_json_checked(spark: SparkSession, path: str, project: str, order_by: list[str] | None = None,
+                           multiline: bool = True, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """JSON array of records (or JSON Lines with ``multiline=False``) -> (dataset, rejects).
+
+    Column names come from one inference pass; every column is then read as
+    text, nested values as the JSON text they had (nothing is re-typed). A line (or, of an
+    array, a file) that cannot be read is one reject, ``invalid_line`` (``invalid_file``).
     """
-    df = (spark.read.option("header", True).option("multiLine", True)
-          .option("escape", '"').option("encoding", "UTF-8").csv(path))
-    df = require_query(df)
-    df = with_doc_id(df, key=key, order_by=order_by)
-    return df.withColumn("project", F.lit(project)).select("project", "doc_id", *[
-        c for c in df.columns if c not in ("project", "doc_id")])
+    reader = spark.read.option("multiLine", multiline).option("columnNameOfCorruptRecord", BAD)
+    names = [c for c in reader.option("primitivesAsString", True).json(path).columns if c != BAD]
+    df = reader.schema(StructType([StructField(c, StringType()) for c in [*names, BAD]])).json(path)
+    place = [F.col("_metadata.file_path").alias(PLACE[0]), F.monotonically_increasing_id().alias(PLACE[1])]
+    df = materialize(df.select("*", *place), "json-dataset")
+    bad = df.where(F.col(BAD).isNotNull()).select(
+        F.lit("invalid_file" if multiline else "invalid_line").alias("reason"))
+    return (_dataset(df.where(F.col(BAD).isNull()).drop(BAD), project, key, order_by or (None if key else list(PLACE))),
+            _rejected(bad, project))
 
 
 def read_docs_json(spark: SparkSession, path: str, project: str,
                    order_by: list[str] | None = None, multiline: bool = True,
                    key: str | None = None) -> DataFrame:
-    """JSON array of records (or JSON Lines with ``multiline=False``).
-
-    Column names come from one inference pass; every column is then read as
-    text, nested values as the JSON text they had (nothing is re-typed).
-    """
-    reader = spark.read.option("multiLine", multiline)
-    names = reader.option("primitivesAsString", True).json(path).columns
-    df = reader.schema(StructType([StructField(c, StringType()) for c in names])).json(path)
-    df = require_query(df)
-    df = with_doc_id(df, key=key, order_by=order_by)
-    return df.withColumn("project", F.lit(project)).select("project", "doc_id", *[
-        c for c in df.columns if c not in ("project", "doc_id")])
+    """The rows of :func:`read_docs_json_checked`."""
+    return read_docs_json_checked(spark, path, project, order_by, multiline, key)[0]
 
 
 def json_layout(spark: SparkSession, path: str) -> str:
-    """``json`` if every file starts with a bracket (one array), ``jsonl`` if none does; else an error."""
-    first = (spark.read.option("wholetext", True).text(path)
-             .select(F.regexp_extract("value", r"^[\s\ufeff]*(\S)", 1).alias("c"))
-             .where("c <> ''").groupBy((F.col("c") == "[").alias("array")).count().collect())
-    kinds = {r["array"] for r in first}
+    """``json`` if every file starts with a bracket (one array), ``jsonl`` if none does; else an error.
+
+    Opens each file for its first characters only.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    kinds = set()
+    for name in spark.read.format("binaryFile").load(path).inputFiles():
+        file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        stream = file.getFileSystem(conf).open(file)
+        try:
+            while True:
+                c = stream.read()
+                if c == -1:
+                    break
+                if c not in b" \t\r\n\xef\xbb\xbf":
+                    kinds.add(c == ord("["))
+                    break
+        finally:
+            stream.close()
     if len(kinds) > 1:
         raise ValueError(f"{path} mixes JSON arrays and JSON Lines")
     return "jsonl" if kinds == {False} else "json"
@@ -149,56 +191,137 @@ def read_legacy_store(spark: SparkSession, path: str, project: str | None = None
                       ) -> tuple[DataFrame, DataFrame]:
     """Single-object store files ``{"<row>": [...]}`` -> (flat spans, rejects).
 
-    The project is the given name, else the file name minus
-    ``_annotations.json``. One file = one JSON value = one task.
+    The project is the given name, else the partition folder, else the file name minus
+    ``_annotations.json``. One file = one JSON value = one task. A file that is no JSON object
+    (``invalid_file``) and a key that is no row number (``invalid_key``) are rejects.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(
-        (F.lit(project) if project else _project_from_name("_annotations.json")).alias("project"),
-        F.from_json("value", "map<string,string>").alias("m"))
-    rows = raw.select("project", F.explode("m").alias("k", "annotations")).select(
-        "project", F.col("k").cast("bigint").alias("doc_id"), "annotations")
-    docs, rejects = parse_annotations(rows)
-    return explode_spans(docs), rejects
+    raw = _whole_files(spark, path, project, "_annotations.json").select(
+        "project", _objects(F.col("value"), "map<string,string>").alias("m"))
+    bad = raw.where("m is null").select("project", F.lit("invalid_file").alias("reason"))
+    rows = raw.select("project", F.explode("m").alias("k", "annotations"))
+    number = F.expr("try_cast(k as bigint)")
+    rows = rows.select("project", number.alias("doc_id"), "annotations")
+    docs, rejects = parse_annotations(rows.where("doc_id is not null"))
+    bad = bad.unionByName(rows.where("doc_id is null").select("project", F.lit("invalid_key").alias("reason")))
+    none = F.lit(None).cast("bigint")
+    return explode_spans(docs), rejects.unionByName(
+        bad.select("project", none.alias("doc_id"), none.alias("elem"), "reason"))
+
+
+def write_legacy_store(spans: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
+    """Single-object store files, by project; a file has the lists of at most so many consecutive row numbers."""
+    nested = nest_spans(spans).where("doc_id is not null")
+    entry = F.struct(F.col("doc_id").cast("string").alias("key"), F.to_json("anns").alias("value"))
+    files = nested.groupBy("project", F.floor(F.col("doc_id") / rows_per_file).alias("part")).agg(
+        F.array_sort(F.collect_list(entry)).alias("entries"))
+    pair = F.transform("entries", lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
+    (files.select("project", F.concat(F.lit("{"), F.array_join(pair, ","), F.lit("}")).alias("value"))
+     .write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("project").text(path))
 
 
 # ------------------------------------------------------------------ vocabulary
+def _project_of(df: DataFrame, project: str | None, suffix: str):
+    """The given name, else the partition folder, else the file name."""
+    return (F.lit(project) if project is not None else
+            F.col("project") if "project" in df.columns else _project_from_name(suffix))
+
+
+def _whole_files(spark: SparkSession, path: str, project: str | None, suffix: str) -> DataFrame:
+    """project, file, value (the whole text) of every file; the reader itself passes over empty files."""
+    df = spark.read.option("wholetext", True).text(path)
+    found = df.select(_project_of(df, project, suffix).alias("project"),
+                      F.col("_metadata.file_path").alias("file"), "value")
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(u)) for u in df.inputFiles()]
+    empty = [(str(p.getName()), str(p)) for p in paths if p.getFileSystem(conf).getFileStatus(p).getLen() == 0]
+    if not empty:
+        return found
+    name = F.lit(project) if project is not None else F.regexp_extract("name", r"(?s)^(.*?)(" + suffix + ")?$", 1)
+    return found.unionByName(spark.createDataFrame(empty, "name string, file string").select(
+        name.alias("project"), "file", F.lit("").alias("value")))
+
+
+def _objects(text, kind: str):
+    """The members of a text that is exactly one JSON object, else null."""
+    text = F.regexp_replace(text, "^\ufeff", "")
+    value = F.try_parse_json(text)
+    # The parser stops after the first value: inside a list the text must still be one value.
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    whole = F.schema_of_variant(value).startswith("OBJECT") & (F.size(listed) == 1)
+    return F.when(F.coalesce(whole, F.lit(False)), F.from_json(text, kind))
+
+
 def _read_key_lists(spark: SparkSession, path: str, project: str | None, suffix: str,
-                    fmt: str) -> DataFrame:
+                    fmt: str) -> tuple[DataFrame, DataFrame]:
+    """(project, key, pos, term) and (project, file, key, reason)."""
+    file = F.col("_metadata.file_path").alias("file")
     if fmt == "lines":
-        found = spark.read.json(path).columns
+        found = spark.read.option("columnNameOfCorruptRecord", BAD).json(path).columns
         own = [StructField("project", StringType())] * ("project" in found)
-        df = spark.read.schema(StructType([*own, StructField("key", StringType()),
-                                           StructField("terms", ArrayType(StringType()))])).json(path)
-    else:
-        df = spark.read.option("wholetext", True).text(path)
-    # Project: given name, else the partition directory, else the file name.
-    proj = (F.lit(project) if project else
-            F.col("project") if "project" in df.columns else _project_from_name(suffix))
-    if fmt == "lines":
-        pairs = df.select(proj.alias("project"), "key", "terms")
+        df = spark.read.schema(StructType([*own, *[StructField(c, StringType()) for c in ("key", "terms", BAD)]])) \
+            .option("columnNameOfCorruptRecord", BAD).json(path)
+        df = materialize(df.select(_project_of(df, project, suffix).alias("project"), file, "key",
+                                   F.col("terms").alias("value"), BAD), "key-lists")
+        bad = df.where(F.col(BAD).isNotNull()).select("project", "file", "key", F.lit("invalid_line").alias("reason"))
+        pairs = df.where(F.col(BAD).isNull())
+        kind = F.when(F.col("value").isNotNull(), F.coalesce(F.schema_of_variant(F.try_parse_json("value")), F.lit("STRING")))
     else:
-        pairs = df.select(proj.alias("project"),
-                          F.explode(F.from_json("value", "map<string,array<string>>"))
-                          .alias("key", "terms"))
-    return pairs.select("project", "key", F.posexplode_outer("terms").alias("pos", "term"))
+        df = _whole_files(spark, path, project, suffix)
+        df = df.select("project", "file", _objects(F.col("value"), "map<string,string>").alias("texts"),
+                       F.try_variant_get(F.try_parse_json(F.regexp_replace("value", "^\ufeff", "")), "$",
+                                         "map<string,variant>").alias("kinds"))
+        bad = df.where("texts is null").select("project", "file", F.lit(None).cast("string").alias("key"),
+                                               F.lit("invalid_file").alias("reason"))
+        pairs = df.select("project", "file", "kinds", F.explode("texts").alias("key", "value"))
+        kind = F.schema_of_variant(F.col("kinds")[F.col("key")])
+    pairs = pairs.withColumn("kind", F.coalesce(kind, F.lit("VOID")))
+    terms = (F.when(F.col("kind").startswith("ARRAY"), F.from_json("value", "array<string>"))
+             .when(F.col("kind") == "VOID", F.lit(None).cast("array<string>"))
+             .otherwise(F.array("value")))
+    wrong = F.col("kind").startswith("OBJECT") | F.col("key").isNull()
+    bad = bad.unionByName(pairs.where(wrong).select(
+        "project", "file", "key", F.when(F.col("key").isNull(), "no_key").otherwise("not_list").alias("reason")))
+    return pairs.where(~wrong).select("project", "key", F.posexplode_outer(terms).alias("pos", "term")), bad
+
+
+def _strict(rows: DataFrame, bad: DataFrame, path: str) -> DataFrame:
+    """The rows, or an error that names what could not be read."""
+    first = bad.limit(5).collect()
+    if first:
+        raise ValueError(f"{path}: " + "; ".join(f"{r['reason']} in {r['file']}, key {r['key']}" for r in first))
+    return rows
+
+
+def read_vocab_checked(spark: SparkSession, path: str, project: str | None = None,
+                       fmt: str = "object") -> tuple[DataFrame, DataFrame]:
+    """Vocabulary file(s) -> (``project, key, pos, term``, rejects ``project, file, key, reason``).
+
+    Non-string JSON values keep their JSON text (``1.0`` -> ``"1.0"``); a scalar in place of a list is
+    a list of one term, null an empty one. Rejects: ``invalid_file``, ``invalid_line``, ``not_list``
+    (an object in place of a list), ``no_key``.
+    """
+    rows, bad = _read_key_lists(spark, path, project, "_vocab.json", fmt)
+    return rows.select("project", "key", F.col("pos").cast("int"), "term"), bad
 
 
 def read_vocab(spark: SparkSession, path: str, project: str | None = None,
                fmt: str = "object") -> DataFrame:
-    """Vocabulary file(s) -> ``project, key, pos, term``.
+    """The rows of :func:`read_vocab_checked`; anything that cannot be read is an error."""
+    return _strict(*read_vocab_checked(spark, path, project, fmt), path)
 
-    Non-string JSON values keep their JSON text (``1.0`` -> ``"1.0"``).
-    """
-    return _read_key_lists(spark, path, project, "_vocab.json", fmt).select(
-        "project", "key", F.col("pos").cast("int"), "term")
+
+def read_label_map_checked(spark: SparkSession, path: str, project: str | None = None,
+                           fmt: str = "object") -> tuple[DataFrame, DataFrame]:
+    """Label map file(s) -> (``project, label, pos, category``, rejects as of a vocabulary)."""
+    rows, bad = _read_key_lists(spark, path, project, "_label_map.json", fmt)
+    return rows.select("project", F.col("key").alias("label"), F.col("pos").cast("int"),
+                       F.col("term").alias("category")), bad
 
 
 def read_label_map(spark: SparkSession, path: str, project: str | None = None,
                    fmt: str = "object") -> DataFrame:
-    """Label map file(s) -> ``project, label, pos, category``."""
-    df = _read_key_lists(spark, path, project, "_label_map.json", fmt)
-    return df.select("project", F.col("key").alias("label"), F.col("pos").cast("int"),
-                     F.col("term").alias("category"))
+    """The rows of :func:`read_label_map_checked`; anything that cannot be read is an error."""
+    return _strict(*read_label_map_checked(spark, path, project, fmt), path)
 
 
 def default_label_map(projects: DataFrame) -> DataFrame:
@@ -288,9 +411,9 @@ def ingest_project(spark: SparkSession, data_path: str, project: str, root: str,
             raise ValueError(f"{data_path} holds JSON Lines, not an array; use fmt='jsonl'")
         fmt = found
     if fmt == "csv":
-        docs = read_docs_csv(spark, data_path, project, order_by, key=key)
+        docs, unread = read_docs_csv_checked(spark, data_path, project, order_by, key=key)
     elif fmt in ("json", "jsonl"):
-        docs = read_docs_json(spark, data_path, project, order_by, multiline=fmt == "json", key=key)
+        docs, unread = read_docs_json_checked(spark, data_path, project, order_by, multiline=fmt == "json", key=key)
     else:
         raise ValueError(f"unknown format {fmt!r}")
     docs = materialize(docs, "dataset")
@@ -301,6 +424,7 @@ def ingest_project(spark: SparkSession, data_path: str, project: str, root: str,
     else:
         spans = explode_spans(docs.withColumn("anns", empty_anns()))
         rejects = spark.createDataFrame([], REJECTS)
+    rejects = rejects.unionByName(unread)
     tables = {"docs": docs, "spans": spans, "rejects": rejects}
     if vocab_path:
         tables["vocab"] = read_vocab(spark, vocab_path, project)
