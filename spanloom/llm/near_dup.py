@@ -13,13 +13,17 @@ same as the weighted ones of a text without repeats), since that is what is
 verified: their agreement is the Jaccard similarity of the sets.
 
 Nodes that agree in a whole band of registers share a bucket. Buckets are
-never expanded into pairs: in each of ``ROUNDS`` rounds a bucket that still
-holds more than one class proposes the pairs of one member with the members
-of other classes. Pairs are verified exactly (Jaccard similarity of the
-shingle sets at least ``threshold``) and classes are joined. What is still
-split after that goes through an exact prefix-filtered join on the rarest
-shingles, restricted to different classes and possible sizes, so no link
-between nodes of one bucket is lost.
+never expanded into pairs. In each of ``ROUNDS`` rounds a bucket that still
+holds more than one class proposes the pairs of one centre with the members of
+other classes, as many as it has nodes. The centre is the most typical node, the one whose
+buckets hold most nodes: an original among its copies; in the next
+round it is the most typical one outside that node's class. Pairs are verified exactly
+(Jaccard similarity of the shingle sets at least ``threshold``) and classes are joined. What is
+still split after that goes through an exact prefix join: shingles are ordered by
+rarity, and two nodes of different classes are proposed where they meet at a shingle
+in places that still allow the threshold for their sizes (positional bound). Of each
+shingle's nodes those outside its largest class are joined with all, so a large
+class is never paired with itself. No link between nodes of one bucket is lost.
 
 Defined results: a null or empty text has no shingles and is its own class;
 one to four words are one shingle. The class id is the smallest id of its
@@ -43,19 +47,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Registers, and rows of a band: sets at 0.8 share no band with probability 3e-5, whatever their counts.
 REGISTERS, BAND_ROWS = 80, 4
-ROUNDS = 3
-#: Rows of a derived table up to which it is broadcast (two numbers each).
-BROADCAST_ROWS = 500_000
+ROUNDS = 2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SIDE = np.uint64(0xD1B54A32D192ED03)
 
 SKETCH = "doc long, text_hash long, node long, n_shingles long, bands array<long>"
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 # -- shingles and sketches (inside tasks) -------------------------------------
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,32 +216,38 @@ def with_class(df: DataFrame, label: DataFrame | None, node: str = "node") -> Da
     """Adds ``cls``, the node itself where no class is known."""
     if label is None:
         return df.withColumn("cls", F.col(node))
-    lab = _small(label.select(F.col("node").alias("_n"), F.col("cls").alias("_c")))
+    lab = common.small(label.select(F.col("node").alias("_n"), F.col("cls").alias("_c")))
     return (df.join(lab, F.col(node) == F.col("_n"), "left")
             .withColumn("cls", F.coalesce("_c", node)).drop("_n", "_c"))
 
 
 def star_pairs(buckets: DataFrame, label: DataFrame | None, turn: int, threshold: float) -> DataFrame:
-    """For each bucket with several classes the pairs of one member with members of other classes.
+    """For each bucket with several classes the pairs of its centre with the members of other classes.
 
-    Sets whose sizes differ by more than the threshold allows are not proposed.
+    The centre is the node of the highest ``score`` (ties: the larger node), after the first turn
+    the one outside that node's class. Sets whose sizes differ by more than the threshold allows are
+    not proposed.
     """
     b = with_class(buckets, label)
-    pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "cls", "n")).alias("p")
+    pick = F.max(F.struct("score", "node", "cls", "n")).alias("p")
     center = (b.groupBy("key").agg(pick, F.min("cls").alias("lo"), F.max("cls").alias("hi"))
               .where("lo <> hi").select("key", F.col("p.node").alias("c"), F.col("p.cls").alias("ccls"),
                                         F.col("p.n").alias("cn")))
+    if turn:
+        other = b.join(center, "key").where("cls <> ccls").groupBy("key").agg(pick)
+        center = other.select("key", F.col("p.node").alias("c"), F.col("p.cls").alias("ccls"), F.col("p.n").alias("cn"))
     pairs = b.join(center, "key").where(
         (F.col("cls") != F.col("ccls")) & (F.col("n") >= F.col("cn") * threshold)
         & (F.col("cn") >= F.col("n") * threshold))
     return pairs.select(F.greatest("c", "node").alias("b"), F.least("c", "node").alias("a")).distinct()
 
 
-def prefix_pairs(buckets: DataFrame, label: DataFrame | None, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different classes among the split buckets' nodes that share a prefix shingle.
+def prefixes(buckets: DataFrame, label: DataFrame | None, texts: DataFrame, threshold: float) -> DataFrame:
+    """node, n, cls, gram, place: the first shingles, by rarity, of the nodes in buckets of several classes.
 
-    Shingles are ordered by their number of nodes; two sets at the threshold
-    share one of the first n - ceil(threshold * n) + 1.
+    ``place`` counts the node's shingles before this one; those that no other of these nodes has come
+    first and are left out. Two sets at the threshold share one of the first
+    n - ceil(threshold * n) + 1.
     """
     b = with_class(buckets, label)
     split = b.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
@@ -259,24 +263,44 @@ def prefix_pairs(buckets: DataFrame, label: DataFrame | None, texts: DataFrame,
                 [pa.array(node[at]), pa.array(item.astype(np.int64)), pa.array(size[at], pa.int64())],
                 names=["node", "gram", "n"])
 
-    src = texts.join(_small(nodes.select("node")), "node").select("node", "t")
+    src = texts.join(common.small(nodes.select("node")), "node").select("node", "t")
     each = materialize(src.mapInArrow(run, "node long, gram long, n long"), "grams")
     seen = each.groupBy("gram").agg(F.count("*").alias("uses")).where("uses > 1")
-    shared = each.join(seen, "gram")
-    # Shingles of one node come first in its order; the others follow by their number of nodes.
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    order = shared.groupBy("node").agg(
+    order = each.join(seen, "gram").groupBy("node").agg(
         F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("uses", "gram"))).alias("g"))
-    first = F.greatest(keep - (F.col("n") - F.size("g")), F.lit(0)).cast("int")
-    prefix = order.select("node", "n", F.explode(F.slice("g", F.lit(1), first)).alias("x"))
-    prefix = materialize(prefix.select("node", "n", F.col("x.gram").alias("gram"))
-                         .join(nodes, "node"), "prefixes")
-    left = prefix.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("cls").alias("ca"))
-    right = prefix.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cls").alias("cb"))
+    alone = F.col("n") - F.size("g")
+    first = F.greatest(F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - alone, F.lit(0)).cast("int")
+    prefix = order.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("g", F.lit(1), first)))
+    prefix = prefix.select("node", "n", F.col("col.gram").alias("gram"), (F.col("alone") + F.col("pos")).alias("place"))
+    return materialize(prefix.join(nodes, "node"), "prefixes")
+
+
+def prefix_pairs(prefix: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of nodes of different classes that meet at a shingle whose places allow the threshold.
+
+    The shingle may be the first that both have; then they share at most what follows it in
+    either, and need threshold / (1 + threshold) of their sizes together. A place is dealt with only
+    if another class has the shingle.
+    """
+    by_class = prefix.groupBy("gram", "cls").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    split = by_class.groupBy("gram").agg(
+        F.max(F.struct("k", "cls")).alias("main"), F.count("*").alias("classes"), F.min("least").alias("least"))
+    split = materialize(split.where("classes > 1").select("gram", F.col("main.cls").alias("main"), "least"), "split")
+    share = threshold / (1 + threshold)
+
+    def allows(n, place, other):
+        """Whether a set of ``other`` shingles can share enough after this place."""
+        return F.col(n) - F.col(place) >= (F.col(n) + F.col(other)) * share - 1e-9
+
+    p = prefix.join(split, "gram").where(allows("n", "place", "least"))
+    left = p.where("cls <> main").select("gram", F.col("node").alias("a"), F.col("n").alias("na"),
+                                         F.col("cls").alias("ca"), F.col("place").alias("pa"))
+    right = p.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cls").alias("cb"),
+                     F.col("place").alias("pb"))
     pairs = left.join(right, "gram").where(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+        (F.col("ca") != F.col("cb")) & allows("na", "pa", "nb") & allows("nb", "pb", "na")
         & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold))
-    return pairs.select("a", "b").distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -288,21 +312,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.min(F.struct("doc", "text_hash")).alias("who"), F.first("bands").alias("bands"),
         F.first("n_shingles").alias("n"))
     keyed = one.select("node", "who", "n", F.explode("bands").alias("key"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    full = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     buckets = materialize(keyed.join(full, "key"), "buckets")
     # One text of each node that shares a bucket.
     who = materialize(buckets.select("node", "who.doc", "who.text_hash").distinct(), "nodes")
-    who = _small(who.select("node", F.col("doc").alias("_d"), F.col("text_hash").alias("_h")))
+    who = common.small(who.select("node", F.col("doc").alias("_d"), F.col("text_hash").alias("_h")))
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
     d = d.join(who, d["doc"].eqNullSafe(F.col("_d")) & (F.xxhash64("t") == F.col("_h")))
     texts = materialize(d.select("node", "t").dropDuplicates(["node"]), "texts")
-    buckets = buckets.select("key", "node", "n")
+    score = buckets.groupBy("node").agg(F.sum("k").alias("score"))
+    buckets = materialize(buckets.join(score, "node").select("key", "node", "n", "score"), "scored")
     label, links = None, None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             pairs = star_pairs(buckets, label, turn, threshold)
         else:
-            pairs = prefix_pairs(buckets, label, texts, threshold)
+            pairs = prefix_pairs(prefixes(buckets, label, texts, threshold), threshold)
         new = verified(materialize(pairs, "pairs"), texts, threshold)
         if new.isEmpty():
             continue
@@ -326,7 +351,10 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, the one with the smallest id; all columns unchanged."""
+    """One row of each class, the one with the smallest id; all columns unchanged.
+
+    Of rows with equal id and text the one whose columns, as JSON, come first stays.
+    """
     rows = classes(docs, id_col, text_col, threshold).where("n_shingles > 0")
     # A null id comes after every id.
     best = rows.groupBy("cls").agg(F.min(F.struct(
@@ -341,11 +369,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def same(t: DataFrame):
         return docs[id_col].cast("long").eqNullSafe(t["_doc"]) & (F.xxhash64(docs[text_col]) == t["_hash"])
 
-    out = _small(lost.where("wins = 0 or copies > 1").select("doc", "text_hash").withColumnsRenamed(name))
+    out = common.small(lost.where("wins = 0 or copies > 1").select("doc", "text_hash").withColumnsRenamed(name))
     again = lost.where("wins = 1 and copies > 1").select("doc", "text_hash").withColumnsRenamed(name)
     single = docs.join(out, same(out), "left_anti")
-    repeated = docs.join(_small(again), same(again), "left_semi").dropDuplicates([id_col, text_col])
-    return single.unionByName(repeated)
+    again = common.small(again)
+    repeated = docs.join(again, same(again), "left_semi").groupBy(id_col, text_col).agg(
+        F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("row"))
+    return single.unionByName(repeated.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from spanloom.llm import near_dup as op
 
 
@@ -124,3 +126,53 @@ def test_bands_without_repeats_are_unchanged():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert op.near_dup(df).count() == 0 and op.dedup(df).count() == 0
+
+
+def test_large_group_beside_other_classes(spark):
+    """1,000 near copies, texts that differ from them by a quarter and small groups of such: exact classes."""
+    rnd = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+
+    def changed(words, n, tag):
+        words = list(words)
+        for k in rnd.sample(range(len(words)), n):
+            words[k] = f"{tag}_{k}"
+        return words
+
+    texts = [changed(base, rnd.randint(1, 3), f"n{i}") for i in range(1000)]
+    for i in range(60):
+        far = changed(base, rnd.randint(5, 12), f"f{i}")
+        texts += [far] + [changed(far, 1, f"f{i}x{k}") for k in range(i % 3)]
+    rnd.shuffle(texts)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = [shingle_set(t) for _, t in docs]
+    number = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(number)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[g] for g in s]] = 1
+    both, size = has @ has.T, has.sum(1)
+    linked = both >= 0.8 * (size[:, None] + size[None, :] - both)
+    cls = np.arange(len(sets))
+    while True:
+        new = np.where(linked, cls[None, :], len(sets)).min(1)
+        if (new == cls).all():
+            break
+        cls = new
+    got = {r["doc_id"]: r["class_id"] for r in op.near_dup(df).collect()}
+    assert [got[i] for i in range(len(sets))] == cls.tolist()
+    assert 60 <= len(set(cls.tolist())) < 300
+    # What the last join proposes follows the nodes and not their pairs.
+    node = F.xxhash64("text")
+    nodes = df.select(node.alias("node"), F.col("text").alias("t"))
+    buckets = nodes.select(F.lit(1).alias("key"), "node")
+    label = df.join(spark.createDataFrame(list(got.items()), "doc_id long, cls long"), "doc_id").select(
+        node.alias("node"), "cls")
+    pairs = op.prefix_pairs(op.prefixes(buckets, label, nodes, 0.8), 0.8)
+    assert pairs.count() < 5 * len(sets)
+
+
+def test_equal_id_and_text_keep_the_first_row(spark):
+    rows = [(1, "a b c d e f", "y", 2), (1, "a b c d e f", "x", 3), (1, "a b c d e f", "x", 3), (2, "a b c d e f", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row int").repartition(3)
+    assert [tuple(r) for r in op.dedup(df).collect()] == [(1, "a b c d e f", "x", 3)]
