@@ -1,16 +1,13 @@
 """Substring containment join (``term in text``) and vocabulary pre-annotation.
 
 ``texts JOIN terms ON contains(text, term)`` has no equi-key, so Catalyst
-would plan a cartesian product. :func:`term_hits` has three exact physical
+would plan a cartesian product. :func:`term_hits` has two exact physical
 strategies over distinct term strings, for any id columns:
 
-* ``ngram`` (default) -- texts are cut into code-point chunks, every chunk
-  yields its grams with positions, grams are equi-joined with the terms' first
-  gram and verified with ``substring`` on the same chunk. Exact: a term inside
-  a text puts its first gram there.
-* ``automaton`` -- on explicit request: the distinct term list is compiled once per
-  worker into an Aho-Corasick automaton (package ``pyahocorasick``, needed on
-  the executors), and every text is scanned once.
+* ``ngram`` (default) -- texts are cut into code-point chunks; one regex pass per
+  chunk yields the grams of every length the terms need, which are equi-joined with the
+  terms' first grams (inside a scope, such as the project, if there is one) and
+  verified beside their chunk. Exact: a term inside a text puts its first gram there.
 * ``broadcast`` -- on explicit request: a nested-loop join with the broadcast
   terms, for equivalence tests and tiny term lists.
 
@@ -20,13 +17,12 @@ strategies over distinct term strings, for any id columns:
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from spanloom.functions.spans import locate0
+from spanloom.operators.ordered import OrderedScan
 from spanloom.session import materialize, spread
 
 KEYS = ("project", "doc_id")
@@ -34,8 +30,8 @@ KEYS = ("project", "doc_id")
 # Size limits for shipping a vocabulary to every task.
 BROADCAST_MAX_TERMS = 200_000
 BROADCAST_MAX_CHARS = 16 << 20
-AUTOMATON_MAX_TERMS = 2_000_000
-AUTOMATON_MAX_CHARS = 64 << 20
+#: Longest anchor gram (code points).
+MAX_GRAM = 8
 
 
 def _terms_size(terms: DataFrame) -> tuple[int, int]:
@@ -46,110 +42,44 @@ def _terms_size(terms: DataFrame) -> tuple[int, int]:
     return int(row["n"]), int(row["c"])
 
 
-def _distinct_terms(terms: DataFrame) -> DataFrame:
-    return terms.where(F.length("term") > 0).select("term").distinct()
+def _distinct_terms(terms: DataFrame, scope: list[str]) -> DataFrame:
+    return terms.where(F.length("term") > 0).select(*scope, "term").distinct()
 
 
-def hits_broadcast(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame) -> DataFrame:
-    t = _distinct_terms(terms)
+def hits_broadcast(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame,
+                   scope: list[str] | None = None) -> DataFrame:
+    scope = scope or []
+    t = _distinct_terms(terms, scope).withColumnsRenamed({c: f"_s_{c}" for c in scope})
     d = texts.select(*ids, F.col(text_col).alias("_q"))
-    j = d.join(F.broadcast(t), F.col("_q").contains(F.col("term")))
-    return j.select(*ids, "term", locate0("_q", "term").alias("start"))
-
-
-def _automaton(bc, token: str):
-    """The automaton of a broadcast term list, built once per Python worker.
-
-    Workers are reused across tasks, so the build (seconds for millions of
-    terms) is paid once per worker, not once per task. The code is shipped by
-    value, so the cache lives on an always-imported module; it holds only the
-    latest term list, under a token made on the driver for this broadcast.
-    """
-    import sys
-
-    import ahocorasick
-    cache = sys.__dict__.setdefault("_spanloom_automaton", {})
-    if token not in cache:
-        auto = ahocorasick.Automaton()
-        for t in bc.value:
-            auto.add_word(t, (t, len(t)))
-        if len(auto):
-            auto.make_automaton()
-        cache.clear()
-        cache[token] = auto
-    return cache[token]
-
-
-def _scan_fn(ids: list[str], text_col: str, bc, token: str):
-    """Partition function: first position of every automaton term in every text."""
-    def scan(batches):
-        import numpy as np
-        auto = _automaton(bc, token)
-        if len(auto) == 0:
-            for _ in batches:
-                pass
-            return
-        for pdf in batches:
-            rows, found, starts = [], [], []
-            for r, q in enumerate(pdf[text_col].tolist()):
-                if q is None:
-                    continue
-                seen = set()
-                # Matches come out by end position; for one term the first end
-                # is also the first start.
-                for end_i, (t, n) in auto.iter(q):
-                    if t not in seen:
-                        seen.add(t)
-                        rows.append(r)
-                        found.append(t)
-                        starts.append(end_i - n + 1)
-            if rows:
-                out = pdf.iloc[rows][ids].reset_index(drop=True)
-                out["term"] = found
-                out["start"] = np.asarray(starts, dtype="int64")
-                yield out
-    return scan
-
-
-def hits_automaton(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame) -> DataFrame:
-    spark = texts.sparkSession
-    # Size-checked by the caller; the distinct term list is the broadcast.
-    term_list = [r["term"] for r in _distinct_terms(terms).collect()]
-    bc = spark.sparkContext.broadcast(term_list)
-    fields = {f.name: f for f in texts.schema.fields}
-    schema = StructType([fields[c] for c in ids]
-                        + [StructField("term", StringType()), StructField("start", LongType())])
-    cols = list(dict.fromkeys([*ids, text_col]))
-    token = uuid.uuid4().hex
-    return texts.select(*cols).mapInPandas(_scan_fn(ids, text_col, bc, token), schema)
+    on = F.col("_q").contains(F.col("term"))
+    for c in scope:
+        on = on & (F.col(c) == F.col(f"_s_{c}"))
+    return d.join(F.broadcast(t), on).select(*ids, "term", locate0("_q", "term").alias("start"))
 
 
 def _chunks(texts: DataFrame, ids: list[str], text_col: str, chunk: int, ext: int) -> DataFrame:
     """Code-point chunks of ``chunk`` characters, each extended by the next
     ``ext`` characters so any match starting in a chunk lies inside it."""
     parts = F.regexp_extract_all(F.col(text_col), F.lit("(?s).{1,%d}" % chunk), F.lit(0))
-    tail = F.transform(parts, lambda c, i: F.concat(c, F.coalesce(F.substring(
-        F.array_join(F.slice(parts, i + 2, max(1, -(-ext // chunk))), ""), 1, ext), F.lit(""))))
-    return texts.select(*ids, F.posexplode(tail).alias("ci", "chunk"))
+    # A column of its own: inside the lambda the regex would run again for every chunk.
+    cut = texts.select(*ids, parts.alias("_parts"))
+    more = max(1, -(-ext // chunk))
+    tail = F.transform("_parts", lambda c, i: F.concat(c, F.left(F.array_join(
+        F.slice("_parts", i + 2, more), ""), F.lit(ext))))
+    return cut.select(*ids, F.posexplode(tail).alias("ci", "chunk"))
 
 
-def _grams(chunks: DataFrame, ids: list[str], n: int, chunk: int) -> DataFrame:
-    """Every n-gram starting inside its chunk, with the chunk, its index and the offset.
+def _grams(chunks: DataFrame, ids: list[str], sizes: list[int], chunk: int) -> DataFrame:
+    """What lies ahead of every code point of a chunk, with the hash of its gram of each of ``sizes``.
 
-    One regex pass per chunk: each match consumes one code point and captures
-    the n code points starting there (a lookahead), so element ``j`` of the
-    result is the gram at code point ``j``.
+    One regex pass per chunk: each match consumes one code point and captures up to
+    ``MAX_GRAM`` code points starting there (a lookahead), so element ``j`` of the
+    result is what lies ahead at code point ``j``; the shorter grams are its beginnings.
     """
-    grams = F.regexp_extract_all(F.col("chunk"), F.lit("(?s)(?=(.{%d}))." % n), F.lit(1))
-    return chunks.select(*ids, "ci", "chunk", F.posexplode(F.slice(grams, 1, chunk)).alias("j", "gram"))
-
-
-def _distinct_grams(chunks: DataFrame, ids: list[str], n: int, chunk: int) -> DataFrame:
-    """Each distinct n-gram starting inside its chunk, with its first offset ``j``."""
-    grams = F.regexp_extract_all(F.col("chunk"), F.lit("(?s)(?=(.{%d}))." % n), F.lit(1))
-    own = chunks.select(*ids, "ci", F.slice(grams, 1, chunk).alias("gs"))
-    each = own.select(*ids, "ci", "gs", F.explode(F.array_distinct("gs")).alias("gram"))
-    return each.withColumn("j", F.array_position("gs", F.col("gram")) - 1).drop("gs")
+    found = F.regexp_extract_all(F.col("chunk"), F.lit("(?s)(?=(.{1,%d}))." % MAX_GRAM), F.lit(1))
+    at = chunks.select(*ids, "ci", "chunk", F.posexplode(F.slice(found, 1, chunk)).alias("j", "ahead"))
+    grams = F.array(*[F.xxhash64(F.left("ahead", F.lit(k))) for k in sizes])
+    return at.select(*ids, "ci", "chunk", "j", "ahead", F.explode(grams).alias("gram"))
 
 
 def gram_length(term) -> Column:
@@ -159,85 +89,84 @@ def gram_length(term) -> Column:
 
 
 def hits_ngram(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame,
-               chunk: int = 512) -> DataFrame:
-    """N-gram blocking join.
+               scope: list[str] | None = None, chunk: int = 512) -> DataFrame:
+    """N-gram blocking join: one scan of the texts and one shuffle, whatever the terms' lengths.
 
     * Terms fall into length classes (1, 2, 3-5, 6-7, 8 and more); each class
       has its own gram length (:func:`gram_length`), so a short term does not
-      blunt the anchors of the long ones.
+      blunt the anchors of the long ones. One join on the gram's hash (and the scope) serves
+      all classes; the verification compares the terms themselves.
     * A term's anchor is its first gram. Text grams are joined with the anchors
-      while they still stand beside their chunk, and a match is verified there
-      with ``substring``: chunks carry ``max_len - 1`` extra characters, so a
-      term that starts in a chunk lies inside it and no text is joined again.
+      while they still stand beside their chunk, and a match is verified there:
+      up to ``MAX_GRAM`` code points by what the regex has captured, beyond by ``substring``. Chunks carry
+      ``max_len - 1`` extra characters, so a term that starts in a chunk lies inside it and no text
+      is joined again.
     * The anchors (one row per term) are broadcast if their count and length are
       under the limits; above them the same join shuffles by gram.
 
     Only verified positions leave the scan, reduced to the first per text and
     term before the shuffle.
     """
-    t = _distinct_terms(terms).withColumn("tlen", F.length("term")).withColumn("k", gram_length("term"))
-    t = materialize(t.withColumn("gram", F.expr("substring(term, 1, k)")), "anchors")
-    stats = {r["k"]: r for r in t.groupBy("k").agg(
-        F.count("*").alias("n"), F.sum("tlen").alias("chars"), F.max("tlen").alias("hi")).collect()}
+    scope = scope or []
+    t = _distinct_terms(terms, scope).withColumn("tlen", F.length("term")).withColumn("k", gram_length("term"))
+    t = materialize(t.select(*[F.col(c).alias(f"_s_{c}") for c in scope], "term", "tlen", "k",
+                             F.xxhash64(F.expr("substring(term, 1, k)")).alias("gram")), "anchors")
+    stats = t.groupBy("k").agg(F.count("*").alias("n"), F.sum("tlen").alias("chars"), F.max("tlen").alias("hi")).collect()
     fields = {f.name: f for f in texts.schema.fields}
     if not stats:
         empty = StructType([fields[c] for c in ids]
                            + [StructField("term", StringType()), StructField("start", LongType())])
         return texts.sparkSession.createDataFrame([], empty)
-    found = None
-    for k, s in sorted(stats.items()):
-        anchors = t.where(F.col("k") == k).select("gram", "term", "tlen")
-        if s["n"] <= BROADCAST_MAX_TERMS and s["chars"] <= BROADCAST_MAX_CHARS:
-            anchors = F.broadcast(anchors)
-        chunks = _chunks(texts, ids, text_col, chunk, s["hi"] - 1)
-        if k < 3:  # the gram is the term: a chunk's distinct grams are few, and its first place is enough
-            hit = _distinct_grams(chunks, ids, k, chunk).join(anchors, "gram")
-        else:
-            hit = _grams(chunks, ids, k, chunk).join(anchors, "gram").where(
-                F.expr("substring(chunk, j + 1, tlen)") == F.col("term"))
-        hit = hit.select(*ids, "term", (F.col("ci").cast("bigint") * chunk + F.col("j")).alias("pos"))
-        hit = hit.groupBy(*ids, "term").agg(F.min("pos").alias("start"))
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    anchors = t.drop("k")
+    if sum(s["n"] for s in stats) <= BROADCAST_MAX_TERMS and sum(s["chars"] for s in stats) <= BROADCAST_MAX_CHARS:
+        anchors = F.broadcast(anchors)
+    chunks = _chunks(texts, ids, text_col, chunk, max(MAX_GRAM, *[s["hi"] for s in stats]) - 1)
+    hit = _grams(chunks, ids, sorted(s["k"] for s in stats), chunk).alias("g")
+    on = F.col("g.gram") == F.col("a.gram")
+    for c in scope:
+        on = on & (F.col(f"g.{c}") == F.col(f"a._s_{c}"))
+    whole = F.when(F.col("tlen") <= MAX_GRAM, F.left("ahead", F.col("tlen")) == F.col("term")).otherwise(
+        F.expr("substring(chunk, j + 1, tlen)") == F.col("term"))
+    hit = hit.join(anchors.alias("a"), on).where(whole)
+    hit = hit.select(*[F.col(f"g.{c}") for c in ids], "term", (F.col("ci").cast("bigint") * chunk + F.col("j")).alias("pos"))
+    return hit.groupBy(*ids, "term").agg(F.min("pos").alias("start"))
 
 
 def term_hits(texts: DataFrame, ids: list[str], text_col: str, terms: DataFrame,
-              strategy: str = "ngram") -> DataFrame:
+              strategy: str = "ngram", scope: list[str] | None = None) -> DataFrame:
     """``ids..., term, start``: first occurrence (0-based code points) of every
     distinct non-empty ``terms.term`` inside every text that contains it.
 
-    A strategy that cannot run (term list over its limit, library missing) is
-    an error; none is replaced by another.
+    With ``scope``, columns that both sides have (among the ids of the texts), a term is
+    looked for only in texts of the same scope. A strategy that cannot run (term list
+    over its limit) is an error; none is replaced by another.
     """
-    if strategy not in ("automaton", "broadcast", "ngram"):
+    if strategy not in ("broadcast", "ngram"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    limits = {"broadcast": (BROADCAST_MAX_TERMS, BROADCAST_MAX_CHARS),
-              "automaton": (AUTOMATON_MAX_TERMS, AUTOMATON_MAX_CHARS)}
-    if strategy in limits:
+    if strategy == "broadcast":
         n, c = _terms_size(terms)
-        if n > limits[strategy][0] or c > limits[strategy][1]:
+        if n > BROADCAST_MAX_TERMS or c > BROADCAST_MAX_CHARS:
             raise ValueError(f"{n} terms of {c} characters are too many for {strategy!r}; use 'ngram'")
-    fn = {"broadcast": hits_broadcast, "automaton": hits_automaton, "ngram": hits_ngram}[strategy]
-    return fn(spread(texts), list(ids), text_col, terms)
+    fn = {"broadcast": hits_broadcast, "ngram": hits_ngram}[strategy]
+    return fn(spread(texts), list(ids), text_col, terms, scope)
 
 
-def _attach(hits: DataFrame, vocab: DataFrame, by_project: bool) -> DataFrame:
-    """Hits on distinct term text -> every vocabulary row holding that term."""
-    cols = ["term"] + (["project"] if by_project else [])
-    v = vocab.where(F.length("term") > 0).select(*cols, "key", "pos")
-    return hits.join(v, cols).select(*KEYS, "key", "pos", "term", "start")
+def _vocab_hits(docs: DataFrame, vocab: DataFrame, strategy: str) -> tuple[DataFrame, list[str]]:
+    """Hits of distinct terms in the texts of their project, and the columns that join them to vocabulary rows."""
+    scope = ["project"] if "project" in vocab.columns and "project" in docs.columns else []
+    hits = term_hits(docs.select(*KEYS, "query"), list(KEYS), "query", vocab, strategy, scope)
+    return hits, ["term", *scope]
 
 
 def containment_hits(docs: DataFrame, vocab: DataFrame, strategy: str = "ngram") -> DataFrame:
     """First occurrence of every vocabulary term in every text (see module doc).
 
-    Terms are matched as distinct strings, then attached to every vocabulary
-    row holding them in the text's project.
+    Terms are matched as distinct strings of a project, then attached to every vocabulary
+    row holding them there.
     """
-    by_project = "project" in vocab.columns and "project" in docs.columns
-    hits = term_hits(docs.select(*KEYS, "query"), list(KEYS), "query", vocab.select("term"),
-                     strategy)
-    return _attach(hits, vocab, by_project)
+    hits, cols = _vocab_hits(docs, vocab, strategy)
+    v = vocab.where(F.length("term") > 0).select(*cols, "key", "pos")
+    return hits.join(v, cols).select(*KEYS, "key", "pos", "term", "start")
 
 
 def term_labels(vocab: DataFrame, label_map: DataFrame | None) -> DataFrame:
@@ -261,25 +190,35 @@ def annotate_with_vocab(docs: DataFrame, vocab: DataFrame, label_map: DataFrame
     the order (start, longer first, label, pos) -- leftmost-longest wins and a
     span overlapping an accepted one is dropped. Returns flat spans.
 
-    In that order, and as no span is empty, a span overlaps an accepted one
-    exactly if it starts before the last accepted end: one number of state per
-    text, folded over the text's sorted hits after one shuffle.
+    A running max of the ends (an ordered scan) cuts a text's hits into islands that nothing
+    overlaps from outside. In that order, and as no span is empty, a span overlaps an accepted one
+    exactly if it starts before the last accepted end, so an island is folded with one number of state.
     """
-    by_project = "project" in vocab.columns and "project" in docs.columns
-    hits = term_hits(docs.select(*KEYS, "query"), list(KEYS), "query", vocab.select("term"), strategy)
-    cols = ["term"] + ["project"] * by_project
+    hits, cols = _vocab_hits(docs, vocab, strategy)
     labelled = term_labels(vocab.where(F.length("term") > 0), label_map).select(*cols, "key", "pos", "label")
-    props = hits.join(labelled, cols).select(*KEYS, F.struct(
-        F.col("start"), (-F.length("term")).alias("neg_len"), F.col("label"),
-        F.col("pos").cast("bigint").alias("pos"), F.col("key"), F.col("term").alias("text")).alias("p"))
-    one = props.groupBy(*KEYS).agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    props = materialize(hits.join(labelled, cols).select(
+        *KEYS, "start", (-F.length("term")).alias("neg_len"), "label", F.col("pos").cast("bigint").alias("pos"),
+        "key", F.col("term").alias("text")), "proposals")
+    order = ["start", "neg_len", "label", "pos", "key", "text"]
+    plan = OrderedScan(props, list(KEYS), order)
+    rows = plan.scan(plan.frame, [("before", "max_before", F.col("start") - F.col("neg_len"))])
+    rows = rows.withColumn("first", (F.col("start") >= F.coalesce("before", F.lit(0))).cast("int"))
+    if plan.skew_safe:  # a scan reads its input twice
+        rows = materialize(rows, "islands")
+    rows = plan.finish(plan.scan(rows, [("island", "sum_upto", F.col("first"))]))
+    one = rows.groupBy(*KEYS, "island").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("ps"))
     kept_type = "array<struct<start:bigint,neg_len:int,label:string,pos:bigint,key:string,text:string>>"
     kept = F.aggregate(
         "ps", F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast(kept_type).alias("out")),
         lambda a, x: F.when(x["start"] < a["end"], a).otherwise(F.struct(
             (x["start"] - x["neg_len"]).alias("end"), F.array_append(a["out"], x).alias("out"))),
         lambda a: a["out"])
-    return one.select(*KEYS, F.posexplode(kept).alias("ord", "x")).select(
-        *KEYS, F.col("ord").cast("bigint").alias("ord"), "x.text", "x.label", "x.start",
-        (F.col("x.start") - F.col("x.neg_len")).alias("end"),
+    kept = one.select(*KEYS, F.explode(kept).alias("x")).select(*KEYS, "x.*")
+    if plan.skew_safe:
+        kept = materialize(kept, "kept")
+    last = OrderedScan(kept, list(KEYS), ["start"], skew_safe=plan.skew_safe)
+    kept = last.finish(last.scan(last.frame, [("ord", "index", None)]))
+    return kept.select(
+        *KEYS, F.col("ord").cast("bigint").alias("ord"), "text", "label", "start",
+        (F.col("start") - F.col("neg_len")).alias("end"),
         F.create_map().cast("map<string,array<string>>").alias("mapped_value"))

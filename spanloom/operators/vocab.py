@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanloom.operators.ingest import position_within
 from spanloom.operators.match import term_hits
 from spanloom.schema import DEFAULT_LABELS
+from spanloom.session import materialize
 
 
 def has_vocab(projects: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -35,35 +36,34 @@ def find_mappings(mentions: DataFrame, vocab: DataFrame, strategy: str = "ngram"
     unknown keys give nothing. List order (``pos``) and duplicates are kept.
 
     No mention x term pairs are formed inside a key. Both directions are
-    substring-containment joins over distinct strings (:func:`term_hits`:
-    an automaton or n-gram blocking join): vocabulary terms found in each
-    distinct ``(project, key, text)``, and mention texts found in each
-    distinct ``(project, key, term)``. Their hits come back through
+    substring-containment joins over distinct strings inside ``(project, key)``
+    (:func:`term_hits`, an n-gram blocking join): vocabulary terms found in each
+    distinct mention text, and mention texts found in each
+    distinct term. The distinct strings and the pairs found are written once. Hits come back through
     equi-joins on ``(project, key, ...)``, so only real matches are joined. Empty
     strings, which match everything, are equi-joins on ``(project, key)``.
     """
     scope = ["project", "key"]
-    v = vocab.where(F.col("term").isNotNull()).select(*scope, "pos", "term")
-    m = mentions.select("project", "mention_id", "key", "text")
-    mt = m.where(F.length("text") > 0).select(*scope, "text").distinct()
-    vt = v.where(F.length("term") > 0).select(*scope, F.col("term").alias("vterm")).distinct()
-    # term inside text
-    a = (term_hits(mt, [*scope, "text"], "text", v.select("term"), strategy)
-         .select(*scope, "text", "term"))
-    # text inside term
-    b = (term_hits(vt, [*scope, "vterm"], "vterm", mt.select(F.col("text").alias("term")), strategy)
-         .select(*scope, F.col("term").alias("text"), F.col("vterm").alias("term")))
+    v = materialize(vocab.where(F.col("term").isNotNull()).select(*scope, "pos", "term"), "terms")
+    m = materialize(mentions.select("project", "mention_id", "key", "text"), "mentions")
+    mt = materialize(m.where(F.col("text").isNotNull()).select(*scope, "text").distinct(), "mention-texts")
+    vt = materialize(v.select(*scope, "term").distinct(), "distinct-terms")
+    # term inside text, text inside term
+    a = term_hits(mt.where("text <> ''"), [*scope, "text"], "text", vt, strategy, scope)
+    found = vt.where("term <> ''").withColumnRenamed("term", "vterm")
+    b = term_hits(found, [*scope, "vterm"], "vterm", mt.withColumnRenamed("text", "term"), strategy, scope)
     # '' is inside every string
-    e_text = m.where(F.col("text") == "").select(*scope, "text").distinct() \
-        .join(v.select(*scope, "term").distinct(), scope)
-    e_term = v.where(F.col("term") == "").select(*scope, "term").distinct() \
-        .join(m.where(F.col("text").isNotNull()).select(*scope, "text").distinct(), scope)
-    pairs = (a.unionByName(b).unionByName(e_text.select(*scope, "text", "term"))
-             .unionByName(e_term.select(*scope, "text", "term")).distinct())
+    e_text = mt.where("text = ''").join(vt, scope)
+    e_term = vt.where("term = ''").join(mt, scope)
+    pairs = a.select(*scope, "text", "term").unionByName(
+        b.select(*scope, F.col("term").alias("text"), F.col("vterm").alias("term")))
+    for e in (e_text, e_term):
+        pairs = pairs.unionByName(e.select(*scope, "text", "term"))
+    pairs = materialize(pairs.distinct(), "pairs")
     hit = (m.join(pairs, [*scope, "text"]).join(v, [*scope, "term"])
            .withColumn("matched", F.lit(True)))
-    missing = m.join(hit.select("project", "mention_id", "key").distinct(),
-                     ["project", "mention_id", "key"], "left_anti")
+    # A pair of strings is a hit of every mention with that text: terms of it are in the key.
+    missing = m.join(pairs.select(*scope, "text").distinct(), [*scope, "text"], "left_anti")
     fallback = missing.join(v, scope).withColumn("matched", F.lit(False))
     cols = ["project", "mention_id", "key", "text", "pos", "term", "matched"]
     return hit.select(cols).unionByName(fallback.select(cols))
