@@ -56,9 +56,11 @@ def test_line_rules(spark):
     for line, rule in lines.items():
         assert op.line_rule(line.encode(), line.encode().split()) == rule
     assert op.line_rule(good.encode(), good.encode().split()) is None
-    text = "\n".join([f"{good} {i}." for i in range(12)])
+    # Lines of different words: repeated ones would fall under the rule of repeated windows.
+    own = [" ".join(f"{w}{chr(97 + i)}" for w in good[:-1].split()) + "." for i in range(12)]
+    text = "\n".join(own)
     df = spark.createDataFrame([(1, text), (2, text + "\n" + "\n".join(lines)),
-                                (3, "\n".join(["Home | A | B | C | D | E | F | G"] * 3 + [good] * 8))],
+                                (3, "\n".join(["Home | A | B | C | D | E | F | G"] * 3 + own[:8]))],
                                "doc_id long, text string")
     got = {r["doc_id"]: r for r in op.quality_rules(df).collect()}
     assert got[1]["kept"] and got[1]["clean_text"] == text
