@@ -1,8 +1,10 @@
 """The permutation, and an exact round trip through the files."""
 
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import token_shards as op
@@ -55,3 +57,55 @@ def test_round_trip(spark, tiny_slices):
 
 def test_empty(spark):
     round_trip(spark, [(1, None, 1)], 16, 8)
+
+
+def test_tokens_of_units():
+    """Units encoded alone spell the encoding of the whole text."""
+    rnd = random.Random(5)
+    enc = tiktoken.Encoding("t", pat_str=op.PATTERN, mergeable_ranks=op.read_ranks(op.VOCABULARY), special_tokens={})
+    parts = ["a", "word", "don't", "É", "日本", "😀", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u00a0", "12", "...", "'s"]
+    known = op.Encoder(op.read_ranks(op.VOCABULARY))
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randint(0, 40))) for _ in range(500)]
+    texts += [None, "", " ", "\n", texts[0]]
+    runs, sizes = known.texts(pa.array(texts))
+    ids, end = runs.flat(), np.cumsum(sizes)
+    for t, a, b in zip(texts, end - sizes, end, strict=True):
+        assert ids[a:b].tolist() == enc.encode_ordinary(t or "")
+
+
+def test_store_against_plain_packing(spark, tiny_slices):
+    """The stored shards, byte for byte, from a loop over the rows in their order; the manifest opens them."""
+    rows = [(i, f"text {i} of a few words " * (i % 9)) for i in range(60)] + [(None, "no id"), (7, None)]
+    df = materialize(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "in")
+    root = scratch_path(spark, "shards")
+    _, index = op.store(df, root, seq_len=8, per_shard=16, key=99)
+    layout = op.load_layout(root)
+    enc = tiktoken.Encoding("t", pat_str=op.PATTERN, mergeable_ranks=op.read_ranks(op.VOCABULARY), special_tokens={})
+    flat, owner = [], []
+    for doc, text in [tuple(r) for r in df.collect()]:
+        if text:
+            ids = [*enc.encode_ordinary(text), layout.end_token]
+            flat += ids
+            owner += [doc] * len(ids)
+    n = -(-len(flat) // 8)
+    real = len(flat)
+    flat += [layout.end_token] * (8 * n - len(flat))
+    slots = op.permute(np.arange(n), n, 99).tolist()
+    want = {slots[k]: flat[8 * k:8 * k + 8] for k in range(n)}
+    assert layout.n_sequences == n
+    assert [q.tolist() for q in op.read_sequences(layout, 0, n)] == [want[s] for s in range(n)]
+    got = {r["slot"]: r for r in index.collect()}
+    for k in range(n):
+        r = got[slots[k]]
+        inside = list(dict.fromkeys(owner[8 * k:8 * k + 8]))
+        assert (r["doc_ids"], r["n_tokens"], r["shard"]) == (inside, min(8, real - 8 * k), slots[k] // 16)
+
+
+def test_query_leaves_a_readable_store(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op, "scratch_path", lambda s, name: seen.append(scratch_path(s, name)) or seen[-1])
+    rows = op.query(spark, "/root/testdata/sf0.001")
+    layout = op.load_layout(seen[0])
+    assert layout.n_sequences == rows.count() > 0
+    crc = {r["slot"]: r["crc32"] for r in rows.select("slot", "crc32").collect()}
+    assert [zlib.crc32(q.tobytes()) for q in op.read_sequences(layout, 0, 50)] == [crc[s] for s in range(50)]
