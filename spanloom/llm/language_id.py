@@ -46,7 +46,6 @@ MAX_LANGS = 10_000
 BLOCK_CHARS = 150_000
 
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def words_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -166,7 +165,7 @@ class LanguageModel:
         logs = self.text_logs(texts) if self.langs else np.zeros((len(texts), 1))
         top = logs.argmax(axis=1)
         score = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-        known = [bool(self.langs) and _LETTER.search(t or "") is not None for t in texts]
+        known = [bool(self.langs) and any(map(str.isalpha, t or "")) for t in texts]
         return ([self.langs[i] if k else "und" for i, k in zip(top, known, strict=True)],
                 np.where(known, score, 0.0))
 
@@ -199,7 +198,7 @@ def fit(fst: Transducer, texts: list[str], langs: list[str]) -> LanguageModel:
 
 
 def training_rows(docs: DataFrame, rows_per_lang: int) -> DataFrame:
-    """About ``rows_per_lang`` texts of each language, those with the smallest hashed ids."""
+    """About ``rows_per_lang`` texts of each language, those with the smallest hashes of id and text."""
     d = docs.select("doc_id", "text", "lang").where(
         "doc_id is not null and lang is not null and text is not null")
     d = d.where(~common.held_out(F.col("doc_id")))
@@ -208,7 +207,7 @@ def training_rows(docs: DataFrame, rows_per_lang: int) -> DataFrame:
     share = materialize(share, "languages")
     if share.count() <= MAX_LANGS:  # one row per language; beyond it the join shuffles the texts
         share = F.broadcast(share)
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     return (d.join(share, F.col("lang") == F.col("_lang")).where(u < F.col("share"))
             .select("text", "lang").orderBy("lang", "text"))
 

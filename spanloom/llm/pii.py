@@ -4,8 +4,8 @@ Base spans are regular expressions per kind (email, ip, card, phone) with a
 check of each match. Positions come from the lengths of the pieces between
 matches, so no row leaves the JVM.
 
-The bootstrap starts from the base spans as seed entities. The word to the
-left or right of a seed is a lexical pattern for its kind; a pattern needs
+The bootstrap starts from the base spans as seed entities. The nearest word to the
+left or right of a seed (a run of letters, up to the next match of the kind) is a lexical pattern for its kind; a pattern needs
 ``MIN_SEEDS`` different seeds. Candidates are other identifier-like tokens:
 letters and digits of ASCII, joined by any of ``_+-`` and single dots, with a
 digit, of ``MIN_CANDIDATE`` characters or more. They end on a letter or digit, so
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import common
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -56,20 +57,15 @@ CANDIDATE = (rf"(?:(?<![{_RUN}])(?=[\p{{L}}_.+@-]*+[0-9])|\G){_LEAD}"
              rf"(?:[_+]*+[A-Za-z0-9]++(?!\p{{L}})(?:{_JOINT}[A-Za-z0-9]++(?!\p{{L}}))*+(?!_*+[@\p{{L}}])"
              rf"|[A-Za-z0-9_.+-]*+@[{_RUN}]*+|[_+]*+[\p{{L}}0-9]++)")
 MIN_CANDIDATE = 5
-#: Characters beside an entity in which its context word is looked for.
-CONTEXT = 40
 MIN_SEEDS = 3
 MIN_SCORE = 0.8
 ROUNDS = 3
-#: Rows of a derived table up to which it is broadcast (under 100 bytes each).
-BROADCAST_ROWS = 500_000
 
-_SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
-_ASCII = "".join(chr(c) for c in range(128) if not chr(c).isalpha())
+_SPAN = "array<struct<kind:string,start:int,end:int,value:string,ctx:struct<L:string,R:string>>>"
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def no_context() -> Column:
+    return F.struct(F.lit("").alias("L"), F.lit("").alias("R")).alias("ctx")
 
 
 def luhn(digits: Column) -> Column:
@@ -105,15 +101,30 @@ def is_kind(kind: str):
 
 
 def matches(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """Every match (that ``keep`` accepts) with its place in code points, as an array of spans."""
+    """Every match (that ``keep`` accepts) with its place in code points, as an array of spans.
+
+    ``ctx`` has the nearest word on either side, in the text up to the next match that counts there.
+    """
     def added(out: Column, span: Column, m: Column) -> Column:
         more = F.array_append(out, span)
         return more if keep is None else F.when(keep(m), more).otherwise(out)
 
+    def words(piece: Column) -> Column:
+        """What a neighbouring match adds to the context: a rejected one is text like any other."""
+        return F.lit("") if keep is None else F.when(keep(piece), "").otherwise(piece)
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
-                       lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
+    n = F.size(found)
+    none = F.array(F.lit(""))
+    before = F.zip_with(F.concat(none, found), F.slice(gaps, F.lit(1), n), lambda m, g: F.struct(
+        F.length(g).alias("gap"), F.concat(words(m), g).alias("text")))
+    after = F.zip_with(F.slice(gaps, F.lit(2), n), F.concat(F.slice(found, F.lit(2), n), none),
+                       lambda g, m: F.concat(g, words(m)))
+    pairs = F.zip_with(F.slice(before, F.lit(1), n), found, lambda x, m: F.struct(
+        x["gap"].alias("gap"), x["text"].alias("before"), m.alias("m")))
+    pairs = F.zip_with(pairs, F.slice(after, F.lit(1), n), lambda p, g: F.struct(
+        p["gap"].alias("gap"), p["before"].alias("before"), p["m"].alias("m"), g.alias("after")))
     step = F.aggregate(
         pairs, F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out")),
         lambda a, x: F.struct(
@@ -121,7 +132,10 @@ def matches(text: Column, pattern: str, kind: str, keep=None) -> Column:
             added(a["out"], F.struct(
                 F.lit(kind).alias("kind"), (a["pos"] + x["gap"]).alias("start"),
                 (a["pos"] + x["gap"] + F.length(x["m"])).alias("end"),
-                x["m"].alias("value")), x["m"]).alias("out")),
+                x["m"].alias("value"), F.struct(
+                    F.lower(F.regexp_extract(x["before"], r"(\p{L}++)\P{L}*+$", 1)).alias("L"),
+                    F.lower(F.regexp_extract(x["after"], r"^\P{L}*+(\p{L}++)", 1)).alias("R")).alias("ctx")),
+                x["m"]).alias("out")),
         lambda a: a["out"])
     return step
 
@@ -141,7 +155,7 @@ def candidates(text: Column) -> Column:
     def trimmed(s: Column) -> Column:
         lead = F.length(F.regexp_extract(s["value"], f"^{_LEAD}", 0))
         return F.struct(s["kind"].alias("kind"), (s["start"] + lead).alias("start"), s["end"].alias("end"),
-                        s["value"].substr(lead + 1, F.length(s["value"])).alias("value"))
+                        s["value"].substr(lead + 1, F.length(s["value"])).alias("value"), s["ctx"].alias("ctx"))
 
     pieces = matches(text, CANDIDATE, "", lambda m: m.rlike("[0-9]") & ~m.rlike("[^A-Za-z0-9_.+-]"))
     found = F.filter(F.transform(pieces, trimmed), lambda s: F.length(s["value"]) >= MIN_CANDIDATE)
@@ -163,15 +177,6 @@ def listed(spans: Column) -> Column:
         ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _beside(text: Column, span: Column) -> Column:
-    left = text.substr(F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1,
-                       F.least(span["start"], F.lit(CONTEXT)))
-    right = text.substr(span["end"] + 1, F.lit(CONTEXT))
-    return F.struct(
-        F.lower(F.regexp_extract(left, r"(\p{L}++)\P{L}*+$", 1)).alias("L"),
-        F.lower(F.regexp_extract(right, r"^\P{L}*+(\p{L}++)", 1)).alias("R"))
-
-
 def first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Written once per input row: rid, doc, text_hash, base, cand (each with its context words)."""
     d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"),
@@ -181,11 +186,7 @@ def first_pass(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     clear = F.filter("cand", lambda c: ~F.exists(
         "base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return materialize(d.select(
-        F.monotonically_increasing_id().alias("rid"), "doc", "text_hash",
-        *[F.transform(spans, lambda s: F.struct(
-            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-            s["value"].alias("value"), _beside(F.col("t"), s).alias("ctx"))).alias(name)
-          for name, spans in (("base", F.col("base")), ("cand", clear))]), "pii-found")
+        F.monotonically_increasing_id().alias("rid"), "doc", "text_hash", "base", clear.alias("cand")), "pii-found")
 
 
 def _edges(found: DataFrame, column: str) -> DataFrame:
@@ -199,10 +200,10 @@ def _edges(found: DataFrame, column: str) -> DataFrame:
 
 
 def word_totals(docs: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
-    """Occurrences in all texts of the given words (column ``word``)."""
-    spaced = F.translate(F.lower(F.coalesce(F.col(text_col), F.lit(""))), _ASCII, " " * len(_ASCII))
-    each = docs.select(F.explode(F.split(spaced, " ")).alias("word"))
-    return each.join(_small(words), "word").groupBy("word").agg(F.count("*").alias("total"))
+    """Occurrences in all texts of the given words (column ``word``), cut as context words are: runs of letters."""
+    cut = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\P{L}+")
+    each = docs.select(F.explode(cut).alias("word")).select(F.lower("word").alias("word"))
+    return each.join(common.small(words), "word").groupBy("word").agg(F.count("*").alias("total"))
 
 
 def discovered(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame | None:
@@ -249,12 +250,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return base.withColumn("spans", F.col("base"))
     more = (found.select("rid", F.explode("cand").alias("c"))
             .select("rid", "c.start", "c.end", F.col("c.value").alias("value"))
-            .join(_small(values), "value").groupBy("rid").agg(
-                F.collect_list(F.struct("kind", "start", "end", "value")).alias("more")))
+            .join(common.small(values), "value").groupBy("rid").agg(
+                F.collect_list(F.struct("kind", "start", "end", "value", no_context())).alias("more")))
     out = base.join(more, "rid", "left")
     both = F.concat(
         F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"),
-                                               x["end"].alias("end"), F.lit("").alias("value"))),
+                                               x["end"].alias("end"), F.lit("").alias("value"), no_context())),
         F.coalesce(F.col("more"), F.array().cast(_SPAN)))
     return out.select("rid", "doc", "text_hash", "base", ordered(both).alias("spans"))
 
@@ -276,10 +277,12 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spans = find(docs, id_col, text_col).where(F.size("spans") > 0)
     spans = materialize(spans.groupBy("doc", "text_hash").agg(F.first("spans").alias("_spans")),
                         "pii-spans")
-    spans = _small(spans.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"}))
-    d = docs.join(spans, docs[id_col].eqNullSafe(spans["_doc"])
-                  & (F.xxhash64(docs[text_col]) == spans["_hash"]), "left")
-    t = F.col(text_col)
+    spans = common.small(spans.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"}))
+    # The row as one value: no column of it can clash with the spans'.
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    d = row.join(spans, F.col("_row").getField(id_col).eqNullSafe(spans["_doc"])
+                 & (F.xxhash64(F.col("_row").getField(text_col)) == spans["_hash"]), "left")
+    t = F.col("_row").getField(text_col)
     done = F.aggregate(
         "_spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
         lambda a, x: F.struct(
@@ -289,7 +292,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 F.lit("<"), F.upper(x["kind"]), F.lit(">"))).alias("out")),
         lambda a: F.concat(a["out"], t.substr(a["pos"] + 1, F.length(t))))
     masked = F.when(F.col("_spans").isNull(), t).otherwise(done)
-    return d.select(*[masked.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return d.select(*[masked.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

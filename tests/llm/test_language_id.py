@@ -49,17 +49,17 @@ def test_forward_and_expected_counts(fst):
 def test_held_out_accuracy_and_edges(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame(
-        [(10_001, None, "en"), (10_002, "", "en"), (10_003, "123 ?!", None), (10_004, "Ünß", None),
+        [(10_001, None, "en"), (10_002, "", "en"), (10_003, "123 ?!", None), (10_006, "² ½ Ⅷ 12", None), (10_004, "Ünß", None),
          (None, "the thing", "de"), (10_005, "x" * 30_000, None), (10_005, "x" * 30_000, None)],
         "doc_id long, text string, lang string")
     out = op.language_id(docs.unionByName(odd).withColumn("score", docs["doc_id"] * 0)).collect()
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
     held = [r for r in out if r["held_out"] and r["doc_id"] in lang]
-    assert len(out) == 1007
+    assert len(out) == 1008
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in held)
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.97
     by = {r["doc_id"]: r for r in out}
-    for i in (10_001, 10_002, 10_003):
+    for i in (10_001, 10_002, 10_003, 10_006):
         assert (by[i]["lang_pred"], by[i]["score"]) == ("und", 0.0)
     assert by[10_004]["lang_pred"] != "und" and all(0 <= r["score"] <= 1 for r in out)
 

@@ -111,3 +111,34 @@ def test_no_python_in_the_plan(spark):
     for out in (pii.pii(df), pii.mask(df)):
         plan = out._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_words_beside_other_marks_are_counted(spark):
+    """Typographic marks, dashes and no-break spaces beside a word: a pattern's total covers all its places."""
+    for word in ("«ticket»", "“ticket”", "—ticket—", "\u00a0ticket\u00a0", "ticket"):
+        rows = [(i, f"see {word} user{i}@mail{i}.org today") for i in range(4)]
+        rows += [(100 + i, f"see {word} AB-{i}1234 today") for i in range(40)]
+        got = pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(r["n_email"] for r in got) == 4 and sum(r["n_added"] for r in got) == 0
+
+
+def test_long_context_words_are_whole(spark):
+    """A word of any length beside an entity, at any distance, is one pattern word."""
+    word = "abcdefghij" * 12
+    rows = [(i, f"{word}:{' ' * 60}user{i}@mail{i}.org") for i in range(6)]
+    rows += [(100 + i, f"{word}{' ' * 60}ref{i}-99") for i in range(3)]
+    found = pii.first_pass(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert {r["word"] for r in pii._edges(found, "base").collect()} == {word}
+    assert {r["word"] for r in pii._edges(found, "cand").collect()} == {word}
+    totals = pii.word_totals(spark.createDataFrame(rows, "doc_id long, text string"), "text",
+                            spark.createDataFrame([(word,)], "word string")).collect()
+    assert [r["total"] for r in totals] == [9]
+
+
+def test_mask_with_clashing_columns(spark):
+    rows = [(1, "mail a@b.org now", [1], "x", 5), (2, None, None, "y", 6), (None, "+49 30 1234567 call", [2], "z", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _spans array<int>, _doc string, _row int")
+    got = pii.mask(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, "mail <EMAIL> now", [1], "x", 5), (2, None, None, "y", 6), (None, "<PHONE> call", [2], "z", 7)], key=str)
