@@ -5,11 +5,12 @@ applied in ``seq`` order, one row at a time; rows are independent. The log is
 hash-partitioned by row and sorted by (row, seq) inside each partition, and a
 ``mapInArrow`` pass walks it once. Memory holds one row's current list, never
 the row's whole edit history, so a row with a huge log streams through.
-Repeated ``(project, doc_id, seq)`` entries are applied once. An edit without
+Of edits with one ``(project, doc_id, seq)`` the first by content is applied, however
+they arrive. An edit without
 ``seq`` has no place in the order: it is not applied (outcome ``no_seq``; the
 stream drops it). Rows travel as Arrow batches, so integers stay exact and
-NULL keys stay NULL. The row's list
-keeps a bin index (:class:`SpanList`), so an ``add`` tests only spans near it.
+NULL keys stay NULL. The row's list is a :class:`~spanloom.operators.spanlist.SpanList`:
+ordinals are found in log time and an ``add`` tests only spans near it.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.spanlist import CONTENT, SpanList, apply_edit
 from spanloom.schema import MAPPING_TYPE
 from spanloom.session import materialize
 
 KEYS = ("project", "doc_id")
 
-OPS = ("add", "remove", "update", "set_mapping")
-
 REPLAY_FIELDS = pa.schema([
     ("kind", pa.string()), ("project", pa.string()), ("doc_id", pa.int64()), ("seq", pa.int64()),
     ("op", pa.string()), ("outcome", pa.string()), ("ord", pa.int64()), ("text", pa.string()),
@@ -36,125 +36,6 @@ REPLAY_OUT = ("kind string, project string, doc_id bigint, seq bigint, op string
               "`end` bigint, mapping string")
 
 
-# Bin width of the overlap index (code points) and the bins a span may cover, as
-# in ``spans.overlap_pairs``.
-BIN = 64
-MAX_BINS = 1024
-
-
-class SpanList:
-    """A row's annotation list in ordinal order, with a bin index for overlap tests.
-
-    Each span is indexed under the fixed-width bins it covers (an empty or
-    inverted span: the bin of its start). An added span is tested only
-    against spans sharing one of its bins, so a long row costs the local
-    density per add, not the row length. A span over more than ``MAX_BINS``
-    bins is kept aside and tested by every add; adding such a span tests the
-    whole list. A span without offsets is not indexed and overlaps nothing.
-    """
-
-    def __init__(self, anns: list | None = None):
-        self.anns: list = []
-        self._ids: list = []
-        self._bins: dict = {}
-        self._span: dict = {}
-        self._long: set = set()
-        self._next = 0
-        for a in anns or []:
-            self.append(a)
-
-    def __len__(self) -> int:
-        return len(self.anns)
-
-    @staticmethod
-    def _range(s, e):
-        """Bins of a span, or None for a long one."""
-        if s is None or e is None:
-            return range(0)
-        first, last = s // BIN, max(e - 1, s) // BIN
-        return range(first, last + 1) if last - first < MAX_BINS else None
-
-    def _index(self, i, s, e):
-        self._span[i] = (s, e)
-        bins = self._range(s, e)
-        if bins is None:
-            self._long.add(i)
-        for b in bins or ():
-            self._bins.setdefault(b, set()).add(i)
-
-    def _unindex(self, i):
-        s, e = self._span.pop(i)
-        self._long.discard(i)
-        for b in self._range(s, e) or ():
-            ids = self._bins[b]
-            ids.discard(i)
-            if not ids:
-                del self._bins[b]
-
-    def _meets(self, i, s, e):
-        a_s, a_e = self._span[i]
-        return a_s is not None and a_e is not None and not (e <= a_s or s >= a_e)
-
-    def overlaps_any(self, s: int, e: int) -> bool:
-        """``not (e <= a.start or s >= a.end)`` for some span ``a`` of the list."""
-        bins = self._range(s, e)
-        if bins is None:
-            return any(self._meets(i, s, e) for i in self._span)
-        return (any(self._meets(i, s, e) for i in self._long)
-                or any(self._meets(i, s, e) for b in bins for i in self._bins.get(b, ())))
-
-    def append(self, a: dict) -> None:
-        i, self._next = self._next, self._next + 1
-        self.anns.append(a)
-        self._ids.append(i)
-        self._index(i, a["start"], a["end"])
-
-    def pop(self, k: int) -> None:
-        self.anns.pop(k)
-        self._unindex(self._ids.pop(k))
-
-    def replace(self, k: int, a: dict) -> None:
-        self._unindex(self._ids[k])
-        i, self._next = self._next, self._next + 1
-        self._ids[k] = i
-        self.anns[k] = a
-        self._index(i, a["start"], a["end"])
-
-
-def apply_edit(spans: SpanList, e: dict) -> str:
-    """Apply one edit to a row's list in place; return the outcome."""
-    op = e.get("op")
-    ordv = e.get("ord")
-    if op == "add":
-        s, t = e.get("start"), e.get("end")
-        if s is None or t is None:
-            return "bad_offset"
-        if spans.overlaps_any(s, t):
-            return "overlap"
-        spans.append({"text": e.get("text"), "label": e.get("label"),
-                      "start": s, "end": t, "mapped_value": {}})
-        return "accepted"
-    if ordv is None or not 0 <= ordv < len(spans):
-        return "out_of_range" if op in OPS else "unknown_op"
-    if op == "remove":
-        spans.pop(ordv)
-        return "accepted"
-    if op == "update":
-        s, t = e.get("start"), e.get("end")
-        spans.replace(ordv, {"text": e.get("text"), "label": e.get("label"),
-                             "start": s, "end": t, "mapped_value": {}})
-        return "accepted"
-    if op == "set_mapping":
-        cat = e.get("category")
-        vals = list(e.get("values") or [])
-        m = spans.anns[ordv]["mapped_value"]
-        if m.get(cat, []) == vals:
-            return "unchanged"
-        m[cat] = vals
-        return "accepted"
-    return "unknown_op"
-
-
 def _span_rows(project, doc_id, anns):
     for i, a in enumerate(anns):
         yield {"kind": "span", "project": project, "doc_id": doc_id, "seq": None, "op": None,
@@ -164,7 +45,7 @@ def _span_rows(project, doc_id, anns):
 
 
 def _replay_partition(batches):
-    """Rows arrive sorted by (project, doc_id, phase, seq)."""
+    """Rows arrive sorted by (project, doc_id, phase, seq, content)."""
     cur = None
     spans = SpanList()
     last_seq = None
@@ -221,7 +102,7 @@ def replay(edits: DataFrame, initial: DataFrame | None = None,
     """
     log = _log(edits, initial)
     dealt = log.repartition(partitions, *KEYS) if partitions else log.repartition(*KEYS)
-    ordered = dealt.sortWithinPartitions(*KEYS, "phase", "seq")
+    ordered = dealt.sortWithinPartitions(*KEYS, "phase", "seq", *CONTENT)
     return ordered.mapInArrow(_replay_partition, REPLAY_OUT)
 
 

@@ -1,95 +1,144 @@
 """Incremental edit replay over a stream (B10) and live progress (M6).
 
 The edit log arrives as a stream; files or partitions may arrive out of
-order and may be replayed. Per row (``project, doc_id``) the state holds the
-current annotation list, the next ``seq`` to apply and a buffer of edits that
+order and may be replayed. Per row (``project, doc_id``) keyed state holds the
+current annotation list, the next ``seq`` to apply and the edits that
 arrived early; ``seq`` must be dense per row (0, 1, 2, ...). An edit is
 applied only when every earlier one has been, so the final list equals the
 batch :func:`spanloom.operators.edits.replay_edits` for any arrival order and
 any split into micro-batches. ``seq`` below ``next_seq`` is a duplicate and is
-dropped.
+dropped; of different edits with one ``seq`` the first by content is applied, among those that
+have arrived by then.
+
+The state is kept by ``transformWithState``: a value (counts, ``next_seq``) and maps
+of list pages, rank nodes, bins and early edits
+(:class:`~spanloom.operators.spanlist.SpanList` over views of them). A micro-batch
+reads and writes the entries that its edits touch, never the whole list. It needs
+the RocksDB state store, which :func:`run_replay_stream` sets for its query.
 
 Each micro-batch emits, for every row it touched, a small snapshot:
-``next_seq``, span and mapped-span counts and the number of buffered edits
+``next_seq``, span and mapped-span counts and the number of early edits
 (not the list). Snapshots are appended by ``foreachBatch`` (Parquet has no
 upsert); readers take the snapshot with the largest ``next_seq`` per row, so
 a replayed batch is harmless. The lists themselves are read from the
 query's committed state with Spark's state data source
-(:func:`state_spans`), so a long list is not rewritten to the sink on every
-micro-batch. State is one entry per row with no expiry (the model has no
-event time); use the RocksDB state store for large stores.
+(:func:`state_spans`). State does not expire (the model has no event time).
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator, MutableMapping
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
-from spanloom.operators.edits import SpanList, apply_edit
 from spanloom.operators.ingest import position_within
+from spanloom.operators.spanlist import SpanList, apply_edit, content
 from spanloom.schema import ANNOTATIONS_DDL
 
 KEYS = ("project", "doc_id")
 
-NUMBERS = ("seq", "ord", "start", "end")
 EDIT_COLS = ("seq", "op", "ord", "text", "label", "start", "end", "category", "values")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 SNAPSHOT = ("project string, doc_id bigint, next_seq bigint, pending bigint, n_spans bigint, "
             "n_mapped bigint")
-STATE = "anns string, next_seq bigint, buffer string"
-
-
-def _mapped(a: dict) -> bool:
-    m = a.get("mapped_value")
-    return isinstance(m, dict) and any(bool(v) for v in m.values())
-
-
-def _edit_dict(r: dict) -> dict:
-    """An edit with plain Python values; numbers arrive as text, so none is rounded."""
-    e = {c: None if c != "values" and pd.isna(r.get(c)) else r.get(c) for c in EDIT_COLS}
-    values = e["values"]
-    e["values"] = [] if values is None else list(values)
-    for c in NUMBERS:
-        e[c] = None if e[c] is None else int(e[c])
-    return e
-
-
-def _step(key, batches, state):
-    """applyInPandasWithState function: one call per row per micro-batch."""
-    if state.exists:
-        anns_json, next_seq, buf_json = state.get
-        anns = json.loads(anns_json)
-        buffer = {int(k): v for k, v in json.loads(buf_json).items()}
-    else:
-        anns, next_seq, buffer = [], 0, {}
-    for pdf in batches:
-        for r in pdf.to_dict("records"):
-            e = _edit_dict(r)
-            s = e["seq"]
-            if s is None or s < next_seq or s in buffer:
-                continue  # duplicate delivery
-            buffer[s] = e
-    spans = SpanList(anns)
-    while next_seq in buffer:
-        apply_edit(spans, buffer.pop(next_seq))
-        next_seq += 1
-    anns = spans.anns
-    state.update((json.dumps(anns, ensure_ascii=False), next_seq,
-                  json.dumps({str(k): v for k, v in buffer.items()}, ensure_ascii=False)))
-    yield pd.DataFrame([{
-        "project": key[0], "doc_id": None if key[1] is None else int(key[1]), "next_seq": next_seq, "pending": len(buffer),
-        "n_spans": len(anns), "n_mapped": sum(1 for a in anns if _mapped(a))}])
+
+
+class Touched(MutableMapping):
+    """A map state whose entries are read once and written back, if changed, by ``flush``."""
+
+    def __init__(self, state, numbers: bool = False):
+        self.state, self.numbers = state, numbers
+        self.seen: dict = {}
+        self.changed: set = set()
+
+    def __getitem__(self, key):
+        if key not in self.seen:
+            found = self.state.getValue((key,))
+            value = None if found is None else found[0]
+            self.seen[key] = value if value is None or self.numbers else json.loads(value)
+        if self.seen[key] is None:
+            raise KeyError(key)
+        return self.seen[key]
+
+    def __setitem__(self, key, value):
+        self.seen[key] = value
+        self.changed.add(key)
+
+    def __delitem__(self, key):
+        self.__setitem__(key, None)
+
+    def __iter__(self):
+        raise TypeError("the state is not read as a whole")
+
+    __len__ = __iter__
+
+    def flush(self) -> None:
+        for key in sorted(self.changed):
+            value = self.seen[key]
+            if value is None:
+                self.state.removeKey((key,))
+            else:
+                self.state.updateValue((key,), (value if self.numbers else json.dumps(value, ensure_ascii=False),))
+
+
+class ReplayProcessor(StatefulProcessor):
+    """Applies a row's edits in ``seq`` order to its list in keyed state."""
+
+    def init(self, handle) -> None:
+        self.head = handle.getValueState(
+            "head", "next_seq bigint, n_pages bigint, n_spans bigint, n_mapped bigint, pending bigint")
+        self.pages = handle.getMapState("pages", "page bigint", "anns string")
+        self.ranks = handle.getMapState("ranks", "node bigint", "n bigint")
+        self.bins = handle.getMapState("bins", "bin bigint", "spans string")
+        self.early = handle.getMapState("early", "seq bigint", "edit string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        next_seq, n_pages, n, mapped, pending = self.head.get() if self.head.exists() else (0, 0, 0, 0, 0)
+        arrived: dict[int, dict] = {}
+        for r in rows:
+            e = {c: r[c] for c in EDIT_COLS}
+            e["values"] = None if e["values"] is None else list(e["values"])
+            seq = e["seq"]
+            if seq is None or seq < next_seq:
+                continue  # no place in the order; delivered again
+            if seq not in arrived or content(e) < content(arrived[seq]):
+                arrived[seq] = e
+        early, pages, ranks, bins = (Touched(self.early), Touched(self.pages),
+                                     Touched(self.ranks, numbers=True), Touched(self.bins))
+        spans = SpanList(None, pages, ranks, bins, n_pages, n, mapped)
+        while next_seq in arrived or pending:
+            e, stored = arrived.pop(next_seq, None), early.get(next_seq) if pending else None
+            if stored is not None:
+                del early[next_seq]
+                pending -= 1
+                e = stored if e is None or content(stored) < content(e) else e
+            if e is None:
+                break
+            apply_edit(spans, e)
+            next_seq += 1
+        for seq, e in arrived.items():
+            stored = early.get(seq) if pending else None
+            if stored is None or content(e) < content(stored):
+                pending += stored is None
+                early[seq] = e
+        for state in (early, pages, ranks, bins):
+            state.flush()
+        self.head.update((next_seq, spans.ranks.pages, len(spans), spans.mapped, pending))
+        yield Row(project=key[0], doc_id=key[1], next_seq=next_seq, pending=pending, n_spans=len(spans),
+                  n_mapped=spans.mapped)
+
+    def close(self) -> None:
+        pass
 
 
 def replay_edits_stream(edits: DataFrame) -> DataFrame:
-    """Streaming DataFrame of per-row snapshots (see module doc)."""
-    cols = [F.col(c).cast("string").alias(c) if c in NUMBERS else F.col(c) for c in (*KEYS, *EDIT_COLS)]
-    return edits.select(*cols).groupBy(*KEYS).applyInPandasWithState(
-        _step, SNAPSHOT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """Streaming DataFrame of per-row snapshots (see module doc); the session needs the RocksDB state store."""
+    return edits.select(*KEYS, *EDIT_COLS).groupBy(*KEYS).transformWithState(
+        ReplayProcessor(), SNAPSHOT, "update", "none")
 
 
 def dense_seq(edits: DataFrame) -> DataFrame:
@@ -109,15 +158,18 @@ def latest_snapshots(snapshots: DataFrame) -> DataFrame:
 def state_spans(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Flat spans of every row from the stream's committed state (latest batch).
 
-    Reads the state store of the replay query through the ``statestore``
-    data source: one entry per row, its list as JSON.
+    Reads the pages of the replay query's state through the ``statestore`` data source; a
+    span's ordinal is its place in its page behind the sizes of the pages before.
     """
-    st = spark.read.format("statestore").load(checkpoint)
-    nested = st.select(F.col("key.project").alias("project"), F.col("key.doc_id").alias("doc_id"),
-                       F.from_json("value.groupState.anns", ANNOTATIONS_DDL).alias("anns"))
-    return (nested.select(*KEYS, F.posexplode("anns").alias("ord", "a"))
-            .select(*KEYS, F.col("ord").cast("bigint"), "a.text", "a.label", "a.start", "a.end",
-                    "a.mapped_value"))
+    pages = (spark.read.format("statestore").option("stateVarName", "pages").load(checkpoint)
+             .select(F.col("key.project").alias("project"), F.col("key.doc_id").alias("doc_id"),
+                     F.col("user_map_key.page").alias("page"),
+                     F.from_json("user_map_value.anns", ANNOTATIONS_DDL).alias("anns")))
+    earlier = Window.partitionBy(*KEYS).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.withColumn("first", F.coalesce(F.sum(F.size("anns")).over(earlier), F.lit(0)))
+    return (pages.select(*KEYS, "first", F.posexplode("anns").alias("at", "a"))
+            .select(*KEYS, (F.col("first") + F.col("at")).cast("bigint").alias("ord"), "a.text", "a.label",
+                    "a.start", "a.end", "a.mapped_value"))
 
 
 def progress_from_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -144,7 +196,16 @@ def run_replay_stream(spark: SparkSession, source_path: str, schema: str, sink_p
     def sink(batch: DataFrame, epoch_id: int) -> None:
         batch.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(sink_path)
 
-    q = (replay_edits_stream(stream).writeStream.outputMode("update")
-         .option("checkpointLocation", checkpoint).foreachBatch(sink)
-         .trigger(availableNow=True).start())
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        q = (replay_edits_stream(stream).writeStream.outputMode("update")
+             .option("checkpointLocation", checkpoint).foreachBatch(sink)
+             .trigger(availableNow=True).start())
+    finally:  # the query has its own copy of the session's settings
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
     q.awaitTermination()
