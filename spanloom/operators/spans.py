@@ -347,14 +347,14 @@ def remove_span(spans: DataFrame, requests: DataFrame) -> DataFrame:
     Any number of requests per row; a repeated one counts once and an ordinal
     out of range is a no-op. Dependent edits go through ``replay_edits``.
     """
-    req = requests.select(*KEYS, F.col("ord").cast("bigint").alias("ord")).distinct()
-    req = req.join(spans.select(*KEYS, "ord"), [*KEYS, "ord"], "left_semi")
-    gone = req.groupBy(*KEYS).agg(F.collect_list("ord").alias("_gone"))
-    j = spans.join(gone, list(KEYS), "left")
-    before = F.size(F.filter("_gone", lambda o: o < F.col("ord")))
-    kept = F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("ord"))
-    return j.where(kept).withColumn(
-        "ord", F.when(F.col("_gone").isNull(), F.col("ord")).otherwise(F.col("ord") - before)).drop("_gone")
+    req = requests.select(*KEYS, F.col("ord").cast("bigint").alias("ord")).distinct().withColumn("_gone", F.lit(1))
+    j = spans.join(req, [*KEYS, "ord"], "left").withColumn("_gone", F.coalesce("_gone", F.lit(0)))
+    # Removed ordinals up to each span: a running sum of the row (an ordered scan, no list of requests).
+    skew_safe = O.largest_group(spans, list(KEYS)) > O.MAX_GROUP_ROWS
+    plan = O.OrderedScan(j, list(KEYS), ["ord"], skew_safe=skew_safe)
+    j = plan.finish(plan.scan(plan.frame, [("_before", "sum_upto", "_gone")]))
+    return j.where("_gone = 0").select(*[
+        (F.col("ord") - F.col("_before")).alias("ord") if c == "ord" else F.col(c) for c in spans.columns])
 
 
 def update_span(spans: DataFrame, requests: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from spanloom.operators.ordered import OrderedScan
 from spanloom.session import materialize
 
 KEYS = ("project", "doc_id")
+#: Code points of a text chunk.
+CHUNK = 1024
 
 
 def segments(docs: DataFrame, spans: DataFrame, skew_safe: bool | None = None) -> DataFrame:
@@ -28,6 +30,10 @@ def segments(docs: DataFrame, spans: DataFrame, skew_safe: bool | None = None) -
     checked row size, skew-safe range scans above it). A piece's number is
     then arithmetic: spans and gaps before it, plus one for the span after
     its gap and one more for the tail.
+
+    No text is joined to span rows. A gap is a range of code points; it meets only the
+    chunks of its row's text that it touches, in an equi-join on (row, chunk), and what it takes
+    from several chunks is put together in order. So each text is shuffled once, whatever its spans.
     """
     d = docs.select(*KEYS, "query")
     s = spans.select(*KEYS, "ord", "start", "end", F.col("text").alias("stext"), "label")
@@ -41,29 +47,20 @@ def segments(docs: DataFrame, spans: DataFrame, skew_safe: bool | None = None) -
     if plan.skew_safe:
         t = materialize(t, "segments")
     t = plan.finish(plan.scan(t, [("_g", "sum_upto", "_gf")]))
-    j = t.join(d, list(KEYS))
-    q = F.col("query")
-
-    def cut(a, b=None):
-        a1 = (a + 1).cast("int")
-        if b is None:
-            return F.substring(q, a1, F.greatest(F.length(q) - a, F.lit(0)).cast("int"))
-        return F.substring(q, a1, F.greatest(b - a, F.lit(0)).cast("int"))
-
+    j = t.join(d.select(*KEYS, F.length("query").cast("bigint").alias("n")), list(KEYS))
     span_piece = F.col("_i") + F.col("_g")
-    gap = F.when(F.col("_gf") == 1, F.struct(
-        (span_piece - 1).alias("piece"), F.lit("gap").alias("kind"),
-        cut(F.col("last_end"), F.col("start")).alias("text"),
-        F.lit(None).cast("string").alias("label")))
-    span = F.struct(span_piece.alias("piece"), F.lit("span").alias("kind"),
-                    F.col("stext").alias("text"), F.col("label").alias("label"))
-    tail = F.when(F.col("is_last") & (F.col("end") < F.length(q)), F.struct(
-        (span_piece + 1).alias("piece"), F.lit("gap").alias("kind"), cut(F.col("end")).alias("text"),
-        F.lit(None).cast("string").alias("label")))
-    pieces = (j.select(*KEYS, F.explode(F.filter(F.array(gap, span, tail),
-                                                 lambda x: x.isNotNull())).alias("p"))
-              .select(*KEYS, F.col("p.piece").cast("bigint").alias("piece"), "p.kind", "p.text",
-                      "p.label"))
+
+    def gap_range(piece, a, b):
+        return F.struct(piece.alias("piece"), F.greatest(a, F.lit(0)).alias("a"), F.least(b, F.col("n")).alias("b"))
+
+    gap = F.when(F.col("_gf") == 1, gap_range(span_piece - 1, F.col("last_end"), F.col("start")))
+    tail = F.when(F.col("is_last") & (F.col("end") < F.col("n")), gap_range(span_piece + 1, F.col("end"), F.col("n")))
+    shown = j.select(*KEYS, span_piece.cast("bigint").alias("piece"), F.lit("span").alias("kind"),
+                     F.col("stext").alias("text"), "label")
+    gaps = j.select(*KEYS, F.explode(F.filter(F.array(gap, tail), lambda x: x.isNotNull())).alias("g"))
+    gaps = gaps.select(*KEYS, F.col("g.piece").cast("bigint").alias("piece"), "g.a", "g.b")
+    pieces = shown.unionByName(_cut(d, gaps).select(
+        *KEYS, "piece", F.lit("gap").alias("kind"), "text", F.lit(None).cast("string").alias("label")))
     bare = (d.join(s.select(*KEYS), list(KEYS), "left_anti")
             .where(F.length("query") > 0)
             .select(*KEYS, F.lit(0).cast("bigint").alias("piece"), F.lit("gap").alias("kind"),
@@ -71,6 +68,25 @@ def segments(docs: DataFrame, spans: DataFrame, skew_safe: bool | None = None) -
     return pieces.unionByName(bare)
 
 
+def _cut(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """KEYS, piece, text: ``query[a:b]`` of each range (KEYS, piece, a, b; 0 <= a, b <= length; empty if a >= b)."""
+    parts = docs.select(*KEYS, F.posexplode(F.regexp_extract_all(
+        "query", F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))).alias("chunk", "part"))
+    first, last = (F.col("a") / CHUNK).cast("int"), ((F.col("b") - 1) / CHUNK).cast("int")
+    some = ranges.where("a < b")
+    touched = some.select(*KEYS, "piece", "a", "b", (first == last).alias("one"),
+                          F.explode(F.sequence(first, last)).alias("chunk"))
+    at = F.col("chunk").cast("bigint") * CHUNK
+    begin = F.greatest(F.col("a") - at, F.lit(0))
+    text = F.substring("part", (begin + 1).cast("int"), (F.least(F.col("b") - at, F.lit(CHUNK)) - begin).cast("int"))
+    found = touched.join(parts, [*KEYS, "chunk"]).select(*KEYS, "piece", "one", "chunk", text.alias("text"))
+    long = found.where(~F.col("one")).groupBy(*KEYS, "piece").agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("parts"))
+    return (found.where("one").select(*KEYS, "piece", "text")
+            .unionByName(long.select(*KEYS, "piece", F.array_join("parts.text", "").alias("text")))
+            .unionByName(ranges.where("a >= b").select(*KEYS, "piece", F.lit("").alias("text"))))
+
+
 def preview(spans: DataFrame) -> DataFrame:
     """``text (label)`` of every span in list order, space separated."""
     item = F.struct("ord", F.concat(F.coalesce("text", F.lit("")), F.lit(" ("),

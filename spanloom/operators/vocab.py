@@ -157,12 +157,10 @@ def vocab_from_columns(df: DataFrame, columns: dict[str, object],
     window under the checked key size, a skew-safe range scan above it).
     """
     proj = F.col(project_col).cast("string") if project_col else F.lit(None).cast("string")
-    parts = [df.select(proj.alias("project"), F.lit(k).alias("key"),
-                       (F.col(c) if isinstance(c, str) else c).cast("string").alias("term"))
-             for k, c in columns.items()]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), (F.col(c) if isinstance(c, str) else c).cast("string").alias("term"))
+                        for k, c in columns.items()])
+    # One scan: every row gives an entry per column.
+    u = df.select(proj.alias("project"), F.explode(entries).alias("e")).select("project", "e.key", "e.term")
     terms = u.where(F.col("term").isNotNull()).distinct()
     if project_col is None:
         out = position_within(terms.drop("project"), ["key"], ["term"])

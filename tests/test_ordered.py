@@ -9,6 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import ordered as O
+from spanloom.operators import views as V
+from spanloom.schema import SPANS
 
 
 @contextmanager
@@ -73,3 +75,26 @@ def test_segments_and_positions_same_in_both_modes(spark):
         p2 = I.position_within(spans, ["project"], ["doc_id", "ord"], skew_safe=True)
         cols = ["project", "doc_id", "ord", "pos"]
         assert sorted(p1.select(cols).collect()) == sorted(p2.select(cols).collect())
+
+
+def test_segments_of_long_texts(spark, monkeypatch):
+    """Gaps over one chunk, many chunks and chunk borders; a row with many spans; code points."""
+    monkeypatch.setattr(V, "CHUNK", 7)
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("ab😀é ") for _ in range(n)) for n in (0, 5, 7, 14, 60, 300)]
+    docs = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "project string, doc_id long, query string")
+    rows, want = [], []
+    for i, t in enumerate(texts):
+        at, k = 0, 0
+        cuts = sorted(rnd.sample(range(len(t) + 1), min(len(t) + 1, 2 * (i + 1)))) if i != 2 else []
+        pieces, end = [], 0
+        for a, b in zip(cuts[::2], cuts[1::2]):
+            rows.append(("p", i, k, t[a:b], "l", a, b, {}))
+            pieces += [("gap", t[end:a])] * (a > end) + [("span", t[a:b])]
+            end, k = b, k + 1
+        pieces += [("gap", t[end:])] * (end < len(t))
+        want += [(i, n, *p) for n, p in enumerate(pieces)]
+    spans = spark.createDataFrame(rows, SPANS)
+    for skew_safe in (False, True):
+        got = V.segments(docs, spans, skew_safe=skew_safe).collect()
+        assert sorted((r.doc_id, r.piece, r.kind, r.text) for r in got) == sorted(want)
