@@ -3,7 +3,9 @@
 Texts are tokenised, ended by an end token and strung together within their
 input partition; the stream is cut into sequences of ``seq_len`` tokens (the
 last one is filled up with end tokens). A first pass counts the sequences of
-each partition, which numbers all sequences from 0 to N - 1. A keyed Feistel
+each partition, which numbers all sequences from 0 to N - 1. Either pass encodes each
+distinct unit between spaces that a worker meets once (``subwords``) and the first only adds up their
+sizes; tokens are stored nowhere but in the shuffle and the shards. A keyed Feistel
 network over the next even power of two, walked until it falls below N, maps
 each number to its slot: a permutation that needs no state and no sort. Slots
 are split into ranges of ``per_shard``; each range becomes one file in which
@@ -30,13 +32,14 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from . import common
+from ..session import materialize, scratch_path
+from . import common, subwords
 
 #: Ranks of a byte-level vocabulary; read by the driver only. Its size is the free id, our end token.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -47,7 +50,8 @@ PER_SHARD = 1024
 KEY = 0x5EED
 ROUNDS = 6
 
-_ENCODINGS: dict[int, object] = {}
+#: Bytes of text encoded at once.
+SLICE_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,15 +59,44 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-def encoding(shared):
-    """This worker's tokenizer of the broadcast ranks."""
-    import tiktoken
-    ranks = shared.value
-    if id(ranks) not in _ENCODINGS:
-        _ENCODINGS.clear()
-        _ENCODINGS[id(ranks)] = tiktoken.Encoding(
-            "ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[id(ranks)]
+class Encoder:
+    """The tokenizer in a worker; it encodes each distinct unit once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import tiktoken
+        self.encode = tiktoken.Encoding(
+            "ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.opens = np.zeros(len(ranks), dtype=bool)
+        self.opens[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
+
+        self.units = subwords.UnitTable(self.after_space)
+
+    def after_space(self, units: pa.Array) -> tuple[subwords.Runs]:
+        """The ids of a space and each unit."""
+        odd = pc.match_substring_regex(units, subwords.WHITE)
+        plain, other = units.filter(pc.invert(odd)), units.filter(odd).to_pylist()
+        # As one text: each unit begins with its only token that opens with a space.
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(plain)], plain), " ")[0].as_py()
+        ids = np.array(self.encode(" " + text) if len(plain) else [], dtype=np.int64)
+        start = np.flatnonzero(self.opens[ids])
+        runs = subwords.Runs(ids, start, np.diff(np.append(start, len(ids))))
+        runs = runs.then([self.encode(" " + u) for u in other])
+        order, mask = np.empty(len(units), dtype=np.int64), odd.to_numpy(zero_copy_only=False)
+        order[~mask], order[mask] = np.arange(len(plain)), len(plain) + np.arange(len(other))
+        return (runs.pick(order),)
+
+    def texts(self, texts: pa.Array) -> tuple[subwords.Runs, np.ndarray]:
+        """The ids of all units of all texts in order, and the number of ids of each text."""
+        units, counts = subwords.cut_units(texts)
+        some = counts > 0
+        first = (np.cumsum(counts) - counts)[some]
+        coded, opening = units.dictionary_encode(), units.take(pa.array(first)).dictionary_encode()
+        runs, = self.units.get(coded.dictionary)
+        at = coded.indices.to_numpy().copy()
+        at[first] = len(runs.size) + opening.indices.to_numpy()
+        runs = runs.then([self.encode(u) for u in opening.dictionary.to_pylist()]).pick(at)
+        of = np.repeat(np.arange(len(texts)), counts)
+        return runs, np.bincount(of, runs.size, len(texts)).astype(np.int64)
 
 
 def permute(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -131,19 +164,15 @@ def load_layout(root: str) -> Layout:
         return Layout(**json.loads(f.read()))
 
 
-def stream(batches: Iterator[pa.RecordBatch], enc, end: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def stream(batches: Iterator[pa.RecordBatch], known: Encoder,
+           end: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Per slice: ids of the texts with tokens, their sizes with the end token, all tokens."""
-    for batch in common.slices(batches, "t"):
-        ids, sizes, parts = [], [], []
-        for doc, text in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), strict=True):
-            if text:
-                tokens = enc.encode_ordinary(text)
-                tokens.append(end)
-                ids.append(doc)
-                sizes.append(len(tokens))
-                parts.append(np.array(tokens, dtype=np.uint16))
-        if parts:
-            yield ids, np.array(sizes, dtype=np.int64), np.concatenate(parts)
+    for batch in common.slices(batches, "t", SLICE_BYTES):
+        runs, sizes = known.texts(batch.column("t"))
+        some = sizes > 0
+        if some.any():
+            tokens = np.insert(runs.flat(), np.cumsum(sizes[some]), end).astype(np.uint16)
+            yield batch.column("d").filter(pa.array(some)).to_pylist(), sizes[some] + 1, tokens
 
 
 def sequences(parts: Iterator, seq_len: int, end: int) -> Iterator[tuple[np.ndarray, list, int]]:
@@ -190,7 +219,10 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     src = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(tokens) for _, _, tokens in stream(batches, encoding(shared), end))
+        known, n = subwords.loaded(shared, Encoder), 0
+        for batch in common.slices(batches, "t", SLICE_BYTES):
+            sizes = known.texts(batch.column("t"))[1]
+            n += int(sizes.sum() + (sizes > 0).sum())
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()],
                                           "n": [-(-n // seq_len)]})
 
@@ -203,10 +235,10 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     layout = Layout(root, total, seq_len, per_shard, end, key)
     store, path = filesystem(root)
     store.create_dir(path, recursive=True)
-    known = spark.sparkContext.broadcast((counts, offsets))
+    placed = spark.sparkContext.broadcast((counts, offsets))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, offsets = known.value
+        counts, offsets = placed.value
         part = TaskContext.get().partitionId()
         done, held = 0, []
 
@@ -218,7 +250,8 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
                  pa.array([h[1] for h in held], pa.list_(pa.int64()))],
                 names=["slot", "shard", "n_tokens", "record", "doc_ids"])
 
-        for sequence in sequences(stream(batches, encoding(shared), end), seq_len, end):
+        known = subwords.loaded(shared, Encoder)
+        for sequence in sequences(stream(batches, known, end), seq_len, end):
             held.append(sequence)
             done += 1
             if len(held) == 1024:
@@ -273,7 +306,15 @@ def finish(layout: Layout) -> None:
         f.write(json.dumps(asdict(layout)).encode())
 
 
+def store(docs: DataFrame, root: str, **args) -> tuple[Layout, DataFrame]:
+    """Write the shards of ``docs`` and their manifest; the layout and the written index (one row per slot)."""
+    layout, rows = write_shards(docs, root, **args)
+    index = materialize(rows, "shard-index")
+    finish(layout)
+    return layout, index
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``op5_token_shards``: place and checksum of every sequence; the run writes the shards."""
+    """``op5_token_shards``: place and checksum of every sequence of the shards that it has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return write_shards(docs, scratch_path(spark, "token-shards"))[1]
+    return store(docs, scratch_path(spark, "token-shards"))[1]
