@@ -219,6 +219,16 @@ def q_candidates(spark, d):
                     F.col("term_pos").cast("bigint"))
 
 
+@query
+def q_candidates_by_label(spark, d):
+    """How many spans point to each candidate of their label."""
+    spans, lists = MP.candidates_by_label(B.ann_spans(spark, d), B.label_map(spark, d), B.voc(spark, d))
+    n = spans.groupBy("project", "label").agg(F.count("*").alias("n_spans"))
+    return lists.join(n, ["project", "label"]).select(
+        "project", "label", "category", F.col("cat_pos").cast("bigint"), "term", F.col("term_pos").cast("bigint"),
+        "n_spans")
+
+
 @query
 def q_has_vocab(spark, d):
     projects = B.short_docs(spark, d).select("project").unionByName(

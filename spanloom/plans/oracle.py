@@ -438,3 +438,8 @@ FROM part WHERE p_size % 10 <> 0
 UNION ALL SELECT 'field_count', NULL, NULL FROM part WHERE p_size % 10 = 0"""
 ORACLE["json_rejects"] = """SELECT 'row' AS kind, doc_id, text AS query FROM documents WHERE doc_id % 7 <> 3
 UNION ALL SELECT 'invalid_line', NULL, NULL FROM documents WHERE doc_id % 7 = 3"""
+ORACLE["candidates_by_label"] = f"""WITH {ANN}, {VOC}, {LM},
+u AS (SELECT project, label, CAST(count(*) AS BIGINT) AS n_spans FROM annp GROUP BY project, label)
+SELECT u.project, u.label, l.category, l.pos AS cat_pos, v.term, v.pos AS term_pos, u.n_spans
+FROM u LEFT JOIN lm l ON u.project = l.project AND u.label = l.label
+LEFT JOIN voc v ON v.project = u.project AND v.key = l.category"""

@@ -12,7 +12,7 @@ from spanloom.operators import metrics as MT
 from spanloom.operators import spans as S
 from spanloom.operators import views as V
 from spanloom.operators import vocab as VC
-from spanloom.schema import SPANS
+from spanloom.schema import LABEL_MAP, SPANS, VOCAB
 from spanloom.sources.files import default_label_map
 
 # The sample vocabulary shipped with the source tool.
@@ -224,3 +224,16 @@ def test_export_round_trip(spark):
     assert rej.count() == 0
     back = sorted(tuple(r) for r in I.explode_spans(parsed).collect())
     assert back == sorted(tuple(r) for r in spans.collect())
+
+
+def test_candidates_by_label_equal_candidates(spark):
+    spans = spark.createDataFrame([("p", d, 0, "t", label, 0, 1, {}) for d, label in
+                                   [(1, "x"), (2, "x"), (3, "y"), (4, "none"), (5, None)]], SPANS)
+    lm = spark.createDataFrame([("p", "x", 0, "c"), ("p", "x", 1, "d"), ("p", "y", 0, "c")], LABEL_MAP)
+    vocab = spark.createDataFrame([("p", "c", 0, "t"), ("p", "c", 1, "u")], VOCAB)
+    own, lists = MP.candidates_by_label(spans, lm, vocab)
+    assert own.count() == 5 and lists.count() == 7
+    joined = own.join(lists, own["project"].eqNullSafe(lists["project"]) & own["label"].eqNullSafe(lists["label"]))
+    cols = ["doc_id", "category", "cat_pos", "term", "term_pos"]
+    assert sorted(map(str, joined.select(cols).collect())) == sorted(
+        map(str, MP.candidates(spans, lm, vocab).select(cols).collect()))
