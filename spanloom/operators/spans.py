@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.arrays import sort_by
 from spanloom.functions.spans import found_in, locate0, span_slice, validate_reason
+from spanloom.operators import first_wins
 from spanloom.operators import ordered as O
 from spanloom.session import materialize
 
@@ -112,6 +113,8 @@ _ITEM = ("kind", "seq", "start", "end", "text", "label", "mapped_value")
 # Islands up to this many items are folded JVM-side in one array (quadratic in
 # the island, so kept small); larger ones stream through a sorted-interval fold.
 ISLAND_FOLD_MAX = 1000
+#: Items of an island above which many tasks share it, in rounds.
+ROUNDS_MIN = 500_000
 
 
 def _islands(items: DataFrame, skew_safe: bool | None = None,
@@ -243,6 +246,21 @@ def _fold_large(live: DataFrame) -> DataFrame:
     return live.join(flags, "_rid").select(*KEYS, "island", "_rid", *_ITEM, "keep")
 
 
+def _fold_rounds(live: DataFrame) -> DataFrame:
+    """Islands above ``ROUNDS_MIN`` in parallel rounds (:mod:`spanloom.operators.first_wins`); what these leave
+    undecided, and islands with inverted spans, by the streaming fold."""
+    live = materialize(live, "huge-islands")
+    ids = live.groupBy(*KEYS, "island").agg(F.bool_or(F.col("end") < F.col("start")).alias("_odd"))
+    ids = materialize(ids.withColumn("gid", F.monotonically_increasing_id()), "island-ids")
+    live = O.null_safe_join(live, ids, [*KEYS, "island"])
+    plain = live.where(~F.col("_odd"))
+    decided, left = first_wins.rounds(plain.select("gid", F.col("_rid").alias("rid"), "kind", "seq", "start", "end"))
+    decided = plain.join(decided.withColumnRenamed("rid", "_rid"), "_rid")
+    rest = plain.join(left.withColumnRenamed("rid", "_rid"), "_rid", "left_semi").unionByName(live.where("_odd"))
+    cols = [*KEYS, "island", "_rid", *_ITEM]
+    return decided.select(*cols, "keep").unionByName(_fold_large(rest.select(*cols)))
+
+
 def _fold_islands(items: DataFrame, skew_safe: bool | None = None,
                   written: bool = False) -> tuple[DataFrame, bool]:
     """Greedy first-wins overlap check, one sequential fold per overlap island.
@@ -256,7 +274,7 @@ def _fold_islands(items: DataFrame, skew_safe: bool | None = None,
     independent folds. Proposals identical to an earlier non-empty span are
     rejected without entering the fold (they always overlap it or what
     rejected it). Islands up to ``ISLAND_FOLD_MAX`` items fold JVM-side, larger
-    ones stream. Returns the items with ``keep`` and ``dup``, and the scan mode.
+    ones stream, those above ``ROUNDS_MIN`` are decided in parallel rounds. Returns the items with ``keep`` and ``dup``, and the scan mode.
     """
     staged, plan = _islands(items, skew_safe, written)
     dups = staged.where("dup").withColumn("keep", F.lit(False))
@@ -270,8 +288,11 @@ def _fold_islands(items: DataFrame, skew_safe: bool | None = None,
     else:
         live = O.null_safe_join(live, sizes, [*KEYS, "island"])
         small = _fold_small(live.where(F.col("_n") <= ISLAND_FOLD_MAX).drop("_n"))
-        large = _fold_large(live.where(F.col("_n") > ISLAND_FOLD_MAX).drop("_n"))
-        folded = small.unionByName(large)
+        large = live.where((F.col("_n") > ISLAND_FOLD_MAX) & (F.col("_n") <= ROUNDS_MIN)).drop("_n")
+        huge = live.where(F.col("_n") > ROUNDS_MIN).drop("_n")
+        folded = small.unionByName(_fold_large(large))
+        if sizes.where(F.col("_n") > ROUNDS_MIN).limit(1).count():
+            folded = folded.unionByName(_fold_rounds(huge))
     folded = folded.withColumn("dup", F.lit(False))
     return folded.unionByName(dups.select(folded.columns)).drop("_rid"), plan.skew_safe
 
