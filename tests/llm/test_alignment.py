@@ -62,7 +62,11 @@ def result(spark, rows, **args):
     df = spark.createDataFrame(rows, "doc_id long, text string, block int, groups string").repartition(3)
     found = op.align(materialize(df, "in"))
     digest = op.F.when(op.F.col("n_a") > 0, op.F.sha2("groups", 256)).otherwise("")
-    found = materialize(found.withColumn("sha", digest).drop("groups"), "aligned")
+    found = materialize(found.withColumn("sha", digest), "aligned")
+    again = op.align(df, digests=True).select("doc_id", "groups")
+    assert sorted(map(str, again.collect())) == sorted(
+        map(str, found.select("doc_id", op.F.col("sha").alias("groups")).collect()))
+    found = found.drop("groups")
     out = op.count_links(found, materialize(op.link_counts(found), "counts"), **args)
     return sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_a"], r["n_b"], r["n_groups"], r["n_links"],
                     r["n_best"], r["count_sum"], r["sha"]) for r in out.collect()))
