@@ -88,3 +88,28 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([(1, 0), (2, None)], "doc_id long, toxic int")
     assert [r["score"] for r in op.toxicity(docs, none).collect()] == [0.0]
     assert op.toxicity(docs.limit(0), none.limit(0)).count() == 0
+
+
+def test_every_labelled_row_counts(spark):
+    """More rows than the former samples held: each is counted, trained on or calibrated with, in many shards."""
+    n = 12_000
+    docs = spark.range(n).selectExpr(
+        "id as doc_id", "concat('w', id, if(id % 2 = 0, ' foul', ' fair')) as text", "'xx' as lang")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 = 0 as int) as toxic")
+    rows = op.training_rows(docs, labels)
+    learn = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r["d"] for r in rows.collect()) == learn
+    seen = {}
+    for r in rows.mapInArrow(op._counts, "lang string, at bigint, n bigint, t bigint").collect():
+        key = (r["lang"], r["at"])
+        a, b = seen.get(key, (0, 0))
+        seen[key] = (a + r["n"], b + r["t"])
+    fit = [r["d"] for r in rows.where("fit").collect()]
+    at = {w: int(op.common.hash_words([w])[0] % np.uint64(op.BUCKETS)) for w in (b"foul", b"fair")}
+    even = sum(i % 2 == 0 for i in fit)
+    assert seen[None, at[b"foul"]][1] >= even and seen[None, at[b"fair"]][0] >= len(fit) - even > 3500
+    assert sum(k for (x, _), (k, _) in seen.items() if x == "xx") == 2 * len(learn)
+    a, b = (op.fit_model(docs.repartition(k), labels, shard_rows=500) for k in (2, 5))
+    assert np.array_equal(a.embed, b.embed) and np.array_equal(a.offsets, b.offsets)
+    wrong = op.score(docs, a).where("(score >= 0.5) <> (doc_id % 2 = 0)").count()
+    assert wrong < n / 1000
