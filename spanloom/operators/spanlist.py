@@ -96,6 +96,12 @@ class SpanList:
         for b in bins_of(s, e):
             self.bins[b] = [*self.bins.get(b, ()), [s, e]]
 
+    def index_page(self) -> None:
+        """Make the rank tree and the bins of a list of one page."""
+        self.ranks.nodes[1] = len(self.pages[1])
+        for a in self.pages[1]:
+            self._index(a)
+
     def _unindex(self, a: dict) -> None:
         s, e = a["start"], a["end"]
         for b in bins_of(s, e):

@@ -11,9 +11,12 @@ dropped; of different edits with one ``seq`` the first by content is applied, am
 have arrived by then.
 
 The state is kept by ``transformWithState``: a value (counts, ``next_seq``) and maps
-of list pages, rank nodes, bins and early edits
+of list pages, rank nodes, bins and blocks of early edits
 (:class:`~spanloom.operators.spanlist.SpanList` over views of them). A micro-batch
-reads and writes the entries that its edits touch, never the whole list. It needs
+reads and writes the entries that its edits touch, never the whole list. Every read or write
+is a call to the state store and takes longer than an edit itself, so early edits go by
+blocks of ``BLOCK`` places, what the head shows to be empty is not asked for, and a list of one
+page has no nodes and bins in the state: they are made of the page. It needs
 the RocksDB state store, which :func:`run_replay_stream` sets for its query.
 
 Each micro-batch emits, for every row it touched, a small snapshot:
@@ -43,21 +46,27 @@ KEYS = ("project", "doc_id")
 EDIT_COLS = ("seq", "op", "ord", "text", "label", "start", "end", "category", "values")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Places in the order whose early edits share an entry of the state.
+BLOCK = 128
+
 SNAPSHOT = ("project string, doc_id bigint, next_seq bigint, pending bigint, n_spans bigint, "
             "n_mapped bigint")
 
 
 class Touched(MutableMapping):
-    """A map state whose entries are read once and written back, if changed, by ``flush``."""
+    """A map state whose entries are read once and written back, if changed, by ``flush``.
+
+    ``empty``: the state is known to have no entry, so none is asked for.
+    """
 
-    def __init__(self, state, numbers: bool = False):
-        self.state, self.numbers = state, numbers
+    def __init__(self, state, numbers: bool = False, empty: bool = False):
+        self.state, self.numbers, self.empty = state, numbers, empty
         self.seen: dict = {}
         self.changed: set = set()
 
     def __getitem__(self, key):
         if key not in self.seen:
-            found = self.state.getValue((key,))
+            found = None if self.empty else self.state.getValue((key,))
             value = None if found is None else found[0]
             self.seen[key] = value if value is None or self.numbers else json.loads(value)
         if self.seen[key] is None:
@@ -79,10 +88,36 @@ class Touched(MutableMapping):
     def flush(self) -> None:
         for key in sorted(self.changed):
             value = self.seen[key]
-            if value is None:
-                self.state.removeKey((key,))
-            else:
+            if value is not None:
                 self.state.updateValue((key,), (value if self.numbers else json.dumps(value, ensure_ascii=False),))
+            elif not self.empty:
+                self.state.removeKey((key,))
+
+
+class Early:
+    """The edits that arrived early, by ``seq``, in blocks."""
+
+    def __init__(self, blocks: Touched):
+        self.blocks = blocks
+
+    def get(self, seq: int) -> dict | None:
+        return self.blocks.get(seq // BLOCK, {}).get(str(seq))
+
+    def put(self, seq: int, edit: dict) -> None:
+        block = self.blocks.get(seq // BLOCK, {})
+        block[str(seq)] = edit
+        self.blocks[seq // BLOCK] = block
+
+    def drop(self, seq: int) -> None:
+        block = self.blocks[seq // BLOCK]
+        del block[str(seq)]
+        self.blocks[seq // BLOCK] = block or None
+
+
+def edit_of(row) -> dict:
+    """An edit from its columns or, as the stream sends it, from one JSON text (a cell costs as much as an edit)."""
+    e = json.loads(row["edit"]) if "edit" in row else row
+    return {c: e.get(c) for c in EDIT_COLS} if isinstance(e, dict) else {c: e[c] for c in EDIT_COLS}
 
 
 class ReplayProcessor(StatefulProcessor):
@@ -94,26 +129,30 @@ class ReplayProcessor(StatefulProcessor):
         self.pages = handle.getMapState("pages", "page bigint", "anns string")
         self.ranks = handle.getMapState("ranks", "node bigint", "n bigint")
         self.bins = handle.getMapState("bins", "bin bigint", "spans string")
-        self.early = handle.getMapState("early", "seq bigint", "edit string")
+        self.early = handle.getMapState("early", "block bigint", "edits string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        next_seq, n_pages, n, mapped, pending = self.head.get() if self.head.exists() else (0, 0, 0, 0, 0)
+        next_seq, n_pages, n, mapped, pending = self.head.get() or (0, 0, 0, 0, 0)
         arrived: dict[int, dict] = {}
         for r in rows:
-            e = {c: r[c] for c in EDIT_COLS}
+            e = edit_of(r)
             e["values"] = None if e["values"] is None else list(e["values"])
             seq = e["seq"]
             if seq is None or seq < next_seq:
                 continue  # no place in the order; delivered again
             if seq not in arrived or content(e) < content(arrived[seq]):
                 arrived[seq] = e
-        early, pages, ranks, bins = (Touched(self.early), Touched(self.pages),
-                                     Touched(self.ranks, numbers=True), Touched(self.bins))
-        spans = SpanList(None, pages, ranks, bins, n_pages, n, mapped)
+        early = Early(Touched(self.early, empty=not pending))
+        pages, paged = Touched(self.pages, empty=not n_pages), n_pages > 1
+        ranks = Touched(self.ranks, numbers=True, empty=not paged)
+        bins = Touched(self.bins, empty=not paged)
+        spans = SpanList(None, pages, ranks if paged else {}, bins if paged else {}, n_pages, n, mapped)
+        if n_pages == 1:
+            spans.index_page()
         while next_seq in arrived or pending:
             e, stored = arrived.pop(next_seq, None), early.get(next_seq) if pending else None
             if stored is not None:
-                del early[next_seq]
+                early.drop(next_seq)
                 pending -= 1
                 e = stored if e is None or content(stored) < content(e) else e
             if e is None:
@@ -121,11 +160,14 @@ class ReplayProcessor(StatefulProcessor):
             apply_edit(spans, e)
             next_seq += 1
         for seq, e in arrived.items():
-            stored = early.get(seq) if pending else None
+            stored = early.get(seq)
             if stored is None or content(e) < content(stored):
                 pending += stored is None
-                early[seq] = e
-        for state in (early, pages, ranks, bins):
+                early.put(seq, e)
+        if not paged and spans.ranks.pages > 1:
+            ranks.update(spans.ranks.nodes)
+            bins.update(spans.bins)
+        for state in (early.blocks, pages, ranks, bins):
             state.flush()
         self.head.update((next_seq, spans.ranks.pages, len(spans), spans.mapped, pending))
         yield Row(project=key[0], doc_id=key[1], next_seq=next_seq, pending=pending, n_spans=len(spans),
@@ -137,7 +179,8 @@ class ReplayProcessor(StatefulProcessor):
 
 def replay_edits_stream(edits: DataFrame) -> DataFrame:
     """Streaming DataFrame of per-row snapshots (see module doc); the session needs the RocksDB state store."""
-    return edits.select(*KEYS, *EDIT_COLS).groupBy(*KEYS).transformWithState(
+    edit = F.to_json(F.struct(*EDIT_COLS)).alias("edit")
+    return edits.select(*KEYS, edit).groupBy(*KEYS).transformWithState(
         ReplayProcessor(), SNAPSHOT, "update", "none")
 
 

@@ -165,3 +165,51 @@ def test_stream_in_any_split_equals_batch(spark, files):
     assert sorted(map(str, SE.state_spans(spark, ckpt).collect())) == want
     latest = SE.latest_snapshots(spark.read.parquet(sink)).collect()
     assert all(r.next_seq == 150 and r.pending == 0 for r in latest) and sum(r.n_spans for r in latest) == len(want)
+
+
+def test_short_rows_cost_few_state_calls():
+    """A row's early edits share entries of the state, and a list of one page has no other entry."""
+
+    class State(dict):
+        calls = 0
+
+        def getValue(self, key):
+            State.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            State.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            State.calls += 1
+            self.pop(key, None)
+
+    class Value:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value = v
+
+    rnd = random.Random(8)
+    for n in (67, 600):
+        p, plain, edits = SE.ReplayProcessor(), L.SpanList(), []
+        p.head, p.pages, p.ranks, p.bins, p.early = Value(), State(), State(), State(), State()
+        for seq in range(n):
+            edits.append({"seq": seq, "op": rnd.choice(L.OPS + ("add",) * 3), "ord": rnd.randrange(5), "text": f"t{seq}",
+                          "label": "l", "start": 20 * rnd.randrange(2 * n), "end": None, "category": "c", "values": [None]})
+            edits[-1]["end"] = edits[-1]["start"] + 7
+            L.apply_edit(plain, dict(edits[-1]))
+        State.calls = 0
+        order = sorted(edits, key=lambda e: (e["seq"] * 7 % 4 == 0, e["seq"]))  # the first edit comes last
+        for k in range(4):
+            out = list(p.handleInputRows(("p", 1), order[k * n // 4:(k + 1) * n // 4], None))[0]
+        assert (out["next_seq"], out["pending"], out["n_spans"]) == (n, 0, len(plain)) and not p.early
+        stored = [a for k in sorted(p.pages) for a in SE.json.loads(p.pages[k][0])]
+        assert stored == plain.anns
+        assert bool(p.bins) == bool(p.ranks) == (len(p.pages) > 1) == (n == 600)
+        if n == 67:
+            assert State.calls < 20
