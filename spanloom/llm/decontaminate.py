@@ -73,7 +73,9 @@ def windows_by_prefix(docs_words: DataFrame, found: DataFrame) -> DataFrame:
     best = (each.join(_small(use), "token").groupBy("key", "n")
             .agg(F.min(F.struct("uses", "token", "off")).alias("best"))
             .select("key", "n", "best.token", "best.off"))
-    end = spark.createDataFrame([("", 0, END, 0)], "key string, n int, token string, off int")
+    # From literals: rows of this program would come by Python workers, which then stay in every executor.
+    end = spark.range(1).select(F.lit("").alias("key"), F.lit(0).alias("n"), F.lit(END).alias("token"),
+                                F.lit(0).alias("off"))
     return materialize(best.unionByName(end).withColumn("wid", F.monotonically_increasing_id()),
                        "windows")
 

@@ -28,7 +28,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct words whose ids a worker keeps.
 KEEP_WORDS = 150_000
 #: Characters of distinct words searched at once.
-BLOCK_CHARS = 150_000
+BLOCK_CHARS = 50_000
+#: Bytes of text handled at once; a worker's lists of words take some twenty times as much.
+SLICE_BYTES = 512 << 10
 
 
 class Encoder:
@@ -116,7 +118,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text",
 
         return run
 
-    return common.add_columns(docs, text_col, fields, start)
+    return common.add_columns(docs, text_col, fields, start, SLICE_BYTES)
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:

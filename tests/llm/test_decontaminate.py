@@ -65,3 +65,15 @@ def test_no_python_in_the_plan(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     plan = op.decontaminate(d, d.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_are_not_sent_through_python_workers(spark, monkeypatch):
+    """Rows of the program would start further Python workers, idle from then on, in every executor."""
+    text = "one two three four five six seven eight nine ten eleven"
+    d = spark.createDataFrame([(1, text), (2, "one two"), (None, None)], "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame([(7, text)], "item_id long, text string").coalesce(1)
+    made = []
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: made.append(a))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **k: made.append(a))
+    assert {r["doc_id"] for r in op.clean(d, b).collect()} == {2, None}
+    assert not made

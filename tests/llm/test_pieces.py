@@ -1,9 +1,13 @@
 """Encoding against the public library's own encoder, decoding as an exact round trip."""
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import StructType
 
 from spanloom.llm import pieces
 from spanloom.llm import sentencepiece_fst as op
@@ -75,3 +79,42 @@ def test_long_random_texts(spark, library):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in op.encode(df).collect():
         assert r["ids"] == library.encode(r["text"])
+
+
+def test_memory_of_a_worker_on_a_batch_of_many_words(spark):
+    """A batch of 3 MB, nearly all words new: lists and tables of a small part of it at a time."""
+    rnd = random.Random(5)
+    texts = [" ".join(f"{rnd.getrandbits(24):x}" for _ in range(400)) for _ in range(1000)]
+    docs = SimpleNamespace(sparkSession=spark, columns=["text"], schema=StructType.fromDDL("text string"),
+                           drop=lambda *names: docs, mapInArrow=lambda run, schema: run)
+    run = op.encode(docs)
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    op._ENCODERS.clear()
+    list(run(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    try:
+        n = sum(out.num_rows for out in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        op._ENCODERS.clear()
+    assert n == len(texts)
+    assert peak < 60e6, peak
+
+
+def test_batches_are_bounded_in_rows_and_bytes(spark):
+    from spanloom.llm import common
+    keys = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        common.small_batches(spark)
+        assert [spark.conf.get(k) for k in keys] == [str(common.BATCH_ROWS), str(common.BATCH_BYTES)]
+        for k in keys:
+            spark.conf.set(k, "7")
+        common.small_batches(spark)
+        assert [spark.conf.get(k) for k in keys] == ["7", "7"]
+    finally:
+        for k, v in zip(keys, old, strict=True):
+            spark.conf.set(k, v)
