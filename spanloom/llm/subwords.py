@@ -22,6 +22,8 @@ LIMIT = 200_000
 WHITE = "[\\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: A space that no token reaches over.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: A unit that holds a space, or begins or ends with white space.
+RAGGED = f"^{WHITE}| |{WHITE}$"
 #: A space beside white space or the end of the text; without one, every space is such a one.
 EDGE = f"(^ | $|{WHITE} | {WHITE})"
 
@@ -81,9 +83,19 @@ class Runs:
                     np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size)),
                     np.concatenate((self.size, size)))
 
+    @classmethod
+    def of(cls, lists: list[list[int]], dtype: type) -> Runs:
+        size = np.array([len(x) for x in lists], dtype=np.int64)
+        return cls(np.fromiter(chain.from_iterable(lists), dtype, size.sum()), np.cumsum(size) - size, size)
+
     def pick(self, units: np.ndarray) -> Runs:
         return Runs(self.ids, self.start[units], self.size[units])
 
+    def only(self, units: np.ndarray) -> Runs:
+        """Some units, without the ids of the others."""
+        size = self.size[units]
+        return Runs(self.pick(units).flat(), np.cumsum(size) - size, size)
+
     def flat(self, n: int | None = None) -> np.ndarray:
         """The ids of the first ``n`` units, one after the other."""
         return self.ids[common.ragged(self.start[:n], self.size[:n])]
@@ -124,6 +136,39 @@ class UnitTable:
         return tuple(r.pick(at) for r in self.runs)
 
 
+class RecurringUnits(UnitTable):
+    """A table that, when it is full, keeps the units found again since it was last full.
+
+    If these are more than half of the limit, it begins anew.
+    """
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[Runs, ...]], limit: int = 2 * LIMIT):
+        super().__init__(encode, limit)
+        self.again = np.zeros(0, dtype=bool)
+
+    def get(self, distinct: pa.Array) -> tuple[Runs, ...]:
+        at = pc.index_in(distinct, value_set=self.units)
+        self.again[at.drop_null().to_numpy()] = True
+        if len(self.units) + at.null_count > self.limit:
+            self.make_room()
+            at = pc.index_in(distinct, value_set=self.units)
+        new = distinct.filter(pc.is_null(at))
+        at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        if len(new) or self.runs is None:
+            at[at < 0] = len(self.units) + np.arange(len(new))
+            self.units, runs = pa.concat_arrays([self.units, new]), self.encode(new)
+            self.runs = runs if self.runs is None else tuple(a.joined(b) for a, b in zip(self.runs, runs, strict=True))
+            self.again = np.append(self.again, np.zeros(len(new), dtype=bool))
+        return tuple(r.pick(at) for r in self.runs)
+
+    def make_room(self) -> None:
+        kept = np.flatnonzero(self.again)
+        if 2 * len(kept) > self.limit:
+            kept = kept[:0]
+        self.units, self.again = self.units.take(pa.array(kept)), np.zeros(len(kept), dtype=bool)
+        self.runs = self.runs and tuple(r.only(kept) for r in self.runs)
+
+
 def cut_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The units of all texts in one array, and the number of each text's (null and empty texts: none)."""
     texts = pc.fill_null(texts, "")

@@ -50,8 +50,10 @@ PER_SHARD = 1024
 KEY = 0x5EED
 ROUNDS = 6
 
-#: Bytes of text encoded at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text encoded at once, of several Arrow batches: each slice costs a walk through all units known.
+SLICE_BYTES = 12 << 20
+#: Shards that a writer task writes, on average.
+TASK_SHARDS = 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,34 +71,35 @@ class Encoder:
         self.opens = np.zeros(len(ranks), dtype=bool)
         self.opens[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
 
-        self.units = subwords.UnitTable(self.after_space)
+        self.units = subwords.RecurringUnits(self.after_space)
 
     def after_space(self, units: pa.Array) -> tuple[subwords.Runs]:
         """The ids of a space and each unit."""
-        odd = pc.match_substring_regex(units, subwords.WHITE)
+        odd = pc.match_substring_regex(units, subwords.RAGGED)
         plain, other = units.filter(pc.invert(odd)), units.filter(odd).to_pylist()
-        # As one text: each unit begins with its only token that opens with a space.
+        # As one text: each unit begins with its only token that opens with a space, as it holds no other space.
         text = pc.binary_join(pa.ListArray.from_arrays([0, len(plain)], plain), " ")[0].as_py()
-        ids = np.array(self.encode(" " + text) if len(plain) else [], dtype=np.int64)
+        ids = np.array(self.encode(" " + text) if len(plain) else [], dtype=np.uint16)
         start = np.flatnonzero(self.opens[ids])
         runs = subwords.Runs(ids, start, np.diff(np.append(start, len(ids))))
-        runs = runs.then([self.encode(" " + u) for u in other])
+        if not other:
+            return (runs,)
         order, mask = np.empty(len(units), dtype=np.int64), odd.to_numpy(zero_copy_only=False)
         order[~mask], order[mask] = np.arange(len(plain)), len(plain) + np.arange(len(other))
-        return (runs.pick(order),)
+        return (runs.joined(subwords.Runs.of([self.encode(" " + u) for u in other], np.uint16)).pick(order),)
 
     def texts(self, texts: pa.Array) -> tuple[subwords.Runs, np.ndarray]:
         """The ids of all units of all texts in order, and the number of ids of each text."""
         units, counts = subwords.cut_units(texts)
-        some = counts > 0
-        first = (np.cumsum(counts) - counts)[some]
+        off = np.concatenate(([0], np.cumsum(counts)))
+        first = off[:-1][counts > 0]
         coded, opening = units.dictionary_encode(), units.take(pa.array(first)).dictionary_encode()
         runs, = self.units.get(coded.dictionary)
         at = coded.indices.to_numpy().copy()
         at[first] = len(runs.size) + opening.indices.to_numpy()
-        runs = runs.then([self.encode(u) for u in opening.dictionary.to_pylist()]).pick(at)
-        of = np.repeat(np.arange(len(texts)), counts)
-        return runs, np.bincount(of, runs.size, len(texts)).astype(np.int64)
+        opened = subwords.Runs.of([self.encode(u) for u in opening.dictionary.to_pylist()], np.uint16)
+        runs = runs.joined(opened).pick(at)
+        return runs, common.sums(runs.size, off)
 
 
 def permute(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -164,10 +167,26 @@ def load_layout(root: str) -> Layout:
         return Layout(**json.loads(f.read()))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts have about ``SLICE_BYTES`` (a longer text stands alone), of several batches if they fit."""
+    held, size = [], 0
+    for batch in common.slices(batches, "t", SLICE_BYTES):
+        n = pc.sum(pc.binary_length(batch.column("t"))).as_py() or 0
+        if held and size + n > SLICE_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.concat_batches(held)
+    held.clear()
+    common.release()
+
+
 def stream(batches: Iterator[pa.RecordBatch], known: Encoder,
            end: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Per slice: ids of the texts with tokens, their sizes with the end token, all tokens."""
-    for batch in common.slices(batches, "t", SLICE_BYTES):
+    for batch in gathered(batches):
         runs, sizes = known.texts(batch.column("t"))
         some = sizes > 0
         if some.any():
@@ -220,7 +239,7 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n = subwords.loaded(shared, Encoder), 0
-        for batch in common.slices(batches, "t", SLICE_BYTES):
+        for batch in gathered(batches):
             sizes = known.texts(batch.column("t"))[1]
             n += int(sizes.sum() + (sizes > 0).sum())
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()],
@@ -293,8 +312,8 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
         close()
 
     rows = src.mapInArrow(emit, "slot long, shard long, n_tokens long, record binary, doc_ids array<long>")
-    n_shards = max(1, -(-total // per_shard))
-    spread = rows.repartition(min(n_shards, 20_000), "shard").sortWithinPartitions("slot")
+    n_tasks = max(1, -(-total // (per_shard * TASK_SHARDS)))
+    spread = rows.repartition(min(n_tasks, 20_000), "shard").sortWithinPartitions("slot")
     return layout, spread.mapInArrow(write, "slot long, shard long, byte_offset long, n_tokens long, "
                                             "crc32 long, doc_ids array<long>")
 

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from spanloom.llm import subwords
 from spanloom.llm import token_shards as op
 from spanloom.session import materialize, scratch_path
 
@@ -109,3 +110,52 @@ def test_query_leaves_a_readable_store(spark, monkeypatch):
     assert layout.n_sequences == rows.count() > 0
     crc = {r["slot"]: r["crc32"] for r in rows.select("slot", "crc32").collect()}
     assert [zlib.crc32(q.tobytes()) for q in op.read_sequences(layout, 0, 50)] == [crc[s] for s in range(50)]
+
+
+def test_units_over_lines_are_encoded_together():
+    """White space inside a unit does not make it a call of its own; at its ends or beside a space it does."""
+    enc = tiktoken.Encoding("t", pat_str=op.PATTERN, mergeable_ranks=op.read_ranks(op.VOCABULARY), special_tokens={})
+    known, calls = op.Encoder(op.read_ranks(op.VOCABULARY)), []
+    known.encode = lambda text: calls.append(text) or enc.encode_ordinary(text)
+    texts = [" ".join(f"end{i}{white}éstart{i}" for i in range(200)) for white in "\n\t\r  \x1c\x85"]
+    runs, sizes = known.texts(pa.array(texts))
+    assert len(calls) <= 1 + len(texts)
+    assert runs.flat().tolist() == [i for t in texts for i in enc.encode_ordinary(t)]
+    assert sizes.tolist() == [len(enc.encode_ordinary(t)) for t in texts]
+    for t in ("a \n b\nc d\n", "\n x\ny z 　 w", "a\n\n\nb c\t\td ", " \x1c a\x1c\x1cb \x1c"):
+        assert known.texts(pa.array([t]))[0].flat().tolist() == enc.encode_ordinary(t)
+
+
+def test_full_table_keeps_recurring_units():
+    """What is found again is encoded once however often the table fills; all lookups are right."""
+    seen = []
+
+    def encode(units):
+        seen.extend(units.to_pylist())
+        return (subwords.Runs.of([list(u.encode()) for u in units.to_pylist()], np.uint16),)
+
+    table = subwords.RecurringUnits(encode, 60)
+    for k in range(40):
+        units = [f"often {i}" for i in range(20)] + [f"once {k} {i}" for i in range(k % 17)] + ["", "é"]
+        runs, = table.get(pa.array(units))
+        assert [bytes(x.tolist()).decode() for x in np.split(runs.flat(), np.cumsum(runs.size)[:-1])] == units
+        assert len(table.units) <= 60 + len(units)
+    assert max(map(seen.count, seen)) == 1
+    table.get(pa.array([f"more {i}" for i in range(500)]))
+    runs, = table.get(pa.array(["often 1", "more 3"]))
+    assert bytes(runs.flat().tolist()) == b"often 1more 3"
+
+
+def test_slices_of_several_batches(monkeypatch):
+    """Small batches are encoded together up to the limit; no row is lost or moved."""
+    monkeypatch.setattr(op, "SLICE_BYTES", 100)
+    texts = ["x" * (7 * k % 40) for k in range(50)] + [None, "", "y" * 500, "z", None]
+    batches = [pa.RecordBatch.from_pydict({"d": list(range(a, min(a + 3, 55))), "t": pa.array(texts[a:a + 3], pa.string())})
+               for a in range(0, 55, 3)]
+    got = list(op.gathered(iter(batches)))
+    assert [t for b in got for t in b.column("t").to_pylist()] == texts
+    assert [d for b in got for d in b.column("d").to_pylist()] == list(range(55))
+    assert len(got) < len(batches)
+    sizes = [[len(t or "") for t in b.column("t").to_pylist()] for b in got]
+    assert all(sum(n) - max(n) <= 200 for n in sizes)
+    assert list(op.gathered(iter([]))) == []
