@@ -113,3 +113,49 @@ def test_every_labelled_row_counts(spark):
     assert np.array_equal(a.embed, b.embed) and np.array_equal(a.offsets, b.offsets)
     wrong = op.score(docs, a).where("(score >= 0.5) <> (doc_id % 2 = 0)").count()
     assert wrong < n / 1000
+
+
+def test_recurring_words_are_computed_once(monkeypatch):
+    """Many rare words do not push the frequent ones out of a task's table."""
+    monkeypatch.setattr(op, "CACHE_WORDS", 200)
+    common = [f"often{i}" for i in range(50)]
+    slices = [[" ".join(common), " ".join(f"rare{k}x{i}" for i in range(90))] for k in range(20)]
+    m = op.start_model(op.Vocabulary(slices[0]), np.arange(2), np.array([1.0, 0.0]), np.random.default_rng(0))
+    computed = []
+    plain = op.Model.word_rows
+    monkeypatch.setattr(op.Model, "word_rows",
+                        lambda self, words, *rest: computed.extend(words) or plain(self, words, *rest))
+    found = [m.scores(texts) for texts in slices]
+    assert len(computed) == len(set(computed)) == 50 + 20 * 90
+    for texts, score in zip(slices, found, strict=True):
+        assert np.array_equal(score, op.own(m).scores(texts))
+    long = [" ".join(f"long{i}" for i in range(2000))]
+    assert np.array_equal(m.scores(long), op.own(m).scores(long))
+    assert np.array_equal(m.scores(slices[3]), found[3])
+
+
+def test_steps_agree_with_plain_ones(monkeypatch):
+    texts = [None, "", "...", "Straße ΟΔΟΣ, x", "a-b\tA b\n" * 40, " end", "x" * 30_000, "one two three four " * 9]
+    words, off = op.tokens(texts)
+    code, off2, found = op.coded(texts)
+    assert np.array_equal(off, off2) and [found[c] for c in code] == words and len(set(found)) == len(found)
+    assert [len(x) for x in op.coded([])] == [0, 1, 0]
+    size = np.array([len(w) + 2 for w in found])
+    byte = op._BYTE[np.frombuffer(b"".join(b"<" + w + b">" for w in found), dtype=np.uint8)]
+    for n, (bucket, count) in zip(op.GRAMS, op.grams(found), strict=True):
+        h, _ = op.common.windows(byte, np.concatenate(([0], np.cumsum(size))), n)
+        assert np.array_equal(bucket, h % np.uint64(op.BUCKETS)) and np.array_equal(count, np.maximum(size - n + 1, 0))
+    values = np.array([5, 1, 5, 5, 0, 1], dtype=np.int32)
+    assert sorted(op.distinct(values, np.empty(9, np.int32))) == [0, 1, 5]
+    assert [list(x) for x in op.numbers(values, 9)] == [[0, 1, 5], [2, 1, 2, 2, 0, 1]]
+    v = op.Vocabulary(texts)
+    n, t = np.zeros(op.BUCKETS), np.zeros(op.BUCKETS)
+    y = np.array([0, 1, 0, 1, 1, 0, 0, 1])
+    op.count_buckets(v, np.arange(8), y, n, t)
+    seen = [np.unique(v.buckets(np.unique(v.words(i)))) for i in range(8)]
+    assert np.array_equal(n, np.bincount(np.concatenate(seen), minlength=op.BUCKETS))
+    assert np.array_equal(t, np.bincount(np.concatenate([seen[i] for i in range(8) if y[i]]), minlength=op.BUCKETS))
+    m = op.start_model(v, np.arange(8), y.astype(float), np.random.default_rng(1))
+    whole = m.scores(texts)
+    monkeypatch.setattr(op, "BLOCK", 5)
+    assert np.array_equal(op.own(m).scores(texts), whole)
